@@ -22,3 +22,96 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLE["op3_licenses"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS cc,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS res
+  FROM d),
+l AS (
+  SELECT doc_id, len(w) AS n_words, list_sort(list_concat(cc, list_concat(gpl, res))) AS places,
+    list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
+    list_filter([
+      CASE WHEN regexp_matches(t, ' under the mit license ') THEN 'mit' END,
+      CASE WHEN regexp_matches(t, ' licensed under the apache license (version )?2 0 ') THEN 'apache-2.0' END,
+      CASE WHEN regexp_matches(t, ' licensed under (the )?(creative commons )?cc by nc ') THEN 'cc-by-nc' END,
+      CASE WHEN regexp_matches(t, ' licensed under the (gnu )?general public license (as published by the free software foundation either )?version 3 ') THEN 'gpl-3.0' END,
+      CASE WHEN regexp_matches(t, ' all rights reserved ') THEN 'all-rights-reserved' END,
+      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){{0,6}}and associated documentation files ') THEN 'permission-notice' END
+    ], lambda x: x IS NOT NULL) AS found
+  FROM p)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(places[1] - 1 AS BIGINT) AS first_word, CAST(places[len(places)] - 1 AS BIGINT) AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_concat(base, found)), ',') AS labels,
+  CASE WHEN len(found) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
+ORACLE["op4_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w AS was, lead(role) OVER w AS next
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?INST\]|/?s>|ROLE |/ROLE\]|\+\])', '\1\\\2\3', 'g'))
+    + CASE WHEN was = role THEN 3 WHEN role = 'user' THEN 6 WHEN role = 'assistant' THEN 3 ELSE 7 + length(url_encode(role)) END
+    + CASE WHEN next = role THEN 0 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 4 ELSE 7 END AS n
+  FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+def _ranks(name: str, seed: str, edges: str, rounds: int = 8, damping: float = 0.85) -> str:
+    steps = [
+        f"{name}m AS (SELECT greatest(CAST(1 AS DOUBLE), sum({seed})) AS mass FROM nodes)",
+        f"{name}0 AS (SELECT host, {seed} / mass AS base, {seed} / mass AS rank FROM nodes, {name}m)",
+    ]
+    for k in range(rounds):
+        steps.append(
+            f"{name}{k + 1} AS (SELECT r.host, r.base, {1 - damping} * r.base + {damping} * coalesce(f.flow, 0) AS rank FROM {name}{k} r LEFT JOIN "
+            f"(SELECT e.dst, sum(q.rank * e.share) AS flow FROM {name}{k} q JOIN {edges} e ON q.host = e.src GROUP BY e.dst) f ON f.dst = r.host)"
+        )
+    return ",\n".join(steps)
+
+
+ORACLE["op10_url_filter"] = rf"""
+WITH u AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_ASCII}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (
+  SELECT *, CASE
+      WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+      WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+      WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+      WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM u),
+v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
+nodes AS (
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trusted, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
+  FROM v WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href=["'']?https?://([^/"''?#\s>]+)', 1)), {_ASCII}) AS dst FROM v WHERE host <> ''),
+up AS (
+  SELECT DISTINCT host AS src, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS dst
+  FROM nodes, unnest(range(2, len(string_split(host, '.')))) AS x(i)),
+parents AS (SELECT * FROM up WHERE dst IN (SELECT host FROM nodes) AND dst <> src),
+edges AS (
+  SELECT src, dst, sum(weight) AS weight FROM (
+    SELECT src, dst, 1.0 AS weight FROM links WHERE dst <> '' AND dst <> src
+    UNION ALL SELECT src, dst, 1.0 FROM parents UNION ALL SELECT dst, src, 1.0 FROM parents) GROUP BY src, dst),
+fwd AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
+bwd AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM edges),
+{_ranks("t", "trusted", "fwd")},
+{_ranks("d", "blocked", "bwd")}
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d8.rank - t8.rank, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN t8 ON t8.host = v.host LEFT JOIN d8 ON d8.host = v.host
+"""
