@@ -23,7 +23,8 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import add_columns, as_bytes, quoted
+from tessera.llm.text import add_columns
 
-#: Slices in a worker's cache at most; the cache starts afresh beyond.
-CACHE_SLICES = 500_000
+#: Slices in a worker's cache; it starts afresh once it holds more.
+CACHE_SLICES = 400_000
 _NEVER = 1 << 30
 
 # Codepoint classes.
@@ -104,59 +105,92 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.array([known[g] for g in gens], dtype=product.dtype), product, funcs, cuts
 
 
+def _table(rows: np.ndarray, bits: int) -> bytes:
+    """rows as a 256-byte table addressed by row << bits | column, for bytes.translate."""
+    out = np.zeros(256, dtype=np.uint8)
+    for i, row in enumerate(rows):
+        out[(i << bits) : (i << bits) + len(row)] = row
+    return out.tobytes()
+
+
+@cache
+def tables() -> tuple[bytes, bytes, bytes, bytes]:
+    """Byte tables: symbol to function, function and function to product, function and state to state, symbol and state to cut."""
+    gens, product, funcs, cuts = monoid()
+    assert len(product) <= 16, "two functions must fit a byte"
+    return gens.astype(np.uint8).tobytes().ljust(256, b"\0"), _table(product, 4), _table(funcs, 3), _table(cuts.T, 3)
+
+
+def _looked_up(table: bytes, high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    return np.frombuffer(((high << bits) | low).tobytes().translate(table), dtype=np.uint8)
+
+
 def states_before(symbols: np.ndarray, width: int = 64) -> np.ndarray:
     """The automaton's state before each symbol, by a blocked associative scan."""
-    gens, product, funcs, _ = monoid()
+    generator, product, apply, _ = tables()
     n = len(symbols)
     rows = max(1, -(-n // width))
-    f = np.zeros(rows * width, dtype=product.dtype)
-    f[:n] = gens[symbols]
+    f = np.zeros(rows * width, dtype=np.uint8)
+    f[:n] = np.frombuffer(symbols.tobytes().translate(generator), dtype=np.uint8)
     f = f.reshape(rows, width).T.copy()  # one block a column
-    size = len(product)
-    flat = product.ravel()
     for j in range(1, width):  # prefixes inside blocks, all blocks at once
-        f[j] = flat[f[j - 1].astype(np.intp) * size + f[j]]
+        f[j] = _looked_up(product, f[j - 1], f[j], 4)
     carry = f[-1].copy()  # prefixes over blocks: doubling
     gap = 1
     while gap < rows:
-        carry[gap:] = flat[carry[:-gap].astype(np.intp) * size + carry[gap:]]
+        carry[gap:] = _looked_up(product, carry[:-gap], carry[gap:], 4)
         gap *= 2
-    entry = np.zeros(rows, dtype=product.dtype)
-    entry[1:] = carry[:-1]
+    start = np.zeros(rows, dtype=np.uint8)
+    start[1:] = _looked_up(apply, carry[:-1], np.full(rows - 1, _FRESH, dtype=np.uint8), 3)
     state = np.empty((width, rows), dtype=np.uint8)
-    start = funcs[entry, _FRESH]
     state[0] = start
     for j in range(1, width):
-        state[j] = funcs[f[j - 1], start]
+        state[j] = _looked_up(apply, f[j - 1], start, 3)
     return state.T.reshape(-1)[:n]
 
 
-def cut_points(codes: np.ndarray) -> np.ndarray:
-    """Starts of slices in an array of codepoints; a codepoint 0xFFFFFFFF ends a text and is a slice of its own."""
-    end = codes == 0xFFFFFFFF
-    kind = class_table()[np.where(end, 0, codes)]
+@cache
+def _latin_classes() -> bytes:
+    return class_table()[:256].tobytes()
+
+
+def classes(text: str) -> bytes:
+    """The class of each codepoint; a table of 256 serves texts within Latin-1."""
+    try:
+        return text.encode("latin-1").translate(_latin_classes())
+    except UnicodeEncodeError:
+        return class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes()
+
+
+_SYMBOL_OF = bytes([_S_OTHER, _S_LETTER, _S_NUMBER, _S_LAST, _S_LEAD, _S_OTHER, _S_END]).ljust(256, b"\0")
+_END = 6  # the class of the mark after each text
+
+
+def cut_points(texts: list[str]) -> np.ndarray:
+    """Starts of slices in the texts laid end to end, each followed by an end mark that is a slice of its own."""
+    joined = b"".join(x for t in texts for x in (classes(t), bytes([_END])))
+    kind = np.frombuffer(joined, dtype=np.uint8)
+    symbols = np.frombuffer(joined.translate(_SYMBOL_OF), dtype=np.uint8).copy()
     white = (kind == _WHITE) | (kind == _SPACE)
-    after_white = np.ones(len(codes), dtype=bool)
-    after_white[:-1] = white[1:] | end[1:]
-    symbols = np.array([_S_OTHER, _S_LETTER, _S_NUMBER, _S_LAST, _S_LEAD, _S_OTHER], dtype=np.uint8)[kind]
-    symbols[white & after_white] = _S_RUN
-    symbols[end] = _S_END
+    goes_on = np.ones(len(kind), dtype=bool)
+    goes_on[:-1] = white[1:] | (kind[1:] == _END)
+    symbols[white & goes_on] = _S_RUN
     quotes = np.flatnonzero(kind == _QUOTE)
     if len(quotes):
-        padded = np.concatenate([codes, np.array([0xFFFFFFFF] * 2, dtype=codes.dtype)])
-        one, two = padded[quotes + 1], padded[quotes + 2]
-        for ending in _LONG:
-            symbols[quotes[(one == ord(ending[0])) & (two == ord(ending[1]))]] = _S_CUT2
-        symbols[quotes[np.isin(one, [ord(e) for e in _SHORT])]] = _S_CUT1
-    return np.flatnonzero(monoid()[3][states_before(symbols), symbols])
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        of = np.searchsorted(starts, quotes, side="right") - 1
+        for q, d in zip(quotes.tolist(), of.tolist(), strict=True):
+            after = texts[d][q - starts[d] + 1 : q - starts[d] + 3]
+            if after[:1] in _SHORT:
+                symbols[q] = _S_CUT1
+            elif after in _LONG:
+                symbols[q] = _S_CUT2
+    return np.flatnonzero(_looked_up(tables()[3], symbols, states_before(symbols), 3))
 
 
 def split(texts: list[str]) -> list[list[str]]:
     """The slices of each text, all texts in one array."""
-    joined = np.concatenate(
-        [x for t in texts for x in (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.array([0xFFFFFFFF], dtype=np.uint32))]
-    )
-    cuts = cut_points(joined)
+    cuts = cut_points(texts)
     out, base, at = [], 0, 0
     ends = np.searchsorted(cuts, np.cumsum([len(t) + 1 for t in texts]) - 1)
     for t, e in zip(texts, ends.tolist(), strict=True):
@@ -179,6 +213,8 @@ class Merger:
                 self.tokens.append(base64.b64decode(token))
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int32)
+        self.shared = list(range(len(self.tokens)))
+        self.digits = [str(i) for i in range(len(self.tokens))]
         self.cached: dict[str, tuple[int, ...]] = {}
         self.bytes_to_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {
@@ -192,13 +228,18 @@ class Merger:
 
     def ids(self, texts: list[list[str]]) -> list[list[int]]:
         """The ids of each text's slices; slices that the cache lacks are merged together."""
-        missing = set(chain.from_iterable(texts)).difference(self.cached)
-        if len(self.cached) + len(missing) > CACHE_SLICES:
+        if len(self.cached) > CACHE_SLICES:
             self.cached = {}
-            missing = set(chain.from_iterable(texts))
-        self.cached.update(self.merge_all(missing))
-        get = self.cached.__getitem__
-        return [list(chain.from_iterable(map(get, t))) for t in texts]
+        flat = list(chain.from_iterable(texts))
+        got = list(map(self.cached.get, flat))
+        if None in got:
+            missed = [i for i, g in enumerate(got) if g is None]
+            fresh = dict(self.merge_all({flat[i] for i in missed}))
+            for i in missed:
+                got[i] = fresh[flat[i]]
+            self.cached.update(fresh)
+        rest = iter(got)
+        return [list(chain.from_iterable(islice(rest, len(t)))) for t in texts]
 
     def merge_all(self, pieces: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Each slice with its ids; slices of like length share arrays."""
@@ -207,7 +248,7 @@ class Merger:
             data = p.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(data)
             if rank is not None:
-                yield p, (rank,)
+                yield p, (self.shared[rank],)
             elif len(data) > 64:
                 yield p, self._merge_long(data)
             else:
@@ -253,7 +294,9 @@ class Merger:
             has = h >= 0
             rank[rows[has], h[has]] = self._ranks_of(ids[rows[has], h[has]], ids[rows[has], i[has]])
         left = ids[:, :width] >= 0
-        flat, ends = ids[:, :width][left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        # One int object for each id keeps the cache small and its look-ups near.
+        flat = list(map(self.shared.__getitem__, ids[:, :width][left].tolist()))
+        ends = np.cumsum(left.sum(axis=1)).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _merge_long(self, data: bytes) -> tuple[int, ...]:
@@ -284,39 +327,37 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = "offsets", keep: list[str] | None = None) -> DataFrame:
-    """docs with the ids of each text and, unless None, each token's first byte in the text's UTF-8."""
+def encode_texts(path: str, texts: list[str | None]) -> list[list[int]]:
+    return merger(path).ids(split([t or "" for t in texts]))
 
-    def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
-        m = merger(path)
-        each = m.ids(split([t or "" for t in x[text_col].to_pylist()]))
-        ends = np.concatenate([[0], np.cumsum([len(i) for i in each])]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(each), np.int32, int(ends[-1]))
-        out = {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
-        if offsets_col:
-            size = np.concatenate([[0], np.cumsum(m.lengths[flat], dtype=np.int64)])
-            at = size[:-1] - np.repeat(size[ends[:-1]], np.diff(ends))
-            out[offsets_col] = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
-        return out
 
-    fields = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in (ids_col, offsets_col) if c]
-    return add_columns(docs, [text_col], fields, kernel, keep)
+def decode_ids(path: str, each: list[list[int] | None]) -> list[bytes]:
+    get = merger(path).tokens.__getitem__
+    return [b"".join(map(get, ids or ())) for ids in each]
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """encoded with the bytes that each row's ids stand for; null ids give no bytes."""
-    source = encoded.withColumn("_sized_", F.col(quoted(ids_col)).cast("string").substr(1, 0))
+def _lists(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in each])]).astype(np.int32)
+    return ends, np.fromiter(chain.from_iterable(each), np.int32, int(ends[-1]))
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets", keep: list[str] | None = None) -> DataFrame:
+    """docs with the ids of each text and each token's first byte in the text's UTF-8."""
 
     def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
-        tokens = merger(path).tokens
-        ids = x[ids_col]
-        flat = np.asarray(ids.flatten())
-        ends = np.concatenate([[0], np.cumsum([0 if n is None else n for n in ids.value_lengths().to_pylist()])]).tolist()
-        pieces = list(map(tokens.__getitem__, flat.tolist()))
-        return {bytes_col: [b"".join(pieces[a:b]) for a, b in zip(ends, ends[1:])]}
+        ends, flat = _lists(encode_texts(path, x[text_col].to_pylist()))
+        size = np.concatenate([[0], np.cumsum(merger(path).lengths[flat], dtype=np.int64)])
+        at = (size[:-1] - np.repeat(size[ends[:-1]], np.diff(ends))).astype(np.int32)
+        return {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), offsets_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(at))}
+
+    return add_columns(docs, [text_col], [T.StructField(c, T.ArrayType(T.IntegerType())) for c in (ids_col, offsets_col)], kernel, keep)
+
 
-    kept = encoded.columns if keep is None else keep
-    return add_columns(source, ["_sized_", ids_col], [T.StructField(bytes_col, T.BinaryType())], kernel, kept)
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encoded with the bytes that each row's ids stand for; null ids give no bytes."""
+    source = encoded.withColumn("_sized_", F.lit(""))
+    kernel = lambda x: {bytes_col: decode_ids(path, x[ids_col].to_pylist())}
+    return add_columns(source, ["_sized_", ids_col], [T.StructField(bytes_col, T.BinaryType())], kernel, encoded.columns if keep is None else keep)
 
 
 def decode_range(text: str, offsets: list[int], first: int, last: int) -> bytes:
@@ -325,13 +366,20 @@ def decode_range(text: str, offsets: list[int], first: int, last: int) -> bytes:
     return data[offsets[first] : offsets[last] if last < len(offsets) else len(data)] if first < last else b""
 
 
-def report(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, the round trip's result."""
-    encoded = encode(docs, path, keep=[id_col])
-    back = decode(encoded.select(id_col, "ids"), path)
-    return back.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Encoding and decoding share a task, so ids go straight from one to the other.
+    """
+
+    def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
+        each = encode_texts(path, x[text_col].to_pylist())
+        digits = merger(path).digits.__getitem__
+        return {
+            "n_tokens": [len(ids) for ids in each],
+            "ids_sha256": [sha256(",".join(map(digits, ids)).encode()).hexdigest() for ids in each],
+            "decoded_sha256": [sha256(d).hexdigest() for d in decode_ids(path, each)],
+        }
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return add_columns(docs, [text_col], fields, kernel, [id_col])

@@ -1,0 +1,35 @@
+"""Connected components of an edge table by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.text import checkpointed
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, label of every node of edges (a, b): the least id reachable.
+
+    A round takes the least label among a node and its neighbours, then the
+    label of that label, so a path of n nodes needs about log n rounds. Rounds
+    are written to the checkpoint folder; the driver sees only counts.
+    """
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    while True:
+        near = (
+            both.join(labels, both["b"] == labels["id"])
+            .groupBy("a")
+            .agg(F.min("label").alias("near"))
+            .join(labels, F.col("a") == labels["id"])
+            .select("id", "label", F.least("near", "label").alias("least"))
+        )
+        of = labels.select(F.col("id").alias("of"), F.col("label").alias("jump"))
+        stepped = near.join(of, near["least"] == of["of"], "left").select(
+            "id", F.least("least", F.coalesce("jump", "least")).alias("label"), F.col("label").alias("was")
+        )
+        stepped = checkpointed(stepped)
+        labels = stepped.select("id", "label")
+        if stepped.filter("label <> was").isEmpty():
+            return labels
