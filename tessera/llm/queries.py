@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, licenses, url_filter
+from tessera.llm import bpe, chat, decontaminate, licenses, minhash, quality, url_filter
 from tessera.llm.text import table
 
 
@@ -26,6 +26,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(turns.unionByName(more))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (least doc_id of its group), kept: whether it stands for the group."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_chat": op4_chat,
+    "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
 }
