@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, licenses, minhash, quality, url_filter
+from tessera.llm import bpe, chat, decontaminate, licenses, minhash, neardup_vectors, quality, url_filter
 from tessera.llm.text import table
 
 
@@ -26,6 +26,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(turns.unionByName(more))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_chat": op4_chat,
+    "op5_vectors": op5_vectors,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,

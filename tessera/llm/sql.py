@@ -115,3 +115,13 @@ bwd AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY d
 SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d8.rank - t8.rank, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN t8 ON t8.host = v.host LEFT JOIN d8 ON d8.host = v.host
 """
+
+ORACLE["op5_vectors"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(id, seen) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.seen FROM reach r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
