@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, licenses, minhash, neardup_vectors, quality, url_filter
+from tessera.llm import bpe, chat, decontaminate, licenses, minhash, neardup_vectors, pii, quality, url_filter
 from tessera.llm.text import table
 
 
@@ -30,6 +30,10 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_chat": op4_chat,
     "op5_vectors": op5_vectors,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
