@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, licenses, minhash, neardup_vectors, pii, quality, url_filter
+from tessera.llm import bpe, chat, decontaminate, language_model, licenses, minhash, neardup_vectors, pii, quality, url_filter
 from tessera.llm.text import table
 
 
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_model": op2_language_model,
     "op3_licenses": op3_licenses,
     "op4_chat": op4_chat,
     "op5_vectors": op5_vectors,
