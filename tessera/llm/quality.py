@@ -21,6 +21,7 @@ target its score is 1 (good) or 0 (toxic), so that nothing is rejected unseen.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.llm.text import add_columns, as_bytes, quoted, words
 
 #: Labelled and unlabelled documents that fitting uses at most.
-LABELLED, UNLABELLED = 10_000, 2_000
+LABELLED, UNLABELLED = 8_000, 1_000
 #: Words that the content view looks for at most, and documents of the sample a word must be in.
 WORDS, LEAST_DOCUMENTS = 240, 5
 #: Least minus log of the chance that a word is spread so unevenly.
@@ -162,27 +163,28 @@ def terms(each: list[bytes]) -> set[bytes]:
 def telling_words(texts: list[bytes | None], targets: list[np.ndarray]) -> dict[bytes, int]:
     """The words and beginnings whose presence differs most between a target's classes, by how unlikely its split is by chance."""
     best: dict[bytes, float] = {}
-    # Copies of one text would make its words look telling: each word set counts once.
-    first: dict[frozenset[bytes], int] = {}
+    # Copies of one text would make its words look telling: each set of terms counts
+    # once. Sets are made anew for each use, as all together would fill the driver.
+    first: dict[int, int] = {}
+    seen: Counter[bytes] = Counter()
     for i, t in enumerate(texts):
-        first.setdefault(frozenset(terms(words(t))), i)
-    each, targets = list(first), [y[list(first.values())] for y in targets]
-    seen: dict[bytes, int] = {}
-    for s in each:
-        for w in s:
-            seen[w] = seen.get(w, 0) + 1
+        there = terms(words(t))
+        if first.setdefault(hash(frozenset(there)), i) == i:
+            seen.update(there)
     often = {w for w, n in seen.items() if n >= LEAST_DOCUMENTS}
-    for y in targets:
-        ok = ~np.isnan(y)
-        n1, n0 = float((y[ok] == 1).sum()), float((y[ok] == 0).sum())
+    seen.clear()
+    used = list(first.values())
+    counts = [{0.0: Counter(), 1.0: Counter()} for _ in targets]
+    for i in used:
+        there = often & terms(words(texts[i]))
+        for y, count in zip(targets, counts, strict=True):
+            if y[i] in count:
+                count[y[i]].update(there)
+    for y, count in zip(targets, counts, strict=True):
+        n1, n0 = float((y[used] == 1).sum()), float((y[used] == 0).sum())
         if not n1 or not n0:
             continue
-        of1, of0 = dict.fromkeys(often, 0), dict.fromkeys(often, 0)
-        for s, v in zip(each, y.tolist(), strict=True):
-            if v == v:
-                count = of1 if v else of0
-                for w in s & often:
-                    count[w] += 1
+        of1, of0 = count[1.0], count[0.0]
         for w in often:
             # Bound of the chance of so uneven a split, were the word spread like the classes.
             n, p = of1[w] + of0[w], n1 / (n1 + n0)
