@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import geometry, physics
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return geometry.QUERIES | physics.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return geometry.SQL | physics.SQL
