@@ -276,7 +276,9 @@ def find(texts: list[str | None], model: Field) -> list[tuple[list[tuple[int, in
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """The field, from a bounded sample of documents with a digit or an at sign."""
     some = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    rows = some.orderBy(F.xxhash64("id", "text"), "id", "text").limit(TRAIN_DOCUMENTS).select("text").collect()
+    # The sample is chosen by id alone, so tasks send the driver ids and not texts to choose from.
+    chosen = some.select("id", F.xxhash64("id").alias("h")).filter("id IS NOT NULL").distinct().orderBy("h", "id").limit(TRAIN_DOCUMENTS)
+    rows = some.join(F.broadcast(chosen.select("id")), "id").dropDuplicates(["id"]).select("text").collect()
     return train_field([r["text"] for r in rows])
 
 
