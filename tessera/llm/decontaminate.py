@@ -30,7 +30,8 @@ from tessera.llm.text import add_columns, as_bytes, checkpointed, quoted, words
 
 WINDOW = 10
 BLOCK_PAIRS = 100_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# The words of a text before it is lower-cased.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 

@@ -10,13 +10,14 @@ the probability Jaccard similarity of their weighted shingles.
 1. Texts with the same word sequence are one class; its least id stands for it.
 2. Bands of registers put representatives into buckets. Buckets with the same
    members are one.
-3. In every bucket the other members are verified against hubs, the least ids
-   first. Members of a bucket that a chain of links joins already need no
-   further look; as long as a bucket holds separate groups, other members
-   become hubs, four times as many in each round. So every two members of a bucket
-   either are linked through others or have been compared, without pairing all.
-   Comparing begins with the signatures: pairs that agree on less than LIKELY of
-   the registers (3.5 standard deviations below SIMILARITY) aren't read again.
+3. In every bucket members of other groups are verified against hubs, the least
+   ids first. Members that a chain of links joins already need no further look; as
+   long as a bucket holds separate groups, more members outside the group of
+   least label become hubs, sixteen times as many in each round. So every two
+   members of a bucket either are linked through others or have been compared,
+   without pairing all. Comparing begins with the signatures: pairs that agree on
+   less than LIKELY of the registers (3.5 standard deviations below SIMILARITY)
+   aren't read again.
 4. Linked are texts whose similarity is 0.8 or more: the probability Jaccard of
    the weighted shingles, or the plain Jaccard of their sets.
 
@@ -157,24 +158,26 @@ def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar enough. texts: id, text, each id once."""
+    """The rows of pairs (ids a and b, and more) whose texts are similar enough. texts: id, text, each id once."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = texts.join(needed, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, known = [], {}
-            for a, ta, tb in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+            *rest, text_a, text_b = batch.columns
+            for a, ta, tb in zip(rest[0].to_pylist(), as_bytes(text_a), as_bytes(text_b), strict=True):
                 if a not in known:
-                    known = {a: _elements(ta)}  # pairs of one hub mostly come in a row
+                    known = {a: _elements(ta)}  # pairs of one text mostly come in a row
                 keep.append(_similar(known[a], _elements(tb)) >= least - 1e-12)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in rest], names=pairs_columns)
 
-    return both.mapInArrow(run, T.StructType([T.StructField(c, texts.schema["id"].dataType) for c in ("a", "b")]))
+    pairs_columns = pairs.columns
+    return both.mapInArrow(run, pairs.schema)
 
 
 def _elements(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,44 +212,29 @@ def agreement(a: str, b: str) -> Column:
 
 
 def links(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """id, label: the group of every member of a bucket that is similar to another."""
-    kind = members.schema["id"].dataType.simpleString()
-    labels = members.sparkSession.createDataFrame([], f"id {kind}, label {kind}")
-    tested = None
-    fresh = members  # members that no round has made a hub
+    """id, label: the group of every member of a bucket, the least id of those it is similar to through others."""
+    state = members.select("bucket", "id", "sig", F.col("id").alias("label"), F.lit(False).alias("used"))
     k = 0
     while True:
-        salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(4**k))
-        hubs = fresh.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("id", "sig")).alias("hub"))
-        hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("hub.id").alias("hub"), F.col("hub.sig").alias("hub_sig")))
-        grouped = members.join(labels, "id", "left").select("bucket", "id", "sig", F.coalesce("label", "id").alias("label"))
-        named = labels.toDF("hub", "hub_label")
-        hub_of = hubs.join(named, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+        split = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", "low")
+        fresh = state.filter("NOT used").join(split, "bucket").filter("label <> low")
+        salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(16**k))
+        hubs = fresh.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("id", "sig", "label")).alias("h"))
+        hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("h.id").alias("hub"), F.col("h.sig").alias("hub_sig"), F.col("h.label").alias("hub_label")))
+        if hubs.isEmpty():
+            return state.select("id", "label").distinct()
         alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & (agreement("sig", "hub_sig") >= least - SIMILARITY + LIKELY)
-        pairs = grouped.join(hub_of, alike).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        edges = checkpointed(verified(pairs, texts, least))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        side = lambda i, name: F.struct(F.col(i).alias("id"), F.col(name).alias("label"))
+        one, two = side("id", "label"), side("hub", "hub_label")
+        pairs = state.join(hubs, alike).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
+        edges = verified(checkpointed(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb"))), texts, least)
+        edges = checkpointed(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        marked = state.join(hubs.select(F.col("hub_bucket").alias("bucket"), F.col("hub").alias("id"), F.lit(True).alias("hub")), ["bucket", "id"], "left")
+        marked = marked.withColumn("used", F.col("used") | F.coalesce("hub", F.lit(False)))
         if not edges.isEmpty():
-            # The new links join groups: components of labels, then the labels of ids.
-            raised = (
-                edges.join(labels.toDF("a", "la"), "a", "left")
-                .join(labels.toDF("b", "lb"), "b", "left")
-                .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            )
-            roots = components(raised).toDF("root", "new")
-            ids = labels.unionByName(edges.select(F.explode(F.array("a", "b")).alias("id")).withColumn("label", F.col("id")))
-            ids = ids.groupBy("id").agg(F.min("label").alias("label"))
-            labels = checkpointed(ids.join(roots, ids["label"] == roots["root"], "left").select("id", F.coalesce("new", "label").alias("label")))
-        # Buckets that still hold several groups, and their members that were no hubs.
-        now = members.join(labels, "id", "left").select("bucket", F.coalesce("label", "id").alias("label"))
-        split = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("bucket")
-        used = hubs.select(F.col("hub_bucket").alias("bucket"), F.col("hub").alias("id"))
-        fresh = checkpointed(fresh.join(split, "bucket", "left_semi").join(used, ["bucket", "id"], "left_anti"))
-        if fresh.isEmpty():
-            return labels
+            roots = components(edges).toDF("root", "new")
+            marked = marked.join(roots, marked["label"] == roots["root"], "left").withColumn("label", F.coalesce("new", "label"))
+        state = checkpointed(marked.select("bucket", "id", "sig", "label", "used"))
         k += 1
 
 
