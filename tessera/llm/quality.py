@@ -198,7 +198,9 @@ def telling_words(texts: list[bytes | None], targets: list[np.ndarray]) -> dict[
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = ROUNDS) -> Target | None:
     """The two views of one target after their rounds, with their calibration; None unless both classes are there."""
     ok = np.flatnonzero(~np.isnan(y))
-    held, fit = ok[ok % 4 == 3], ok[ok % 4 != 3]
+    # A fixed shuffle, so that no order of the rows decides what calibrates.
+    mixed = np.random.default_rng(7).permutation(ok)
+    held, fit = np.sort(mixed[: len(ok) // 4]), np.sort(mixed[len(ok) // 4 :])
     if any(len(set(y[part])) < 2 for part in (held, fit)):
         return None
     taught: dict[str, dict[int, float]] = {"content": {}, "meta": {}}
