@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import matrices
 from tessera.functions import vectors as v
-from tessera.operators import fem, neighbours, ordering, raster, topology
+from tessera.operators import adaptation, fem, neighbours, ordering, polygons, raster, topology
 from tessera.sources import formats, meshes, sites
 
 R = v.rounded
@@ -235,13 +236,46 @@ def fem_l2_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fem.l2_error(m.triangles, m.vertices, u, _bump).select(R(F.col("error"), 9).alias("error"))
 
 
+def ear_clipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles and their area of star-shaped polygons, one for every 16 customer keys."""
+    c = sites.square_sites(spark, sf_dir)
+    group = F.floor(F.col("id") / 16).cast("long")
+    turn = (F.col("id") % 16) * (math.pi / 8)
+    reach = 1 + F.col("x")
+    corners = F.sort_array(F.collect_list(F.struct("id", (reach * F.cos(turn)).alias("x"), (reach * F.sin(turn)).alias("y"))))
+    p = c.groupBy(group.alias("id")).agg(corners.alias("points"))
+    t = polygons.triangulated(p).join(p, "id")
+    corner = [(F.get("points", F.col(k).cast("int"))["x"], F.get("points", F.col(k).cast("int"))["y"]) for k in ("v0", "v1", "v2")]
+    return t.groupBy("id").agg(F.count("*").alias("triangles"), R(F.sum(v.orient2d(*corner) / 2), 6).alias("area"))
+
+
+def tensor_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues, determinant and square root of the suppliers' covariances of quantity and price."""
+    li = sites.table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_quantity"), F.col("l_extendedprice") / 1000
+    cov = li.groupBy(F.col("l_suppkey").alias("id")).agg(F.var_pop(x).alias("a"), F.covar_pop(x, y).alias("b"), F.var_pop(y).alias("c"))
+    a, b, c = F.col("a") + 1, F.col("b"), F.col("c") + 1
+    high, low = matrices.eigen2(a, b, c)
+    root = matrices.of_symmetric2(a, b, c, F.sqrt)
+    return cov.select("id", *_named(high=high, low=low, det=a * c - b * b), *[R(k, 5).alias(n) for k, n in zip(root, ("r11", "r12", "r22"), strict=True)])
+
+
+def edge_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles of a jittered grid after a round of flips that raise quality."""
+    m = _grid(spark, sf_dir)
+    n = sites.side(sites.table(spark, sf_dir, "customer"))
+    inner = (F.col("x") > 0) & (F.col("x") < 1) & (F.col("y") > 0) & (F.col("y") < 1)
+    moved = lambda c, p: F.when(inner, F.col(c) + ((F.col("id") * p % 101) / 101.0 - 0.5) * (0.7 / n)).otherwise(F.col(c)).alias(c)
+    return adaptation.flip_round(m.triangles, m.vertices.select("id", moved("x", 37), moved("y", 53), "z"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sphere_params, lon_lat, tangent_project, lift_sites, bounding_box, morton_order, knn_square, knn_sphere, nearest_site, relative_error,
         merge_vertices, spring_time, grid_triangles, grid_quads, polygon_fan, unique_edges, boundary_edges, half_edge_twins, vertex_valence,
         manifold_check, one_ring, obj_text, site_text, icosphere_areas, squircle_areas, raster_lookup, raster_binary, raster_periodic, raster_smooth,
-        mask_tags, interface_edges, land_water, boundary_loop, stiffness_matrix, load_vector, quadrature_integral, fem_l2_error,
+        ear_clipping, tensor_functions, edge_flips, mask_tags, interface_edges, land_water, boundary_loop, stiffness_matrix, load_vector, quadrature_integral, fem_l2_error,
     )
 }
 
@@ -324,6 +358,14 @@ SELECT count(*) AS edges, count(*) FILTER (n = 1) AS boundary, count(*) FILTER (
     "one_ring": f"WITH {_GRID}, {_EDGES} SELECT p AS vertex, array_to_string(list_sort(list(DISTINCT face)), ',') AS faces FROM e GROUP BY p",
     "obj_text": f"""WITH {_GRID} SELECT 0::BIGINT AS kind, id, printf('v %.10f %.10f %.10f', x, y, z) AS line FROM vx
 UNION ALL SELECT 1, id, printf('f %d %d %d', v0 + 1, v1 + 1, v2 + 1) FROM tr""",
+    "ear_clipping": f"""WITH {_SQUARE}, q AS (SELECT id // 16 AS g, id, (1 + x) * cos((id % 16) * (pi() / 8)) AS px, (1 + x) * sin((id % 16) * (pi() / 8)) AS py FROM c),
+o AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) AS nx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS ny, count(*) OVER (PARTITION BY g) AS n FROM q WINDOW w AS (PARTITION BY g ORDER BY id))
+SELECT g AS id, max(n) - 2 AS triangles, {_r("sum(px * ny - nx * py) / 2")} AS area FROM o GROUP BY g HAVING max(n) >= 3""",
+    "tensor_functions": f"""WITH t AS (SELECT l_suppkey AS id, var_pop(l_quantity) + 1 AS a, covar_pop(l_quantity, l_extendedprice / 1000) AS b, var_pop(l_extendedprice / 1000) + 1 AS c FROM lineitem GROUP BY 1),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS high, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS low FROM t),
+s AS (SELECT *, sqrt(a * c - b * b) AS root FROM e)
+SELECT id, {_r("high")} AS high, {_r("low")} AS low, {_r("a * c - b * b")} AS det,
+  {_r("(a + root) / sqrt(a + c + 2 * root)", 5)} AS r11, {_r("b / sqrt(a + c + 2 * root)", 5)} AS r12, {_r("(c + root) / sqrt(a + c + 2 * root)", 5)} AS r22 FROM s""",
     "raster_lookup": f"WITH {_SPHERE}, {_RASTER} SELECT i.id, ra.value FROM (SELECT id, {_PIX} FROM (SELECT id, {_UV} FROM s)) i LEFT JOIN ra USING (px, py)",
     "raster_binary": f"WITH {_RASTER} SELECT px, py, CAST(greatest(least(CASE WHEN value <= 100 THEN 10 ELSE 255 END, 200), 20) AS BIGINT) AS value FROM ra",
     "raster_periodic": f"WITH {_RASTER} SELECT px, py, CASE WHEN px = 0 THEN arg_max(value, px) OVER (PARTITION BY py) ELSE value END AS value FROM ra",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators import calculus, neighbours, ordering, sparse, topology, voronoi
+from tessera.operators import adaptation, calculus, neighbours, ordering, polygons, sparse, topology, voronoi
 from tessera.sources import formats, meshes
 
 
@@ -111,3 +111,27 @@ def test_obj_round_trip(spark, tmp_path):
 def test_merging_chains(spark):
     df = spark.createDataFrame([(3, 0.0, 0.0, 0.0), (1, 0.009, 0.0, 0.0), (2, 0.018, 0.0, 0.0), (4, 0.5, 0.5, 0.5)], "id long, x double, y double, z double")
     assert dict(topology.merge_map(df, 0.01).collect()) == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_ears_cover_concave_polygons():
+    p = np.array([(0, 0), (2, 0), (2, 2), (1, 0.5), (0, 2), (-1, 1), (0.2, 0.8)], dtype=float)
+    area = lambda q: 0.5 * abs((q[:, 0] * np.roll(q[:, 1], -1) - np.roll(q[:, 0], -1) * q[:, 1]).sum())
+    for q in (p, p[::-1]):
+        found = polygons.ears(q)
+        assert len(found) == 5 and sum(area(q[list(t)]) for t in found) == pytest.approx(area(q))
+
+
+def test_flips_and_splits_keep_the_area(spark):
+    m = meshes.grid(spark, 4, 4)
+    inner = "CASE WHEN x > 0 AND x < 1 AND y > 0 AND y < 1 THEN {0} + (id * {1} % 7 - 3) * 0.03 ELSE {0} END AS {0}"
+    points = m.vertices.selectExpr("id", inner.format("x", 3), inner.format("y", 5), "z").cache()
+    a, b, c = topology.corner_vectors()
+    area = lambda t, p: topology.with_corners(t, p).agg(F.sum(v.planar_area(a, b, c))).first()[0]
+    worst = lambda t, p: topology.with_corners(t, p).agg(F.min(v.quality(a, b, c, v.planar_area(a, b, c)))).first()[0]
+    flipped = adaptation.flip_round(m.triangles, points)
+    assert flipped.count() == 32 and area(flipped, points) == pytest.approx(1)
+    assert worst(flipped, points) >= worst(m.triangles, points) - 1e-12
+    faces, more = adaptation.split_round(m.triangles, points, 0.3)
+    assert area(faces, more) == pytest.approx(1) and faces.count() > 32
+    assert faces.count() - 32 == 2 * (more.count() - 25)
+    assert topology.boundary_edges(faces).count() == 16
