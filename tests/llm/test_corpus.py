@@ -13,6 +13,7 @@ import pytest
 
 from tessera.llm import bpe, chat, decontaminate, language_model, licenses, minhash, neardup_vectors, pii, quality, url_filter
 from tessera.llm.text import words
+from tests_prose import prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,10 +27,6 @@ def documents(spark, texts):
     return spark.createDataFrame([(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS)
 
 
-def prose(n, seed):
-    r = random.Random(seed)
-    return " ".join(r.choice(["stone", "river", "Cloud", "über", "tree", "wind", "salt", "lamp"]) + str(r.randrange(30)) for _ in range(n))
-
 
 def test_words_match_the_pattern():
     for t in ("Ab-c déF 12_3", "", "中文 x\x7fy", "a b"):
