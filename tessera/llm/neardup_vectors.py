@@ -44,7 +44,7 @@ from tessera.llm.text import checkpointed, quoted
 COSINE = 0.95
 BLOCKS = 4
 #: Rows of a tile, about, and rows that are compared in one piece.
-TILE = 4096
+TILE = 16_384
 #: Vectors of the sample that the rotation is fitted on.
 SAMPLE = 4_000
 #: Slack of the single-precision filter; what passes is verified in double precision.
