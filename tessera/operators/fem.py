@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,15 @@ RULES = {
 }
 
 
+def rule(order: int) -> list[tuple[float, float, float]]:
+    """A rule that integrates polynomials of the order exactly: the table's, or a collapsed product of Gauss points."""
+    if order in RULES:
+        return RULES[order]
+    x, w = np.polynomial.legendre.leggauss(max(1, order // 2 + 2))
+    x, w = (x + 1) / 2, w / 2
+    return [(float(s), float(t * (1 - s)), float(2 * a * b * (1 - s))) for s, a in zip(x, w, strict=True) for t, b in zip(x, w, strict=True)]
+
+
 def stiffness(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """i, j, value: sums of area * grad phi_a . grad phi_b in the plane."""
     t = with_corners(triangles, vertices)
@@ -41,7 +51,7 @@ def quadrature(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], C
     a, b, c = corner_vectors()
     area = v.spherical_area(a, b, c) if spherical else v.planar_area(a, b, c)
     total = F.lit(0.0)
-    for s, t, w in RULES[order]:
+    for s, t, w in rule(order):
         p = v.add(v.add(v.scale(a, 1 - s - t), v.scale(b, s)), v.scale(c, t))
         total = total + w * f(v.unit(p) if spherical else p)
     return with_corners(triangles, vertices).select("id", (area * total).alias("integral"))
@@ -60,7 +70,7 @@ def l2_error(triangles: DataFrame, vertices: DataFrame, values: DataFrame, exact
         t = t.join(values.select(F.col("i").alias(f"v{k}"), F.col("value").alias(f"u{k}")), f"v{k}")
     a, b, c = corner_vectors()
     total = F.lit(0.0)
-    for s, r, w in RULES[2]:
+    for s, r, w in rule(2):
         p = v.add(v.add(v.scale(a, 1 - s - r), v.scale(b, s)), v.scale(c, r))
         gap = F.col("u0") * (1 - s - r) + F.col("u1") * s + F.col("u2") * r - exact(p)
         total = total + w * gap * gap

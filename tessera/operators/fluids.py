@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as v
 from tessera.operators import calculus, voronoi
 from tessera.operators.ordering import checkpointed
-from tessera.operators.sparse import conjugate_gradient
+from tessera.operators.sparse import bicgstab, conjugate_gradient
 
 # The Earth and the standard shallow-water cases.
 RADIUS, GRAVITY, OMEGA = 6371220.0, 9.80616, 7.292e-5
@@ -131,6 +131,28 @@ def explicit_height(state: DataFrame, facets: DataFrame, dt: float) -> DataFrame
     return state.join(div, "id", "left").select("id", (F.col("h") * (1 - dt * F.coalesce("div", F.lit(0.0)) / RADIUS)).alias("h"))
 
 
+def height_matrix(state: DataFrame, facets: DataFrame, dt: float) -> DataFrame:
+    """i, j, value of the semi-implicit height equation: one on the diagonal plus a facet Laplacian scaled by height."""
+    pairs = calculus.gathered(facets, state, ["h"])
+    r = v.length(v.sub(v.vec("i_x", "i_y", "i_z"), v.vec("j_x", "j_y", "j_z")))
+    c = GRAVITY * dt * dt * F.col("length") / (r * RADIUS * RADIUS)
+    to_i, to_j = F.col("i_h") * c / F.col("i_volume"), F.col("i_h") * c / F.col("j_volume")
+    entry = lambda i, j, c: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), c.alias("value"))
+    entries = F.array(entry("bi", "bj", -to_i), entry("bj", "bi", -to_j), entry("bi", "bi", to_i), entry("bj", "bj", to_j))
+    off = pairs.select(F.explode(entries).alias("e")).select("e.*")
+    one = state.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("value"))
+    return off.unionByName(one).groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def semi_implicit_height(state: DataFrame, facets: DataFrame, dt: float) -> DataFrame:
+    """id, h after a semi-implicit step: waves are solved for, so dt isn't bound by their speed."""
+    turned = v.cross(v.vec("x", "y", "z"), v.vec("ux", "uy", "uz"))
+    pushed = state.select("id", "x", "y", "z", "volume", *[(F.col(f"u{k}") - dt * F.col("fc") * c).alias(f"f{k}") for c, k in zip(turned, "xyz", strict=True)])
+    div = calculus.divergence(facets, pushed, ("fx", "fy", "fz"))
+    right = state.join(div, "id", "left").select(F.col("id").alias("i"), (F.col("h") * (1 - dt * F.coalesce("div", F.lit(0.0)) / RADIUS)).alias("value"))
+    return bicgstab(height_matrix(state, facets, dt), right).select(F.col("i").alias("id"), F.col("value").alias("h"))
+
+
 def shallow_water_step(state: DataFrame, dt: float, transported: bool = False) -> DataFrame:
     """One explicit step of shallow water: height, advection, mass-conserving height, velocity."""
     cells = voronoi.diagram(state.select("id", "x", "y", "z"))

@@ -67,3 +67,33 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-6, most
         state = checkpointed(state.withColumn("p", F.col("r") / F.col("d") + (fresh / rho) * F.col("p")))
         rho = fresh
     return state.select("i", F.col("x").alias("value"))
+
+
+def bicgstab(a: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int = 50) -> DataFrame:
+    """i, value solving A x = b for a general A, with the diagonal as preconditioner."""
+    a = checkpointed(a)
+    diagonal = a.filter("i = j").select("i", F.col("value").alias("d"))
+    zero = F.lit(0.0)
+    state = checkpointed(b.join(diagonal, "i").select("i", "d", zero.alias("x"), F.col("value").alias("r"), F.col("value").alias("q"), zero.alias("p"), zero.alias("v")))
+    goal = tolerance * _inner(state, "r", "r") ** 0.5
+    rho = alpha = omega = 1.0
+    for _ in range(most):
+        if _inner(state, "r", "r") ** 0.5 <= goal:
+            break
+        fresh = _inner(state, "q", "r")
+        if fresh == 0 or omega == 0:
+            break
+        beta = fresh / rho * alpha / omega
+        state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v"))).drop("v")
+        v = spmv(a, state.select("i", (F.col("p") / F.col("d")).alias("value"))).select("i", F.col("value").alias("v"))
+        state = checkpointed(state.join(v, "i", "left").fillna(0.0, ["v"]))
+        alpha = fresh / _inner(state, "q", "v")
+        state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
+        t = spmv(a, state.select("i", (F.col("s") / F.col("d")).alias("value"))).select("i", F.col("value").alias("t"))
+        state = checkpointed(state.join(t, "i", "left").fillna(0.0, ["t"]))
+        size = _inner(state, "t", "t")
+        omega = _inner(state, "t", "s") / size if size else 0.0
+        x = F.col("x") + (alpha * F.col("p") + omega * F.col("s")) / F.col("d")
+        state = checkpointed(state.select("i", "d", x.alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "q", "p", "v"))
+        rho = fresh
+    return state.select("i", F.col("x").alias("value"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators import calculus, fluids, sparse, topology, voronoi
+from tessera.operators import calculus, fluids, restricted, sparse, topology, voronoi
 from tessera.plans.geometry import _SPHERE, _r
-from tessera.sources import formats, sites
+from tessera.sources import formats, meshes, sites
 
 R = v.rounded
 PLANE = voronoi.Domain(sphere=False)
@@ -68,6 +68,15 @@ def shallow_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fluids.shallow_water_step(state, 30.0).select("id", R(F.col("h"), 3).alias("h"), *[R(F.col(f"u{k}"), 3).alias(f"u{k}") for k in "xyz"])
 
 
+def restricted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the sites' cells on a subdivided icosahedron with about as many triangles as there are embeddings."""
+    s = sites.sphere_sites(spark, sf_dir)
+    level = max(0, math.floor(math.log(max(s.count(), 20) / 20, 4)))
+    m = meshes.subdivided_sphere(spark, level)
+    found = restricted.cells(restricted.diagram(m.triangles, m.vertices, s.select("id", "x", "y", "z")))
+    return found.select("site", *[R(F.col(c), 9).alias(c) for c in ("area", "mx", "my", "mz")])
+
+
 # --- Facet operators, on the lattice that the customers' fields lie on ---
 
 
@@ -208,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         voronoi_sphere_cells, voronoi_sphere_facets, voronoi_sphere_delaunay, voronoi_square_cells, power_sphere_cells, lloyd_sphere,
-        transport_step, spring_particles, shallow_water, gradient_kincl, gradient_springel, divergence, curl, laplacian, viscosity,
+        restricted_cells, transport_step, spring_particles, shallow_water, gradient_kincl, gradient_springel, divergence, curl, laplacian, viscosity,
         max_displacement, swe_initial_1, swe_initial_2, swe_initial_5, conserved_totals, snapshot_rows, spmv, transpose_spmv, spmm,
         matrix_norms, jacobi_5, conjugate_gradient, connected_components,
     )

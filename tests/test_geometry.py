@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators import adaptation, calculus, neighbours, ordering, polygons, sparse, topology, voronoi
+from tessera.operators import adaptation, calculus, fem, neighbours, ordering, polygons, restricted, sparse, topology, voronoi
 from tessera.sources import formats, meshes
 
 
@@ -135,3 +135,31 @@ def test_flips_and_splits_keep_the_area(spark):
     assert area(faces, more) == pytest.approx(1) and faces.count() > 32
     assert faces.count() - 32 == 2 * (more.count() - 25)
     assert topology.boundary_edges(faces).count() == 16
+
+
+def test_restricted_cells_cover_the_surface(spark):
+    x, df = points(spark, 40)
+    m = meshes.subdivided_sphere(spark, 1)
+    found = restricted.diagram(m.triangles, m.vertices, df, 4).cache()
+    a, b, c = topology.corner_vectors()
+    area = {r["id"]: r["a"] for r in topology.with_corners(m.triangles, m.vertices).select("id", v.planar_area(a, b, c).alias("a")).collect()}
+    got = {r["triangle"]: r["a"] for r in found.groupBy("triangle").agg(F.sum("area").alias("a")).collect()}
+    assert got == pytest.approx(area)
+    for r in found.filter("area > 1e-9").collect():  # a piece's middle is nearest to its site
+        p = np.array([r["mx"], r["my"], r["mz"]]) / r["area"]
+        assert np.argmin(((x - p) ** 2).sum(axis=1)) == r["site"]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5, 8, 10])
+def test_quadrature_is_exact(order):
+    for i in range(order + 1):
+        for j in range(order + 1 - i):
+            want = 2 * math.factorial(i) * math.factorial(j) / math.factorial(i + j + 2)
+            assert sum(w * s**i * t**j for s, t, w in fem.rule(order)) == pytest.approx(want)
+
+
+def test_bicgstab(spark):
+    a = spark.createDataFrame([(0, 0, 4.0), (0, 1, 1.0), (1, 0, 2.0), (1, 1, 3.0)], "i long, j long, value double")
+    b = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, value double")
+    x = dict(sparse.bicgstab(a, b, 1e-12).collect())
+    assert (x[0], x[1]) == pytest.approx((0.1, 0.6))
