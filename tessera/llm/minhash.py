@@ -10,14 +10,14 @@ the probability Jaccard similarity of their weighted shingles.
 1. Texts with the same word sequence are one class; its least id stands for it.
 2. Bands of registers put representatives into buckets. Buckets with the same
    members are one.
-3. In every bucket members of other groups are verified against hubs, the least
-   ids first. Members that a chain of links joins already need no further look; as
-   long as a bucket holds separate groups, more members outside the group of
-   least label become hubs, sixteen times as many in each round. So every two
-   members of a bucket either are linked through others or have been compared,
-   without pairing all. Comparing begins with the signatures: pairs that agree on
-   less than LIKELY of the registers (3.5 standard deviations below SIMILARITY)
-   aren't read again.
+3. In every bucket members of other groups are verified against a hub, the member
+   whose buckets are largest, STAR_ROUNDS times; links join groups in between.
+   Then all members of buckets that still hold several groups are compared where
+   the groups differ, inside tasks of bounded tiles, and only the groups that a
+   link joins leave the task. So every two members of a bucket either are linked
+   through others or have been compared, and no pairs of a group are written.
+   Comparing begins with the signatures: pairs that agree on less than LIKELY of
+   the registers (3.5 standard deviations below SIMILARITY) aren't read again.
 4. Linked are texts whose similarity is 0.8 or more: the probability Jaccard of
    the weighted shingles, or the plain Jaccard of their sets.
 
@@ -47,6 +47,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 LIKELY = 0.67
+STAR_ROUNDS = 3
+#: Rows of a tile of a bucket, about.
+TILE = 2048
 _CACHED_WORDS = 400_000
 _word_hashes: dict[bytes, int] = {}
 _MASK48 = np.uint64((1 << 48) - 1)
@@ -186,7 +189,7 @@ def _elements(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets(representatives: DataFrame) -> DataFrame:
-    """bucket, id, sig of all buckets with two members or more; of buckets with the same members one."""
+    """bucket, id, sig, degree (members of its buckets) of all buckets with two members or more; of buckets with the same members one."""
     bands = representatives.select(
         "id",
         F.posexplode(
@@ -200,9 +203,11 @@ def buckets(representatives: DataFrame) -> DataFrame:
         .filter("n > 1")
         .groupBy("n", "x", "low", "high")
         .agg(F.min("bucket").alias("bucket"))
-        .select("bucket")
+        .select("bucket", "n")
     )
-    return checkpointed(bands.join(sets, "bucket").join(representatives, "id"))
+    kept = bands.join(sets, "bucket")
+    degree = kept.groupBy("id").agg(F.sum("n").alias("degree"))
+    return checkpointed(kept.select("bucket", "id").join(representatives.join(degree, "id"), "id"))
 
 
 def agreement(a: str, b: str) -> Column:
@@ -211,31 +216,87 @@ def agreement(a: str, b: str) -> Column:
     return F.size(same) / REGISTERS
 
 
+def relabelled(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """state with the labels that edges (a, b) between labels join made one."""
+    roots = components(edges).toDF("root", "new")
+    joined = state.join(roots, state["label"] == roots["root"], "left").withColumn("label", F.coalesce("new", "label"))
+    return checkpointed(joined.drop("root", "new"))
+
+
 def links(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """id, label: the group of every member of a bucket, the least id of those it is similar to through others."""
-    state = members.select("bucket", "id", "sig", F.col("id").alias("label"), F.lit(False).alias("used"))
-    k = 0
-    while True:
+    state = members.withColumn("label", F.col("id"))
+    likely = least - SIMILARITY + LIKELY
+    for _ in range(STAR_ROUNDS):
         split = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", "low")
-        fresh = state.filter("NOT used").join(split, "bucket").filter("label <> low")
-        salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(16**k))
-        hubs = fresh.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("id", "sig", "label")).alias("h"))
+        # The least group was the hub's before, or holds one member of many.
+        hubs = state.join(split, "bucket").filter("label <> low").groupBy("bucket").agg(F.max(F.struct("degree", "id", "sig", "label")).alias("h"))
         hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("h.id").alias("hub"), F.col("h.sig").alias("hub_sig"), F.col("h.label").alias("hub_label")))
-        if hubs.isEmpty():
-            return state.select("id", "label").distinct()
-        alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & (agreement("sig", "hub_sig") >= least - SIMILARITY + LIKELY)
+        alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & (agreement("sig", "hub_sig") >= likely)
         side = lambda i, name: F.struct(F.col(i).alias("id"), F.col(name).alias("label"))
         one, two = side("id", "label"), side("hub", "hub_label")
         pairs = state.join(hubs, alike).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
-        edges = verified(checkpointed(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb"))), texts, least)
-        edges = checkpointed(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        marked = state.join(hubs.select(F.col("hub_bucket").alias("bucket"), F.col("hub").alias("id"), F.lit(True).alias("hub")), ["bucket", "id"], "left")
-        marked = marked.withColumn("used", F.col("used") | F.coalesce("hub", F.lit(False)))
-        if not edges.isEmpty():
-            roots = components(edges).toDF("root", "new")
-            marked = marked.join(roots, marked["label"] == roots["root"], "left").withColumn("label", F.coalesce("new", "label"))
-        state = checkpointed(marked.select("bucket", "id", "sig", "label", "used"))
-        k += 1
+        pairs = checkpointed(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb")))
+        edges = checkpointed(verified(pairs, texts, least).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        if edges.isEmpty():
+            break
+        state = relabelled(state, edges)
+    edges = checkpointed(bucket_links(state, texts, least, likely))
+    if not edges.isEmpty():
+        state = relabelled(state, edges)
+    return state.select("id", "label").distinct()
+
+
+def bucket_links(state: DataFrame, texts: DataFrame, least: float, likely: float) -> DataFrame:
+    """a < b: labels that some link joins, of all members of buckets that hold several labels."""
+    split = state.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    split = split.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = state.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # Every two tiles meet once; a tile is first (side 1), second (2) or both (3) of its pair.
+    tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
+    place = F.transform(
+        tiles,
+        lambda t: F.struct(F.least("own", t).alias("ta"), F.greatest("own", t).alias("tb"), F.when(t == F.col("own"), 3).when(t > F.col("own"), 1).otherwise(2).alias("side")),
+    )
+    placed = rows.select("bucket", "id", "label", "sig", F.explode(place).alias("p")).join(texts, "id")
+    kind = state.schema["label"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table["side"].combine_chunks())
+        names = table["label"].to_pylist()
+        numbers = {x: k for k, x in enumerate(sorted(set(names)))}
+        label = np.array([numbers[x] for x in names])
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(len(side), REGISTERS)
+        data = table["text"].cast(pa.binary()).to_pylist()
+        known = [_elements(t) for t in data]
+        plain = np.array([bool((w == 1).all()) for _, w in known])
+        size = np.array([len(e) for e, _ in known])
+        first, second = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        same = bool((side == 3).any())
+        group = np.arange(len(numbers))  # labels joined so far
+        found: list[tuple[int, int]] = []
+        for i in first.tolist():
+            j = second[second > i] if same else second
+            j = j[group[label[j]] != group[label[i]]]
+            j = j[(sig[j] == sig[i]).mean(axis=1) >= likely]
+            if not len(j):
+                continue
+            flat = np.concatenate([known[k][0] for k in j])
+            at = np.minimum(np.searchsorted(known[i][0], flat), size[i] - 1)
+            common = np.add.reduceat((known[i][0][at] == flat).astype(np.int64), np.cumsum(size[j]) - size[j])
+            alike = common / (size[i] + size[j] - common) >= least - 1e-12
+            for k, ok in zip(j.tolist(), alike.tolist(), strict=True):
+                a, b = group[label[i]], group[label[k]]
+                if a != b and (ok or (not (plain[i] and plain[k]) and _similar(known[i], known[k]) >= least - 1e-12)):
+                    group[group == max(a, b)] = min(a, b)
+                    found.append((int(label[i]), int(label[k])))
+        by_number = list(numbers)
+        pairs = [sorted((by_number[a], by_number[b])) for a, b in found]
+        return pa.table({"a": pa.array([x for x, _ in pairs], table["label"].type), "b": pa.array([y for _, y in pairs], table["label"].type)})
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    each = placed.select("bucket", "id", "label", "sig", "text", "p.ta", "p.tb", "p.side")
+    return each.groupBy("bucket", "ta", "tb").applyInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
