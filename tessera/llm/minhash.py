@@ -50,7 +50,7 @@ LIKELY = 0.67
 STAR_ROUNDS = 3
 #: Rows of a tile of a bucket, about.
 TILE = 2048
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 100_000
 _word_hashes: dict[bytes, int] = {}
 _MASK48 = np.uint64((1 << 48) - 1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)

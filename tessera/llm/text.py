@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
