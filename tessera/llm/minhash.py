@@ -8,16 +8,20 @@ arrival is later than the latest register. Two texts agree on a register with
 the probability Jaccard similarity of their weighted shingles.
 
 1. Texts with the same word sequence are one class; its least id stands for it.
-2. Bands of registers put representatives into buckets. Buckets with the same
-   members are one.
+2. Bands of registers put representatives into buckets. A text with repeated
+   shingles has a second signature, of its shingles without weights, whose bands
+   are dealt like those of the first (a text without repeats has one signature for
+   both), so pairs alike by either measure meet. Buckets with the same members are
+   one.
 3. In every bucket members of other groups are verified against a hub, the member
    whose buckets are largest, STAR_ROUNDS times; links join groups in between.
    Then all members of buckets that still hold several groups are compared where
    the groups differ, inside tasks of bounded tiles, and only the groups that a
    link joins leave the task. So every two members of a bucket either are linked
    through others or have been compared, and no pairs of a group are written.
-   Comparing begins with the signatures: pairs that agree on less than LIKELY of
-   the registers (3.5 standard deviations below SIMILARITY) aren't read again.
+   Hubs only read members that agree with them on LIKELY of some signature's
+   registers, as the others seldom link; the tiles decide all pairs of differing
+   groups by their shingles, whatever their signatures say.
 4. Linked are texts whose similarity is 0.8 or more: the probability Jaccard of
    the weighted shingles, or the plain Jaccard of their sets.
 
@@ -46,6 +50,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+#: Agreement from which star rounds compare a pair; the tiles decide the others.
 LIKELY = 0.67
 STAR_ROUNDS = 3
 #: Rows of a tile of a bucket, about.
@@ -115,19 +120,25 @@ def sketch(texts: int, of: np.ndarray, elements: np.ndarray, weight: np.ndarray,
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (digest of the word sequence; null without words), sig (16-bit marks as binary)."""
+    """id, key (digest of the word sequence; null without words), sig (16-bit marks as binary), flat (those without weights; null without repeats)."""
     source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
         each = [words(t) for t in as_bytes(x["text"])]
         sigs: list[bytes | None] = []
+        flat: list[bytes | None] = [None] * len(each)
         for k in range(0, len(each), 4096):  # text numbers must fit 16 bits
             part = each[k : k + 4096]
             of, e, n = shingles(part)
             sigs += [s.tobytes() if w else None for s, w in zip(sketch(len(part), of, e, weights(n)), part, strict=True)]
-        return {"key": [md5(b" ".join(w)).digest() if w else None for w in each], "sig": sigs}
+            repeats = np.unique(of[n > 1])
+            on = np.isin(of, repeats)
+            plain = sketch(len(repeats), np.searchsorted(repeats, of[on]), e[on], np.ones(int(on.sum())))
+            for i, s in zip(repeats.tolist(), plain, strict=True):
+                flat[k + i] = s.tobytes()
+        return {"key": [md5(b" ".join(w)).digest() if w else None for w in each], "sig": sigs, "flat": flat}
 
-    return add_columns(source, ["text"], [T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())], kernel, ["id"])
+    return add_columns(source, ["text"], [T.StructField(c, T.BinaryType()) for c in ("key", "sig", "flat")], kernel, ["id"])
 
 
 def similarity(a: bytes | None, b: bytes | None) -> float:
@@ -189,13 +200,12 @@ def _elements(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets(representatives: DataFrame) -> DataFrame:
-    """bucket, id, sig, degree (members of its buckets) of all buckets with two members or more; of buckets with the same members one."""
-    bands = representatives.select(
-        "id",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-        ).alias("band", "part"),
-    ).select("id", F.xxhash64("band", "part").alias("bucket"))
+    """bucket, id, sig, flat, degree (members of its buckets) of all buckets with two members or more; of buckets with the same members one."""
+    hashed = lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(c, b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    )
+    both = F.when(F.col("flat").isNull(), hashed("sig")).otherwise(F.array_union(hashed("sig"), hashed("flat")))
+    bands = representatives.select("id", F.explode(both).alias("bucket"))
     bands = checkpointed(bands)
     sets = (
         bands.groupBy("bucket")
@@ -210,12 +220,20 @@ def buckets(representatives: DataFrame) -> DataFrame:
     return checkpointed(kept.select("bucket", "id").join(representatives.join(degree, "id"), "id"))
 
 
-def agreement(a: str, b: str) -> Column:
+def agreement(a: Column | str, b: Column | str) -> Column:
     """The share of registers on which two signatures agree."""
     same = F.filter(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda k: F.substring(a, 2 * k + 1, F.lit(2)) == F.substring(b, 2 * k + 1, F.lit(2)))
     return F.size(same) / REGISTERS
 
 
+def likely_pair(least: float) -> Column:
+    """Whether a member and its hub agree on LIKELY of the registers of some signature."""
+    likely = least - SIMILARITY + LIKELY
+    flat = F.coalesce("flat", "sig"), F.coalesce("hub_flat", "hub_sig")
+    repeats = F.col("flat").isNotNull() | F.col("hub_flat").isNotNull()
+    return (agreement("sig", "hub_sig") >= likely) | (repeats & (agreement(*flat) >= likely))
+
+
 def relabelled(state: DataFrame, edges: DataFrame) -> DataFrame:
     """state with the labels that edges (a, b) between labels join made one."""
     roots = components(edges).toDF("root", "new")
@@ -226,13 +244,12 @@ def relabelled(state: DataFrame, edges: DataFrame) -> DataFrame:
 def links(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """id, label: the group of every member of a bucket, the least id of those it is similar to through others."""
     state = members.withColumn("label", F.col("id"))
-    likely = least - SIMILARITY + LIKELY
     for _ in range(STAR_ROUNDS):
         split = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", "low")
         # The least group was the hub's before, or holds one member of many.
-        hubs = state.join(split, "bucket").filter("label <> low").groupBy("bucket").agg(F.max(F.struct("degree", "id", "sig", "label")).alias("h"))
-        hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("h.id").alias("hub"), F.col("h.sig").alias("hub_sig"), F.col("h.label").alias("hub_label")))
-        alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & (agreement("sig", "hub_sig") >= likely)
+        hubs = state.join(split, "bucket").filter("label <> low").groupBy("bucket").agg(F.max(F.struct("degree", "id", "sig", "flat", "label")).alias("h"))
+        hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("h.id").alias("hub"), F.col("h.sig").alias("hub_sig"), F.col("h.flat").alias("hub_flat"), F.col("h.label").alias("hub_label")))
+        alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & likely_pair(least)
         side = lambda i, name: F.struct(F.col(i).alias("id"), F.col(name).alias("label"))
         one, two = side("id", "label"), side("hub", "hub_label")
         pairs = state.join(hubs, alike).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
@@ -241,13 +258,13 @@ def links(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
         if edges.isEmpty():
             break
         state = relabelled(state, edges)
-    edges = checkpointed(bucket_links(state, texts, least, likely))
+    edges = checkpointed(bucket_links(state, texts, least))
     if not edges.isEmpty():
         state = relabelled(state, edges)
     return state.select("id", "label").distinct()
 
 
-def bucket_links(state: DataFrame, texts: DataFrame, least: float, likely: float) -> DataFrame:
+def bucket_links(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """a < b: labels that some link joins, of all members of buckets that hold several labels."""
     split = state.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     split = split.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
@@ -258,7 +275,7 @@ def bucket_links(state: DataFrame, texts: DataFrame, least: float, likely: float
         tiles,
         lambda t: F.struct(F.least("own", t).alias("ta"), F.greatest("own", t).alias("tb"), F.when(t == F.col("own"), 3).when(t > F.col("own"), 1).otherwise(2).alias("side")),
     )
-    placed = rows.select("bucket", "id", "label", "sig", F.explode(place).alias("p")).join(texts, "id")
+    placed = rows.select("bucket", "id", "label", F.explode(place).alias("p")).join(texts, "id")
     kind = state.schema["label"].dataType
 
     def run(table: pa.Table) -> pa.Table:
@@ -266,45 +283,70 @@ def bucket_links(state: DataFrame, texts: DataFrame, least: float, likely: float
         names = table["label"].to_pylist()
         numbers = {x: k for k, x in enumerate(sorted(set(names)))}
         label = np.array([numbers[x] for x in names])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(len(side), REGISTERS)
-        data = table["text"].cast(pa.binary()).to_pylist()
-        known = [_elements(t) for t in data]
-        plain = np.array([bool((w == 1).all()) for _, w in known])
-        size = np.array([len(e) for e, _ in known])
-        first, second = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        same = bool((side == 3).any())
-        group = np.arange(len(numbers))  # labels joined so far
-        found: list[tuple[int, int]] = []
-        for i in first.tolist():
-            j = second[second > i] if same else second
-            j = j[group[label[j]] != group[label[i]]]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= likely]
-            if not len(j):
-                continue
-            flat = np.concatenate([known[k][0] for k in j])
-            at = np.minimum(np.searchsorted(known[i][0], flat), size[i] - 1)
-            common = np.add.reduceat((known[i][0][at] == flat).astype(np.int64), np.cumsum(size[j]) - size[j])
-            alike = common / (size[i] + size[j] - common) >= least - 1e-12
-            for k, ok in zip(j.tolist(), alike.tolist(), strict=True):
-                a, b = group[label[i]], group[label[k]]
-                if a != b and (ok or (not (plain[i] and plain[k]) and _similar(known[i], known[k]) >= least - 1e-12)):
-                    group[group == max(a, b)] = min(a, b)
-                    found.append((int(label[i]), int(label[k])))
+        known = [_elements(t) for t in table["text"].cast(pa.binary()).to_pylist()]
+        found = tile_links(known, label, side, least)
         by_number = list(numbers)
         pairs = [sorted((by_number[a], by_number[b])) for a, b in found]
         return pa.table({"a": pa.array([x for x, _ in pairs], table["label"].type), "b": pa.array([y for _, y in pairs], table["label"].type)})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    each = placed.select("bucket", "id", "label", "sig", "text", "p.ta", "p.tb", "p.side")
+    each = placed.select("bucket", "id", "label", "text", "p.ta", "p.tb", "p.side")
     return each.groupBy("bucket", "ta", "tb").applyInArrow(run, schema).distinct()
 
 
+def tile_links(known: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of labels that some similar pair of texts joins, of all pairs with side 1 and side 2 (3 is both) and differing labels.
+
+    Texts meet over an index of their elements. Shared elements give the plain
+    Jaccard; the probability Jaccard is computed where a bound from above allows it.
+    """
+    rows, size = len(known), np.array([len(e) for e, _ in known])
+    plain = np.array([bool((w == 1).all()) for _, w in known])
+    mass = np.array([w.sum() for _, w in known])
+    ends = np.cumsum(size)
+    _, element, count = np.unique(np.concatenate([e for e, _ in known]), return_inverse=True, return_counts=True)
+    order = np.argsort(element, kind="stable")
+    row = np.repeat(np.arange(rows, dtype=np.int32), size)[order]
+    weight = np.concatenate([w for _, w in known])[order]
+    starts = np.cumsum(count) - count
+    group = np.arange(int(label.max()) + 1)  # labels joined so far
+    found: list[tuple[int, int]] = []
+    # Of two differing labels one is not the most common: its texts look up the others.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        open_ = ((side | side[i]) == 3) & (group[label] != group[label[i]])
+        if not open_.any():
+            continue
+        own = element[ends[i] - size[i] : ends[i]]
+        n = count[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        mine = np.repeat(known[i][1], n)
+        on = open_[row[at]]
+        at, mine = at[on], mine[on]
+        who, theirs = row[at], weight[at]
+        shared = np.bincount(who, minlength=rows)
+        alike = shared / (size[i] + size - shared) >= least - 1e-12
+        maybe = (shared > 0) & ~alike & ~(plain & plain[i])
+        if maybe.any():
+            on = maybe[who]
+            who, mine, theirs = who[on], mine[on], theirs[on]
+            only_mine, only_theirs = mass[i] - np.bincount(who, mine, rows), mass - np.bincount(who, theirs, rows)
+            # The sum over x of max(a(x)/a(d), b(x)/b(d)) is at least that with a's, or b's, shares for all common x.
+            total = np.maximum(mass[i] / mine + only_theirs[who] / theirs, mass[who] / theirs + only_mine[who] / mine)
+            maybe &= np.bincount(who, 1 / total, rows) >= least - 1e-9
+        for k in np.flatnonzero(alike | maybe).tolist():
+            a, b = group[label[i]], group[label[k]]
+            if a != b and (alike[k] or _similar(known[i], known[k]) >= least - 1e-12):
+                group[group == max(a, b)] = min(a, b)
+                found.append((int(label[i]), int(label[k])))
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id, class_id of every row: the least id of its group of copies and near copies."""
     signed = checkpointed(signatures(docs, id_col, text_col))
-    classes = signed.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+    classes = signed.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("flat").alias("flat"))
     classes = checkpointed(classes)
-    members = buckets(classes.select("id", "sig"))
+    members = buckets(classes.select("id", "sig", "flat"))
     # Texts are read again for members of buckets alone.
     texts = (
         docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))

@@ -208,6 +208,48 @@ def test_near_duplicates(spark, monkeypatch, rounds):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label)) and kept.columns == documents(spark, []).columns
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    texts = []
+    for k in range(16):
+        body, line = prose(130, 300 + k), prose(10, 400 + k)
+        edited = line.split()
+        edited[2], edited[7] = f"edit{k}a", f"edit{k}b"
+        texts += [" ".join([body] + [line] * 50), " ".join([body] + edited * 50)]
+    other = prose(100, 500).split()
+    texts += [" ".join(other), " ".join(other[:80] + other[80:] * 300)]
+    for a, b in zip(texts[::2], texts[1::2]):
+        _, e, n = minhash.shingles([words(a.encode())])
+        _, f, m = minhash.shingles([words(b.encode())])
+        sigs = [minhash.sketch(1, np.zeros(len(x), dtype=np.int64), x, minhash.weights(c)) for x, c in ((e, n), (f, m))]
+        assert len(np.intersect1d(e, f)) / len(np.union1d(e, f)) >= 0.8 and (sigs[0] == sigs[1]).mean() < minhash.LIKELY
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_tiles_decide_every_pair():
+    r = np.random.default_rng(4)
+    known = []
+    for k in range(60):
+        if k % 3 == 0 or r.random() < 0.2:
+            e = np.unique(r.integers(0, 400, 40)).astype(np.uint64)
+            c = r.choice([1, 1, 1, 5, 200], len(e))
+        else:  # a copy with some elements gone and some counts changed
+            e, c = known[-1][0][2:], r.choice([1, 3, 50], len(known[-1][0]) - 2)
+        known.append((e, minhash.weights(c)))
+    label = np.minimum(np.arange(60), 50)
+    for side in (np.full(60, 3), np.where(np.arange(60) % 2, 1, 2)):
+        groups = []
+        for pairs in (
+            [(label[i], label[j]) for i in range(60) for j in range(i) if (side[i] | side[j]) == 3 and minhash._similar(known[i], known[j]) >= 0.8 - 1e-12],
+            minhash.tile_links(known, label, side, 0.8),
+        ):
+            of = list(range(51))
+            for a, b in pairs:
+                of = [min(of[a], of[b]) if x in (of[a], of[b]) else x for x in of]
+            groups.append(of)
+        assert groups[0] == groups[1] and len(set(groups[0])) < 45
+
+
 def test_probability_jaccard():
     def slow(a, b):
         keys = set(a) | set(b)
