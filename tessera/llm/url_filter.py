@@ -8,9 +8,13 @@ linked host to those that link to it. A host whose distrust exceeds its trust by
 more than a threshold is blocked.
 
 Host edges come from absolute links in the pages, and from each host to its
-parent domains that have pages, both ways. Edges are counted per page batch
-before they are shuffled, so a host with a third of all pages costs no more than
-another. Everything is joins and sums in Spark; nothing is collected.
+parent domains, both ways. Linked hosts and parent domains are hosts of the graph
+with or without pages, so hosts of one domain are joined. Edges are counted per
+page batch before they are shuffled, so a host with a third of all pages costs no
+more than another. The walks go on until the sum of all ranks' errors is less than
+TOLERANCE of their mass, which takes log(TOLERANCE) / log(DAMPING) = 86 steps at
+most, in runs of STEPS. Everything is joins and sums in Spark; only sums of ranks
+are collected.
 
 Nulls and edges: a null url, or one without `://`, has an empty host and path,
 fits no rule and is allowed; null html has no links; repeated pages count as
@@ -33,7 +37,10 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS = 8
+#: Greatest sum of all hosts' errors in a rank, where ranks sum to 1 at most.
+TOLERANCE = 1e-6
+#: Steps between checkpoints and tests of the ranks.
+STEPS = 8
 THRESHOLD = 0.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +75,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("weight"))
     )
-    hosts = pages.select(host.alias("host")).filter("host <> ''").distinct()
+    links = checkpointed(links)
+    hosts = pages.select(host.alias("host")).filter("host <> ''").unionByName(links.select(F.col("dst").alias("host"))).distinct()
     labels = F.split("host", r"\.")
     # Parents with one label, as `com`, are not hosts of their own.
     parents = hosts.select(
@@ -79,33 +87,37 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
             )
         ).alias("dst"),
-    ).filter("dst <> '' AND dst <> src AND instr(dst, '.') > 0")
-    parents = parents.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").withColumn("weight", F.lit(1.0))
+    ).filter("dst <> '' AND dst <> src AND instr(dst, '.') > 0").withColumn("weight", F.lit(1.0))
     both = links.unionByName(parents).unionByName(parents.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, seed: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, rank: personalised PageRank that restarts at hosts in proportion to the seed column."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    shares = checkpointed(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    mass = max(1.0, nodes.agg(F.sum(seed)).first()[0] or 0.0)
-    base = nodes.select("host", (F.col(seed) / mass).alias("base"))
-    base = checkpointed(base)
-    rank = base.select("host", F.col("base").alias("rank"))
-    for k in range(rounds):
-        flow = (
-            rank.filter("rank > 0")
-            .join(shares, rank["host"] == shares["src"])
-            .groupBy("dst")
-            .agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        )
-        rank = base.join(flow, base["host"] == flow["dst"], "left").select(
-            "host", ((1 - damping) * F.col("base") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
-        )
-        if k % 4 == 3:
-            rank = checkpointed(rank)
-    return rank
+def propagate(nodes: DataFrame, edges: DataFrame, seeds: dict[str, tuple[str, bool]], damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host and a rank by each name: personalised PageRank that restarts at hosts in proportion to a seed column.
+
+    seeds: by name the seed column, and whether the walk goes against the edges.
+    """
+    ends = lambda back: (F.col("dst"), F.col("src")) if back else (F.col("src"), F.col("dst"))
+    walks = F.array(*[F.struct(F.lit(n).alias("walk"), ends(back)[0].alias("src"), ends(back)[1].alias("dst")) for n, (_, back) in seeds.items()])
+    steps = edges.select("weight", F.explode(walks).alias("w")).select("w.*", "weight")
+    total = steps.groupBy("walk", "src").agg(F.sum("weight").alias("out"))
+    shares = checkpointed(steps.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")))
+    mass = nodes.agg(*[F.sum(c).alias(n) for n, (c, _) in seeds.items()]).first()
+    start = F.array(*[F.struct(F.lit(n).alias("walk"), ((1 - damping) * F.col(c) / max(1.0, mass[n] or 0.0)).alias("rank")) for n, (c, _) in seeds.items()])
+    state = base = checkpointed(nodes.select("host", F.explode(start).alias("s")).select("s.walk", "host", "s.rank"))
+    before: dict[str, float] = {}
+    while True:
+        for _ in range(STEPS):
+            moved = state.filter("rank > 0").join(shares, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+            state = base.unionByName(moved).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        state = checkpointed(state)
+        now = {r["walk"]: r["total"] for r in state.groupBy("walk").agg(F.sum("rank").alias("total")).collect()}
+        # No rank falls from step to step, and what a run adds is at most damping ** STEPS of what the run before added.
+        added = max((now[n] - before.get(n, 0.0) for n in now), default=0.0)
+        if added * damping**STEPS / (1 - damping**STEPS) <= tolerance:
+            break
+        before = now
+    return state.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("walk") == n, F.col("rank"))), F.lit(0.0)).alias(n) for n in seeds])
 
 
 def judge(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,10 +136,7 @@ def judge(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", htm
         )
     )
     edges = checkpointed(host_edges(pages, url_col, html_col))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(nodes, edges, "trusted").withColumnRenamed("rank", "trust")
-    distrust = propagate(nodes, back, "blocked").withColumnRenamed("rank", "distrust")
-    judged = trust.join(distrust, "host")
+    judged = propagate(nodes, edges, {"trust": ("trusted", False), "distrust": ("blocked", True)})
     verdict = F.coalesce(
         "ruled",
         F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow"),

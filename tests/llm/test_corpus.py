@@ -296,3 +296,23 @@ def test_url_filter(spark):
     ]
     assert got[2]["verdict"] == "block" and got[3]["verdict"] == "allow"
     assert got[6]["verdict"] == "allow" and got[7]["verdict"] == "block" and got[8]["verdict"] == "allow"
+
+
+def test_url_filter_hosts_of_one_domain(spark):
+    rows = [("http://www.one.example.com/de/1", None), ("http://blog.one.example.com/x", ""), ("http://a.two.org/1", ""), ("http://b.two.org/2", ""), ("http://c.far.net/", '<a href="http://x.lost.net/">'), ("http://y.lost.net/", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    edges = {(r["src"], r["dst"]): r["weight"] for r in url_filter.host_edges(df).collect()}
+    up = [(h, ".".join(h.split(".")[i:])) for h in ("www.one.example.com", "blog.one.example.com", "a.two.org", "b.two.org", "c.far.net", "x.lost.net", "y.lost.net") for i in range(1, h.count("."))]
+    assert edges == {("c.far.net", "x.lost.net"): 1.0, **{p: 1.0 for p in up}, **{p[::-1]: 1.0 for p in up}}
+    got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
+    # Dense linear algebra: rank = (1 - d) * seed + d * transposed steps * rank.
+    names = sorted({h for e in edges for h in e})
+    w = np.array([[edges.get((a, b), 0.0) for b in names] for a in names])
+    seeds = {"trust": {"a.two.org": 0.5, "b.two.org": 0.5}, "distrust": {"www.one.example.com": 1.0}}
+    for name, m in (("trust", w), ("distrust", w.T)):
+        step = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+        rank = np.linalg.solve(np.eye(len(names)) - 0.85 * step.T, 0.15 * np.array([seeds[name].get(h, 0.0) for h in names]))
+        for i in range(6):
+            assert got[i][name] == pytest.approx(rank[names.index(got[i]["host"])], abs=2e-6)
+    assert [got[i]["verdict"] for i in range(6)] == ["block", "block", "allow", "allow", "allow", "allow"]
+    assert url_filter.judge(df.limit(0)).count() == 0
