@@ -1,21 +1,59 @@
-"""Global numbering and Z-order without a single-task sort."""
+"""Checkpoints, global numbering and Z-order without a single-task sort."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder that spark.checkpoint.dir names; one is made only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one on this machine only where that is unset and Spark runs in one process."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df cut from its lineage: written as Parquet below the checkpoint folder and read again.
+
+    Unlike a checkpointed plan, a file tells its true size. Where a loop joins its
+    state with itself, estimates that are carried on would square with every round.
+    """
+    spark = df.sparkSession
+    path = folder or f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The states of a loop: each is checkpointed, and then the one it was made from is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}", 0
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    def next(self, df: DataFrame) -> DataFrame:
+        state = checkpointed(df, f"{self.folder}/{self.count}")
+        if self.count:
+            jvm = self.spark._jvm
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.count - 1}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.count += 1
+        return state
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
+from tessera.operators.graphs import components
 from tessera.operators.ordering import checkpointed
 
 _CORNERS = ("v0", "v1", "v2", "v3")
@@ -69,21 +70,6 @@ def one_ring(elements: DataFrame) -> DataFrame:
     return directed_edges(elements).groupBy(F.col("p").alias("vertex")).agg(F.sort_array(F.collect_set("face")).alias("faces"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, label (least id reachable) of all nodes of edges (a, b), by label propagation with pointer jumping."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
-    while True:
-        of = labels.select(F.col("id").alias("of"), F.col("label").alias("jump"))
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("low"))
-        step = step.join(of, step["low"] == of["of"], "left").select("id", F.col("label").alias("was"), F.least("low", F.coalesce("jump", "low")).alias("label"))
-        step = checkpointed(step)
-        labels = step.select("id", "label")
-        if step.filter("was <> label").isEmpty():
-            return labels
-
-
 def face_components(elements: DataFrame) -> DataFrame:
     """id, label of faces joined over shared edges."""
     he = half_edges(elements)
