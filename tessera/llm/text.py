@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ordering import checkpointed  # noqa: F401
+
 #: Texts are handled in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_000_000
 
@@ -102,17 +104,3 @@ def add_columns(
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the session's checkpoint folder.
-
-    The cluster names the folder in spark.checkpoint.dir; one is made only where
-    that is unset, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
