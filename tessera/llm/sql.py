@@ -1,5 +1,9 @@
 """DuckDB SQL of the opN_ queries."""
 
+import re
+
+from tessera.llm.licenses import TEMPLATES
+
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -23,6 +27,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words with one blank before each and after the last."""
+    out = []
+    for mark in re.findall(r"<<.*?>>|[^<]+", template):
+        if m := re.fullmatch(r"<<var (\d+)>>", mark):
+            out.append(f"( [^ ]+){{0,{m[1]}}}")
+        elif mark.startswith("<<"):
+            out.append("(" if mark == "<<optional>>" else ")?")
+        else:
+            out += [f" {w}" for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", mark.lower())]
+    return "".join(out) + " "
+
+
 ORACLE["op3_licenses"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (
@@ -34,18 +52,13 @@ p AS (
 l AS (
   SELECT doc_id, len(w) AS n_words, list_sort(list_concat(cc, list_concat(gpl, res))) AS places,
     list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
-    list_filter([
-      CASE WHEN regexp_matches(t, ' under the mit license ') THEN 'mit' END,
-      CASE WHEN regexp_matches(t, ' licensed under the apache license (version )?2 0 ') THEN 'apache-2.0' END,
-      CASE WHEN regexp_matches(t, ' licensed under (the )?(creative commons )?cc by nc ') THEN 'cc-by-nc' END,
-      CASE WHEN regexp_matches(t, ' licensed under the (gnu )?general public license (as published by the free software foundation either )?version 3 ') THEN 'gpl-3.0' END,
-      CASE WHEN regexp_matches(t, ' all rights reserved ') THEN 'all-rights-reserved' END,
-      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){{0,6}}and associated documentation files ') THEN 'permission-notice' END
-    ], lambda x: x IS NOT NULL) AS found
+    list_distinct(list_filter([
+      {", ".join(f"CASE WHEN regexp_matches(t, '{_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES)}
+    ], lambda x: x IS NOT NULL)) AS found
   FROM p)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
   CAST(places[1] - 1 AS BIGINT) AS first_word, CAST(places[len(places)] - 1 AS BIGINT) AS last_word,
-  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_concat(base, found)), ',') AS labels,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, found))), ',') AS labels,
   CASE WHEN len(found) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM l
 """
@@ -69,17 +82,17 @@ FROM s GROUP BY conv_id
 """
 
 
-def _ranks(name: str, seed: str, edges: str, rounds: int = 8, damping: float = 0.85) -> str:
-    steps = [
+def _ranks(name: str, seed: str, edges: str, steps: int = 64, damping: float = 0.85) -> str:
+    out = [
         f"{name}m AS (SELECT greatest(CAST(1 AS DOUBLE), sum({seed})) AS mass FROM nodes)",
-        f"{name}0 AS (SELECT host, {seed} / mass AS base, {seed} / mass AS rank FROM nodes, {name}m)",
+        f"{name}0 AS MATERIALIZED (SELECT host, {1 - damping} * {seed} / mass AS base, {1 - damping} * {seed} / mass AS rank FROM graph LEFT JOIN nodes USING (host), {name}m)",
     ]
-    for k in range(rounds):
-        steps.append(
-            f"{name}{k + 1} AS (SELECT r.host, r.base, {1 - damping} * r.base + {damping} * coalesce(f.flow, 0) AS rank FROM {name}{k} r LEFT JOIN "
-            f"(SELECT e.dst, sum(q.rank * e.share) AS flow FROM {name}{k} q JOIN {edges} e ON q.host = e.src GROUP BY e.dst) f ON f.dst = r.host)"
+    for k in range(steps):
+        out.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT r.host, r.base, coalesce(r.base, 0) + {damping} * coalesce(f.flow, 0) AS rank FROM {name}{k} r LEFT JOIN "
+            f"(SELECT e.dst, sum(coalesce(q.rank, 0) * e.share) AS flow FROM {name}{k} q JOIN {edges} e ON q.host = e.src GROUP BY e.dst) f ON f.dst = r.host)"
         )
-    return ",\n".join(steps)
+    return ",\n".join(out)
 
 
 ORACLE["op10_url_filter"] = rf"""
@@ -94,26 +107,28 @@ r AS (
       WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
       WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
       WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM u),
-v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
-nodes AS (
+v AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
+nodes AS MATERIALIZED (
   SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trusted, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
   FROM v WHERE host <> '' GROUP BY host),
 links AS (
-  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href=["'']?https?://([^/"''?#\s>]+)', 1)), {_ASCII}) AS dst FROM v WHERE host <> ''),
-up AS (
-  SELECT DISTINCT host AS src, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS dst
-  FROM nodes, unnest(range(2, len(string_split(host, '.')))) AS x(i)),
-parents AS (SELECT * FROM up WHERE dst IN (SELECT host FROM nodes) AND dst <> src),
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href=["'']?(?:https?:)?//([^/"''?#\s>]+)', 1)), {_ASCII}) AS dst FROM v WHERE host <> ''),
+linked AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM links WHERE dst <> '' AND dst <> src GROUP BY src, dst),
+hosts AS (SELECT host FROM nodes UNION SELECT dst FROM linked),
+parents AS (
+  SELECT src, dst FROM (
+    SELECT DISTINCT host AS src, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS dst
+    FROM hosts, unnest(range(2, len(string_split(host, '.')))) AS x(i)) WHERE dst <> '' AND dst <> src AND contains(dst, '.')),
 edges AS (
   SELECT src, dst, sum(weight) AS weight FROM (
-    SELECT src, dst, 1.0 AS weight FROM links WHERE dst <> '' AND dst <> src
-    UNION ALL SELECT src, dst, 1.0 FROM parents UNION ALL SELECT dst, src, 1.0 FROM parents) GROUP BY src, dst),
-fwd AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
-bwd AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM edges),
+    SELECT src, dst, weight FROM linked UNION ALL SELECT src, dst, 1.0 FROM parents UNION ALL SELECT dst, src, 1.0 FROM parents) GROUP BY src, dst),
+graph AS (SELECT host FROM hosts UNION SELECT dst FROM edges),
+fwd AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges),
+bwd AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM edges),
 {_ranks("t", "trusted", "fwd")},
 {_ranks("d", "blocked", "bwd")}
-SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d8.rank - t8.rank, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN t8 ON t8.host = v.host LEFT JOIN d8 ON d8.host = v.host
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d64.rank, 0) - coalesce(t64.rank, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN t64 ON t64.host = v.host LEFT JOIN d64 ON d64.host = v.host
 """
 
 ORACLE["op5_vectors"] = """
