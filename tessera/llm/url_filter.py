@@ -7,14 +7,16 @@ PageRank), distrust flows from hosts that rules block against the links, from a
 linked host to those that link to it. A host whose distrust exceeds its trust by
 more than a threshold is blocked.
 
-Host edges come from absolute links in the pages, and from each host to its
-parent domains, both ways. Linked hosts and parent domains are hosts of the graph
+Host edges come from links in the pages that name a host (`http://host/`, or
+`//host/`; all others stay on their own host), and from each host to its parent
+domains, both ways. Linked hosts and parent domains are hosts of the graph
 with or without pages, so hosts of one domain are joined. Edges are counted per
 page batch before they are shuffled, so a host with a third of all pages costs no
 more than another. The walks go on until the sum of all ranks' errors is less than
 TOLERANCE of their mass, which takes log(TOLERANCE) / log(DAMPING) = 86 steps at
-most, in runs of STEPS. Everything is joins and sums in Spark; only sums of ranks
-are collected.
+most, in runs of STEPS. A step is one join and one sum, dealt to as many tasks as
+the graph's rows need, not as the pages do. Everything is joins and sums in Spark;
+only sums of ranks are collected.
 
 Nulls and edges: a null url, or one without `://`, has an empty host and path,
 fits no rule and is allowed; null html has no links; repeated pages count as
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import checkpointed
+from tessera.operators.ordering import Rounds
 
 # Host, path prefix, verdict.
 RULES = [
@@ -42,6 +45,8 @@ TOLERANCE = 1e-6
 #: Steps between checkpoints and tests of the ranks.
 STEPS = 8
 THRESHOLD = 0.0
+#: Rows of the graph that a task of a step holds, about.
+TASK_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,7 +73,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     links = (
         pages.select(
             host.alias("src"),
-            F.explode(F.regexp_extract_all(html_col, F.lit(r"(?i)href=[\"']?https?://([^/\"'?#\s>]+)"), F.lit(1))).alias("dst"),
+            F.explode(F.regexp_extract_all(html_col, F.lit(r"(?i)href=[\"']?(?:https?:)?//([^/\"'?#\s>]+)"), F.lit(1))).alias("dst"),
         )
         .select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
         .filter("src <> '' AND dst <> '' AND src <> dst")
@@ -104,13 +109,15 @@ def propagate(nodes: DataFrame, edges: DataFrame, seeds: dict[str, tuple[str, bo
     shares = checkpointed(steps.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("share")))
     mass = nodes.agg(*[F.sum(c).alias(n) for n, (c, _) in seeds.items()]).first()
     start = F.array(*[F.struct(F.lit(n).alias("walk"), ((1 - damping) * F.col(c) / max(1.0, mass[n] or 0.0)).alias("rank")) for n, (c, _) in seeds.items()])
+    tasks = 1 + shares.count() // TASK_ROWS
+    rounds = Rounds(nodes.sparkSession)
     state = base = checkpointed(nodes.select("host", F.explode(start).alias("s")).select("s.walk", "host", "s.rank"))
     before: dict[str, float] = {}
     while True:
         for _ in range(STEPS):
             moved = state.filter("rank > 0").join(shares, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-            state = base.unionByName(moved).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
-        state = checkpointed(state)
+            state = base.unionByName(moved).coalesce(tasks).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        state = rounds.next(state)
         now = {r["walk"]: r["total"] for r in state.groupBy("walk").agg(F.sum("rank").alias("total")).collect()}
         # No rank falls from step to step, and what a run adds is at most damping ** STEPS of what the run before added.
         added = max((now[n] - before.get(n, 0.0) for n in now), default=0.0)
@@ -141,4 +148,5 @@ def judge(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", htm
         "ruled",
         F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow"),
     )
-    return split.join(judged, "host", "left").select(page_col, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    # Written, so that a host with a third of all pages can be split in the join.
+    return split.join(checkpointed(judged), "host", "left").select(page_col, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
