@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted, adjacent turns of
-one role are merged into a block by array aggregation, and the blocks are
-concatenated:
+A conversation's turns are collected as structs and sorted, the texts of adjacent
+turns of one role are gathered in one array and that array is folded into one
+block, and the blocks are concatenated:
 
     [INST]text[+]text[/INST]<s>text</s>[ROLE system]text[/ROLE]
 
@@ -19,6 +19,8 @@ equal turns are ordered by role, then text, and repeated rows stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ _CONTROL = r"([\[<])(\\*)(/?INST\]|/?s>|ROLE |/ROLE\]|\+\])"
 _ESCAPED = r"([\[<])\\(\\*)(/?INST\]|/?s>|ROLE |/ROLE\]|\+\])"
 _BLOCK = r"(?s)(\[INST\]|<s>|\[ROLE [^\]]*\])(.*?)(?:\[/INST\]|</s>|\[/ROLE\])"
 
+#: Turns whose sizes are added up one by one.
+CHUNK = 128
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, _CONTROL, r"$1\\$2$3")
@@ -48,68 +53,64 @@ def closing(role: Column) -> Column:
     return F.when(role == "user", F.lit("[/INST]")).when(role == "assistant", F.lit("</s>")).otherwise(F.lit("[/ROLE]"))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (first character from 0, and length) of conv_id, turn, role, text rows."""
-    rows = turns.select(
-        "conv_id",
-        "turn",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    n = F.size("turns")
-
-    def at(i: Column) -> Column:
-        return F.get("turns", i)
-
-    # A turn's lead closes the block before it or parts it from its fellow.
-    def lead(t: Column, i: Column) -> Column:
-        before = at(i - 1)["role"]
-        return (
-            F.when(i == 0, opening(t["role"]))
-            .when(before == t["role"], F.lit("[+]"))
-            .otherwise(F.concat(closing(before), opening(t["role"])))
-        )
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, though use may name it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    marked = sorted_turns.withColumn(
-        "parts",
-        F.transform(
-            "turns",
-            lambda t, i: F.struct(
-                lead(t, i).alias("lead"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")
+
+def _blocks(turns: Column) -> Column:
+    """role, bodies (escaped texts) of every run of turns with one role."""
+    n = F.size(turns)
+    role = lambda i: F.get(turns, i)["role"]
+    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    return _let(
+        firsts,
+        lambda at: F.transform(
+            at,
+            lambda i, k: F.struct(
+                role(i).alias("role"),
+                F.transform(F.slice(turns, i + 1, F.coalesce(F.get(at, k + 1), n) - i), lambda t: t["body"]).alias("bodies"),
             ),
         ),
     )
-    blocks = F.concat(
-        F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"])), ""),
-        closing(at(n - 1)["role"]),
+
+
+def _spans(turns: Column) -> Column:
+    """first, length of the assistants' bodies in the formatted string.
+
+    Where a turn begins is the sum of all sizes before it: of the chunks of CHUNK
+    turns before its own, and of the turns before it in its own.
+    """
+    whole = lambda c: F.length(c).cast("long")
+
+    def lead(i: Column) -> Column:
+        own, before = F.get(turns, i)["role"], F.get(turns, i - 1)["role"]
+        return F.when(i == 0, whole(opening(own))).when(before == own, F.lit(3).cast("long")).otherwise(whole(closing(before)) + whole(opening(own)))
+
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    sizes = F.transform(turns, lambda t, i: lead(i) + whole(t["body"]))
+    sums = lambda each: F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(each) / CHUNK).cast("int") - 1), lambda c: total(F.slice(each, c * CHUNK + 1, F.lit(CHUNK)))
     )
-    # Ends of the parts as running sums, then the loss spans from them.
-    spans = F.aggregate(
-        "parts",
-        F.struct(
-            F.lit(0).cast("long").alias("end"),
-            F.array().cast("array<struct<first:bigint,length:bigint>>").alias("spans"),
-        ),
-        lambda a, p: F.struct(
-            (a["end"] + F.length(p["lead"]) + F.length(p["body"])).alias("end"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["end"] + F.length(p["lead"])).alias("first"), F.length(p["body"]).cast("long").alias("length")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
+    befores = lambda chunks: F.transform(chunks, lambda _, c: total(F.slice(chunks, F.lit(1), c)))
+    spoken = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: F.get(turns, i)["role"] == "assistant")
+    span = lambda each, before, i: F.struct(
+        (F.get(before, F.floor(i / CHUNK).cast("int")) + total(F.slice(each, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)) + lead(i)).alias("first"),
+        whole(F.get(turns, i)["body"]).alias("length"),
+    )
+    return _let(sizes, lambda each: _let(_let(sums(each), befores), lambda before: F.transform(spoken, lambda i: span(each, before, i))))
+
+
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, formatted, loss_spans (first character from 0, and length) of conv_id, turn, role, text rows."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    escaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("body")))
+    written = lambda b: F.concat(opening(b["role"]), F.array_join(b["bodies"], "[+]"), closing(b["role"]))
+    told = _let(
+        escaped, lambda each: F.struct(F.array_join(F.transform(_blocks(each), written), "").alias("formatted"), _spans(each).alias("loss_spans"))
     )
-    return marked.select("conv_id", blocks.alias("formatted"), spans.alias("loss_spans"))
+    return sorted_turns.select("conv_id", told.alias("told")).select("conv_id", "told.*")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
