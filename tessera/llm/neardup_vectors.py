@@ -8,19 +8,20 @@ within its share D / BLOCKS of the squared distance. So each block is
 range-joined under that budget alone, and the union of the candidates is verified
 with the full vectors in double precision.
 
-The range join of a block deals vectors by a grid over its two first components,
+The range join of a block deals vectors by a grid over its first GRID components,
 as wide as the block's radius: a vector is at home in one cell and a guest in
 those neighbours that its ball reaches, one of each two opposite ones. A pair is
 taken from the first block whose budget it meets, so none counts twice. A cell's
-rows are cut into tiles of about TILE and tiles meet in pairs, so a cell with a
-third of all rows is the work of many tasks, each of bounded size.
+rows are cut into tiles of about TILE_BYTES and tiles meet in pairs, so a cell with
+a third of all rows is the work of many tasks, each of bounded size. A task counts
+links and joins groups piece by piece and holds no list of links.
 
 Pairs don't leave the task that verifies them: a vector gets the number of its
 links there and the least vector that these links reach there. Numbers add up,
 and the links to the least vectors join the components over all tasks.
 
-Equal vectors (bit for bit) are joined as one representative with a count, so
-copies cost nothing.
+Equal unit vectors (bit for bit; told by 128 bits of hashes) are joined as one
+representative with a count, so copies cost nothing.
 
 Nulls and edges: null vectors, and ones with null or non-finite components or no
 length, link with nothing and form components of their own; vectors of another
@@ -31,6 +32,7 @@ repeated rows of an id are separate vectors with the same id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +45,20 @@ from tessera.operators.graphs import components
 
 COSINE = 0.95
 BLOCKS = 4
-#: Rows of a tile, about, and rows that are compared in one piece.
-TILE = 16_384
+#: Components of a block that the grid uses.
+GRID = 2
+#: Bytes of a tile's vectors, about.
+TILE_BYTES = 8_000_000
 #: Vectors of the sample that the rotation is fitted on.
 SAMPLE = 4_000
 #: Slack of the single-precision filter; what passes is verified in double precision.
 SLACK = 1e-5
 
 
+# Half of the neighbourhood of a cell, and the cell: of two neighbouring cells only one visits the other.
+_SHIFTS = [s for s in map(np.array, product((-1, 0, 1), repeat=GRID)) if tuple(s) >= (0,) * GRID]
+
+
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (the unit vector as array<double>; null where it can't link)."""
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
@@ -102,19 +110,19 @@ def dealt(representatives: DataFrame, turn: np.ndarray, budget: float) -> DataFr
             raw = [r.tobytes() for r in x]
             x = x @ turn
             for b in range(len(edges) - 1):
-                part = x[:, edges[b] : min(edges[b] + 2, edges[b + 1])] / radius
-                if part.shape[1] == 1:
-                    part = np.column_stack([part[:, 0], np.zeros(len(part))])
+                part = np.zeros((len(x), GRID))
+                used = x[:, edges[b] : min(edges[b] + GRID, edges[b + 1])] / radius
+                part[:, : used.shape[1]] = used
                 at = np.floor(part).astype(np.int64)
                 off = part - at  # place inside the home cell, in radii
-                # Half of the neighbourhood: for two neighbouring cells only one visits the other.
-                for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (-1, 1)):
-                    gap_x = np.where(dx > 0, 1 - off[:, 0], np.where(dx < 0, off[:, 0], 0.0))
-                    gap_y = 1 - off[:, 1] if dy else np.zeros(len(off))
-                    on = np.flatnonzero(gap_x**2 + gap_y**2 <= 1.0 + 1e-9)
-                    cell = ((at[on, 0] + dx + (1 << 20)) << 24) + ((at[on, 1] + dy + (1 << 20)) << 2) + b
+                for shift in _SHIFTS:
+                    gap = np.where(shift > 0, 1 - off, np.where(shift < 0, off, 0.0))
+                    on = np.flatnonzero((gap * gap).sum(axis=1) <= 1.0 + 1e-9)
+                    cell = np.zeros(len(on), dtype=np.int64)
+                    for k in range(GRID):
+                        cell = (cell << 20) + at[on, k] + shift[k] + (1 << 19)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell), pa.array(np.full(len(on), dx == dy == 0)), keys.take(pa.array(on)), copies.take(pa.array(on)), pa.array([raw[i] for i in on.tolist()], pa.binary())],
+                        [pa.array((cell << 2) + b), pa.array(np.full(len(on), not shift.any())), keys.take(pa.array(on)), copies.take(pa.array(on)), pa.array([raw[i] for i in on.tolist()], pa.binary())],
                         schema=pa.schema([("cell", pa.int64()), ("home", pa.bool_()), ("key", keys.type), ("copies", pa.int64()), ("v", pa.binary())]),
                     )
 
@@ -138,16 +146,15 @@ def _compare(home: np.ndarray, other: np.ndarray, b: int, edges: np.ndarray, bud
     return i[ok], j[ok]
 
 
-def _least_reached(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each of n rows the least rank that the links (i, j) reach."""
-    least = rank.copy()
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (for each row the least row of its group) with the groups of rows i and j made one, link by link."""
     while True:
-        before = least.copy()
-        low = np.minimum(least[i], least[j])
-        np.minimum.at(least, i, low)
-        np.minimum.at(least, j, low)
-        if (least == before).all():
-            return least
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
@@ -157,7 +164,7 @@ def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
     cells = checkpointed(cells)
     sizes = cells.groupBy("cell").agg(F.max("home").alias("any"), F.count("*").alias("n")).filter("any AND n > 1")
     own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    rows = cells.join(sizes.select("cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cell").withColumn("own", own)
+    rows = cells.join(sizes.select("cell", F.ceil(F.col("n") * (8 * dim) / TILE_BYTES).cast("int").alias("tiles")), "cell").withColumn("own", own)
     # Homes (side 1) meet the rows (side 2) of every tile; two homes meet where the first tile isn't the higher.
     place = lambda a, b, side: F.struct(a.alias("ta"), b.alias("tb"), F.lit(side).alias("side"))
     all_tiles, mine = F.sequence(F.lit(0), F.col("tiles") - 1), F.col("own")
@@ -180,7 +187,8 @@ def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
         x = np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float64).reshape(table.num_rows, dim)
         turned = (x @ turn).astype(np.float32)
         first, second = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        copies, n = np.asarray(table["copies"].combine_chunks()), table.num_rows
+        others, root = np.zeros(n), np.arange(n)  # rows are in the order of their keys
         for m in range(0, len(first), 1024):
             for k in range(0, len(second), 1024):
                 p, q = first[m : m + 1024], second[k : k + 1024]
@@ -191,15 +199,12 @@ def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
                 for c in range(0, len(i), 1 << 15):
                     u, w = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
                     ok = np.einsum("nd,nd->n", x[u], x[w]) >= cosine
-                    found.append((u[ok], w[ok]))
-        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
-        copies = np.asarray(table["copies"].combine_chunks())
-        n = table.num_rows
-        others = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
+                    u, w = u[ok], w[ok]
+                    others += np.bincount(u, weights=copies[w], minlength=n) + np.bincount(w, weights=copies[u], minlength=n)
+                    root = _joined(root, u, w)
         on = np.flatnonzero(others)
-        least = _least_reached(n, i, j, np.arange(n))  # rows are in the order of their keys
         return pa.Table.from_arrays(
-            [keys.take(pa.array(on)), pa.array(others[on].astype(np.int64)), keys.take(pa.array(least[on]))], schema=out
+            [keys.take(pa.array(on)), pa.array(others[on].astype(np.int64)), keys.take(pa.array(root[on]))], schema=out
         )
 
     return placed.select("cell", "home", "key", "copies", "v", "p.ta", "p.tb", "p.side").groupBy("cell", "ta", "tb").applyInArrow(run, schema)
@@ -207,9 +212,11 @@ def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
-    rows = checkpointed(unit_rows(vectors, id_col, vector_col))
+    rows = unit_rows(vectors, id_col, vector_col)
+    rows = checkpointed(rows.select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.lit(1)).alias("h2")))
     # Equal vectors are one representative, keyed by its least id.
-    reps = checkpointed(rows.filter("v IS NOT NULL AND id IS NOT NULL").groupBy("v").agg(F.min("id").alias("key"), F.count("*").alias("copies")))
+    reps = rows.filter("v IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("key"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    reps = checkpointed(reps)
     dims = [r["d"] for r in reps.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
     found = rows.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("others"), F.col("id").alias("root")).limit(0)
     for dim in dims:
@@ -222,9 +229,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     told = (
         reps.join(degree, reps["key"] == degree["linked"], "left")
         .join(labels, reps["key"] == labels["id"], "left")
-        .select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "key").alias("component_id"))
+        .select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "key").alias("component_id"))
     )
-    out = rows.select("id", "v").join(told, "v", "left")
+    # Null vectors have equal hashes, too, but no representative.
+    out = rows.select("id", "h1", "h2").join(checkpointed(told), ["h1", "h2"], "left")
     out = out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
