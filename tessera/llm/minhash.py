@@ -15,19 +15,22 @@ the probability Jaccard similarity of their weighted shingles.
    one.
 3. In every bucket members of other groups are verified against a hub, the member
    whose buckets are largest, STAR_ROUNDS times; links join groups in between.
-   Then all members of buckets that still hold several groups are compared where
-   the groups differ, inside tasks of bounded tiles, and only the groups that a
-   link joins leave the task. So every two members of a bucket either are linked
-   through others or have been compared, and no pairs of a group are written.
-   Hubs only read members that agree with them on LIKELY of some signature's
-   registers, as the others seldom link; the tiles decide all pairs of differing
-   groups by their shingles, whatever their signatures say.
-4. Linked are texts whose similarity is 0.8 or more: the probability Jaccard of
-   the weighted shingles, or the plain Jaccard of their sets.
+   Hubs only meet members that agree with them on LIKELY of some signature's
+   registers, as the others seldom link.
+4. In buckets that still hold several groups, all members of all groups but the
+   largest are compared with each other and with the largest, whatever their
+   signatures say, in tasks of two tiles of about TILE shingles each. So every two
+   members of a bucket either are linked through others or have been compared; only
+   the groups that a link joins leave a task. A group of thousands of near copies
+   beside some strangers costs as many rows as it has members.
+5. Linked are texts whose similarity is 0.8 or more: the probability Jaccard of
+   the weighted shingles, or the plain Jaccard of their sets. Texts are read twice,
+   for signatures and for the shingles of bucket members; after that only 48-bit
+   hashes of shingles and their counts move.
 
 Nulls and edges: texts without words (null, empty, punctuation only) are classes
-of their own; a null id gets a null class; rows that repeat an id are taken to
-repeat its text.
+of their own; a null id gets a null class; rows that repeat an id with another
+text are classed by their own texts, so an id may have several classes.
 """
 
 from __future__ import annotations
@@ -39,12 +42,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.text import add_columns, as_bytes, checkpointed, quoted, words
 from tessera.operators.graphs import components
+from tessera.operators.ordering import Rounds
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -53,8 +57,8 @@ REGISTERS = BANDS * ROWS
 #: Agreement from which star rounds compare a pair; the tiles decide the others.
 LIKELY = 0.67
 STAR_ROUNDS = 3
-#: Rows of a tile of a bucket, about.
-TILE = 2048
+#: Distinct shingles of a tile, about; a longer text is a tile of its own.
+TILE = 500_000
 _CACHED_WORDS = 100_000
 _word_hashes: dict[bytes, int] = {}
 _MASK48 = np.uint64((1 << 48) - 1)
@@ -120,25 +124,60 @@ def sketch(texts: int, of: np.ndarray, elements: np.ndarray, weight: np.ndarray,
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (digest of the word sequence; null without words), sig (16-bit marks as binary), flat (those without weights; null without repeats)."""
+    """id, key (digest of the word sequence; null without words), sig (16-bit marks as binary), flat (those without weights; null without repeats), size (distinct shingles)."""
     source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
         each = [words(t) for t in as_bytes(x["text"])]
         sigs: list[bytes | None] = []
         flat: list[bytes | None] = [None] * len(each)
+        size: list[int] = []
         for k in range(0, len(each), 4096):  # text numbers must fit 16 bits
             part = each[k : k + 4096]
             of, e, n = shingles(part)
+            size += np.bincount(of, minlength=len(part)).tolist()
             sigs += [s.tobytes() if w else None for s, w in zip(sketch(len(part), of, e, weights(n)), part, strict=True)]
             repeats = np.unique(of[n > 1])
             on = np.isin(of, repeats)
             plain = sketch(len(repeats), np.searchsorted(repeats, of[on]), e[on], np.ones(int(on.sum())))
             for i, s in zip(repeats.tolist(), plain, strict=True):
                 flat[k + i] = s.tobytes()
-        return {"key": [md5(b" ".join(w)).digest() if w else None for w in each], "sig": sigs, "flat": flat}
+        return {"key": list(map(text_key, each)), "sig": sigs, "flat": flat, "size": size}
 
-    return add_columns(source, ["text"], [T.StructField(c, T.BinaryType()) for c in ("key", "sig", "flat")], kernel, ["id"])
+    fields = [T.StructField(c, T.BinaryType()) for c in ("key", "sig", "flat")] + [T.StructField("size", T.IntegerType())]
+    return add_columns(source, ["text"], fields, kernel, ["id"])
+
+
+def text_key(each: list[bytes]) -> bytes | None:
+    """A digest of a word sequence; none of an empty one."""
+    return md5(b" ".join(each)).digest() if each else None
+
+
+def element_table(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, e (sorted 48-bit shingles), n (their counts as 32-bit numbers; null if all are 1) of the chosen (id, key), each key once."""
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(chosen, "id")
+
+    def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
+        each = [words(t) for t in as_bytes(x["text"])]
+        elements, counts = [], []
+        for w in each:
+            _, e, n = shingles([w])
+            elements.append(np.ascontiguousarray(e.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            counts.append(n.astype("<u4").tobytes() if (n > 1).any() else None)
+        return {"own": list(map(text_key, each)), "e": elements, "n": counts}
+
+    made = add_columns(source, ["text"], [T.StructField(c, T.BinaryType()) for c in ("own", "e", "n")], kernel, ["key"])
+    made = checkpointed(made.filter("own = key").drop("own"))
+    if made.count() > chosen.count():  # some rows repeat an id and its text
+        made = checkpointed(made.groupBy("key").agg(F.first("e").alias("e"), F.first("n").alias("n")))
+    return made
+
+
+def elements_of(e: bytes, n: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights of a row of the element table."""
+    wide = np.zeros((len(e) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(e, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel(), weights(np.frombuffer(n, dtype="<u4")) if n is not None else np.ones(len(wide))
 
 
 def similarity(a: bytes | None, b: bytes | None) -> float:
@@ -171,27 +210,24 @@ def _similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return max(plain, float((1.0 / total).sum()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The rows of pairs (ids a and b, and more) whose texts are similar enough. texts: id, text, each id once."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(needed, "id", "left_semi")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "text_a", "text_b")
+def verified(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
+    """a, b: the labels of the pairs (key, hub, label, hub_label) whose texts are similar enough."""
+    mine = elements.select("key", F.col("e").alias("e1"), F.col("n").alias("n1"))
+    hubs = elements.select(F.col("key").alias("hub"), F.col("e").alias("e2"), F.col("n").alias("n2"))
+    both = pairs.join(mine, "key").join(hubs, "hub").select("hub", "label", "hub_label", "e1", "n1", "e2", "n2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, known = [], {}
-            *rest, text_a, text_b = batch.columns
-            for a, ta, tb in zip(rest[0].to_pylist(), as_bytes(text_a), as_bytes(text_b), strict=True):
-                if a not in known:
-                    known = {a: _elements(ta)}  # pairs of one text mostly come in a row
-                keep.append(_similar(known[a], _elements(tb)) >= least - 1e-12)
+            hub, label, hub_label, *packed = batch.columns
+            keep, at, known = [], None, None
+            for i, h in enumerate(hub.to_pylist()):
+                if h != at:  # pairs of one hub mostly come in a row
+                    at, known = h, elements_of(packed[2][i].as_py(), packed[3][i].as_py())
+                keep.append(_similar(elements_of(packed[0][i].as_py(), packed[1][i].as_py()), known) >= least - 1e-12)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in rest], names=pairs_columns)
+            yield pa.RecordBatch.from_arrays([label.filter(mask), hub_label.filter(mask)], names=["a", "b"])
 
-    pairs_columns = pairs.columns
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _elements(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -199,99 +235,107 @@ def _elements(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return e, weights(n)
 
 
-def buckets(representatives: DataFrame) -> DataFrame:
-    """bucket, id, sig, flat, degree (members of its buckets) of all buckets with two members or more; of buckets with the same members one."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """bucket, key, size, degree (members of its buckets) of all buckets with two members or more; of buckets with the same members one."""
     hashed = lambda c: F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(c, b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     )
     both = F.when(F.col("flat").isNull(), hashed("sig")).otherwise(F.array_union(hashed("sig"), hashed("flat")))
-    bands = representatives.select("id", F.explode(both).alias("bucket"))
-    bands = checkpointed(bands)
+    bands = checkpointed(classes.select("key", "size", F.explode(both).alias("bucket")))
     sets = (
         bands.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high"))
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("low"), F.max("key").alias("high"))
         .filter("n > 1")
         .groupBy("n", "x", "low", "high")
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket", "n")
     )
-    kept = bands.join(sets, "bucket")
-    degree = kept.groupBy("id").agg(F.sum("n").alias("degree"))
-    return checkpointed(kept.select("bucket", "id").join(representatives.join(degree, "id"), "id"))
-
-
-def agreement(a: Column | str, b: Column | str) -> Column:
-    """The share of registers on which two signatures agree."""
-    same = F.filter(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda k: F.substring(a, 2 * k + 1, F.lit(2)) == F.substring(b, 2 * k + 1, F.lit(2)))
-    return F.size(same) / REGISTERS
-
-
-def likely_pair(least: float) -> Column:
-    """Whether a member and its hub agree on LIKELY of the registers of some signature."""
-    likely = least - SIMILARITY + LIKELY
-    flat = F.coalesce("flat", "sig"), F.coalesce("hub_flat", "hub_sig")
-    repeats = F.col("flat").isNotNull() | F.col("hub_flat").isNotNull()
-    return (agreement("sig", "hub_sig") >= likely) | (repeats & (agreement(*flat) >= likely))
-
-
-def relabelled(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """state with the labels that edges (a, b) between labels join made one."""
-    roots = components(edges).toDF("root", "new")
-    joined = state.join(roots, state["label"] == roots["root"], "left").withColumn("label", F.coalesce("new", "label"))
-    return checkpointed(joined.drop("root", "new"))
-
-
-def links(members: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """id, label: the group of every member of a bucket, the least id of those it is similar to through others."""
-    state = members.withColumn("label", F.col("id"))
-    for _ in range(STAR_ROUNDS):
-        split = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", "low")
-        # The least group was the hub's before, or holds one member of many.
-        hubs = state.join(split, "bucket").filter("label <> low").groupBy("bucket").agg(F.max(F.struct("degree", "id", "sig", "flat", "label")).alias("h"))
-        hubs = checkpointed(hubs.select(F.col("bucket").alias("hub_bucket"), F.col("h.id").alias("hub"), F.col("h.sig").alias("hub_sig"), F.col("h.flat").alias("hub_flat"), F.col("h.label").alias("hub_label")))
-        alike = (F.col("bucket") == F.col("hub_bucket")) & (F.col("label") != F.col("hub_label")) & likely_pair(least)
-        side = lambda i, name: F.struct(F.col(i).alias("id"), F.col(name).alias("label"))
-        one, two = side("id", "label"), side("hub", "hub_label")
-        pairs = state.join(hubs, alike).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
-        pairs = checkpointed(pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.label").alias("la"), F.col("q.label").alias("lb")))
-        edges = checkpointed(verified(pairs, texts, least).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    kept = checkpointed(bands.join(sets, "bucket"))
+    degree = kept.groupBy("key").agg(F.sum("n").alias("degree"))
+    return checkpointed(kept.select("bucket", "key", "size").join(degree, "key"))
+
+
+def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """The pairs (key, hub, label, hub_label) that agree on LIKELY of the registers of some signature."""
+    mine = sigs.select("key", F.col("sig").alias("s1"), F.col("flat").alias("f1"))
+    hubs = sigs.select(F.col("key").alias("hub"), F.col("sig").alias("s2"), F.col("flat").alias("f2"))
+    both = pairs.join(mine, "key").join(hubs, "hub").select(*pairs.columns, "s1", "s2", F.coalesce("f1", "s1").alias("f1"), F.coalesce("f2", "s2").alias("f2"))
+    columns, bound = pairs.columns, least - SIMILARITY + LIKELY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s1, s2, f1, f2 = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in batch.columns[len(columns) :])
+            mask = pa.array(np.maximum((s1 == s2).mean(axis=1), (f1 == f2).mean(axis=1)) >= bound)
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[: len(columns)]], names=columns)
+
+    return both.mapInArrow(run, pairs.schema)
+
+
+def hubs_of(state: DataFrame, first: bool) -> DataFrame:
+    """bucket, hub, hub_label of buckets with several groups: at first the member of highest degree, later the one outside the least group."""
+    if first:  # every member is a group of its own
+        return state.groupBy("bucket").agg(F.max(F.struct("degree", "key", "label")).alias("h")).select("bucket", F.col("h.key").alias("hub"), F.col("h.label").alias("hub_label"))
+    groups = checkpointed(state.groupBy("bucket", "label").agg(F.max(F.struct("degree", "key")).alias("h")))
+    split = groups.groupBy("bucket").agg(F.min("label").alias("low"), F.count("*").alias("n")).filter("n > 1").select("bucket", "low")
+    # The least group was the hub's before, or holds one member of many.
+    best = groups.join(split, "bucket").filter("label <> low").groupBy("bucket").agg(F.max(F.struct("h", "label")).alias("g"))
+    return best.select("bucket", F.col("g.h.key").alias("hub"), F.col("g.label").alias("hub_label"))
+
+
+def links(members: DataFrame, sigs: DataFrame, elements: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """key, label: the group of every member of a bucket, the least key of those it is similar to through others."""
+    rounds = Rounds(members.sparkSession)
+    state = members.withColumn("label", F.col("key"))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        roots = components(edges).toDF("label", "new")
+        return rounds.next(state.join(roots, "label", "left").select("bucket", "key", "size", "degree", F.coalesce("new", "label").alias("label")))
+
+    for k in range(STAR_ROUNDS):
+        hubs = checkpointed(hubs_of(state, k == 0))
+        pairs = state.join(hubs, "bucket").filter("label <> hub_label").select("key", "hub", "label", "hub_label").distinct()
+        edges = checkpointed(verified(likely(pairs, sigs, least), elements, least))
         if edges.isEmpty():
             break
-        state = relabelled(state, edges)
-    edges = checkpointed(bucket_links(state, texts, least))
+        state = joined(edges)
+    edges = checkpointed(bucket_links(state, elements, least))
     if not edges.isEmpty():
-        state = relabelled(state, edges)
-    return state.select("id", "label").distinct()
+        state = joined(edges)
+    return state.select("key", "label").distinct()
 
 
-def bucket_links(state: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def bucket_links(state: DataFrame, elements: DataFrame, least: float) -> DataFrame:
     """a < b: labels that some link joins, of all members of buckets that hold several labels."""
-    split = state.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    split = split.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = state.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    # Every two tiles meet once; a tile is first (side 1), second (2) or both (3) of its pair.
-    tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
-    place = F.transform(
-        tiles,
-        lambda t: F.struct(F.least("own", t).alias("ta"), F.greatest("own", t).alias("tb"), F.when(t == F.col("own"), 3).when(t > F.col("own"), 1).otherwise(2).alias("side")),
+    groups = state.groupBy("bucket", "label").agg(F.sum("size").alias("size"))
+    split = groups.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("n")).filter("n > 1")
+    tiles = lambda size: F.greatest(F.ceil(size / TILE), F.lit(1)).cast("int")
+    split = checkpointed(split.select("bucket", F.col("main.label").alias("main"), tiles(F.col("main.size")).alias("of_main"), tiles(F.col("size") - F.col("main.size")).alias("of_rest")))
+    at_main = F.col("label") == F.col("main")
+    rows = state.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.when(at_main, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    # A tile is first (side 1), second (2) or both (3) of its pair. Tiles of the largest
+    # group (numbers from of_rest) are second only, and don't meet each other.
+    place = lambda a, b, side: F.struct(a.alias("ta"), b.alias("tb"), side.alias("side"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, rest = F.col("own"), F.col("of_rest")
+    places = F.when(at_main, F.transform(every("of_rest"), lambda t: place(t, rest + own, F.lit(2)))).otherwise(
+        F.concat(
+            F.transform(every("of_rest"), lambda t: place(F.least(own, t), F.greatest(own, t), F.when(t == own, 3).when(t > own, 1).otherwise(2))),
+            F.transform(every("of_main"), lambda t: place(own, rest + t, F.lit(1))),
+        )
     )
-    placed = rows.select("bucket", "id", "label", F.explode(place).alias("p")).join(texts, "id")
-    kind = state.schema["label"].dataType
+    placed = rows.select("bucket", "key", "label", F.explode(places).alias("p")).select("bucket", "key", "label", "p.*").join(elements, "key")
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"].combine_chunks())
         names = table["label"].to_pylist()
-        numbers = {x: k for k, x in enumerate(sorted(set(names)))}
+        by_number = sorted(set(names))
+        numbers = {x: k for k, x in enumerate(by_number)}
         label = np.array([numbers[x] for x in names])
-        known = [_elements(t) for t in table["text"].cast(pa.binary()).to_pylist()]
-        found = tile_links(known, label, side, least)
-        by_number = list(numbers)
-        pairs = [sorted((by_number[a], by_number[b])) for a, b in found]
-        return pa.table({"a": pa.array([x for x, _ in pairs], table["label"].type), "b": pa.array([y for _, y in pairs], table["label"].type)})
+        known = [elements_of(e, n) for e, n in zip(table["e"].to_pylist(), table["n"].to_pylist(), strict=True)]
+        pairs = [sorted((by_number[a], by_number[b])) for a, b in tile_links(known, label, side, least)]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
 
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    each = placed.select("bucket", "id", "label", "text", "p.ta", "p.tb", "p.side")
-    return each.groupBy("bucket", "ta", "tb").applyInArrow(run, schema).distinct()
+    return placed.groupBy("bucket", "ta", "tb").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def tile_links(known: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -317,6 +361,18 @@ def tile_links(known: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, si
         if not open_.any():
             continue
         own = element[ends[i] - size[i] : ends[i]]
+        # What is common to similar texts has at least that share of this one's shingles, and
+        # of their weight: one of its rarest, whose share is just more than the rest, is common.
+        rare = np.argsort(count[own], kind="stable")
+        w = known[i][1][rare]
+        most = max(int((1 - least + 1e-9) * size[i]), int(np.searchsorted(np.cumsum(w), (1 - least + 1e-9) * mass[i], side="right"))) + 1
+        first = own[rare[:most]]
+        n = count[first]
+        near = np.zeros(rows, dtype=bool)
+        near[row[np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        open_ &= near
+        if not open_.any():
+            continue
         n = count[own]
         at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         mine = np.repeat(known[i][1], n)
@@ -341,27 +397,46 @@ def tile_links(known: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, si
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """id, class_id of every row: the least id of its group of copies and near copies."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """id, key of every row, and key, class_id of every key."""
     signed = checkpointed(signatures(docs, id_col, text_col))
-    classes = signed.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("sig").alias("sig"), F.min("flat").alias("flat"))
+    classes = signed.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(*[F.min(c).alias(c) for c in ("id", "sig", "flat", "size")])
     classes = checkpointed(classes)
-    members = buckets(classes.select("id", "sig", "flat"))
-    # Texts are read again for members of buckets alone.
-    texts = (
-        docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-        .join(members.select("id").distinct(), "id", "left_semi")
-        .dropDuplicates(["id"])
-    )
-    labels = links(members, checkpointed(texts), least)
-    named = classes.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
-    return signed.join(named, "key", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    members = buckets(classes)
+    chosen = checkpointed(classes.select("id", "key").join(members.select("key").distinct(), "key", "left_semi"))
+    elements = element_table(docs, chosen, id_col, text_col)
+    labels = checkpointed(links(members, classes.select("key", "sig", "flat"), elements, least).join(classes.select("key", "id"), "key"))
+    least_ids = labels.groupBy("label").agg(F.min("id").alias("class_id"))
+    named = labels.join(least_ids, "label").select("key", "class_id")
+    named = classes.select("key", "id").join(named, "key", "left").select("key", F.coalesce("class_id", "id").alias("class_id"))
+    return signed.select("id", "key"), checkpointed(named)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """id, class_id of every row: the least id of its group of copies and near copies."""
+    rows, named = _classes(docs, id_col, text_col, least)
+    out = rows.join(named, "key", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """docs, in their own columns, with the one of least id of each group; repeated rows of an id become one."""
-    classes = near_duplicates(docs, id_col, text_col, least)
-    dropped = classes.filter(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_gone_")).distinct()
-    kept = docs.join(dropped, docs[id_col] == dropped["_gone_"], "left_anti")
-    named = kept.filter(F.col(quoted(id_col)).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.filter(F.col(quoted(id_col)).isNull()))
+    """docs, in their own columns, with the one of least id of each group.
+
+    Rows without an id stay. Rows that repeat an id and its words become one (the
+    least, column by column); one that repeats an id with other words stays if it is
+    the least of its own group.
+    """
+    rows, named = _classes(docs, id_col, text_col, least)
+    classed = checkpointed(rows.filter("id IS NOT NULL").join(named, "key", "left"))
+    repeated = checkpointed(classed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    gone = classed.filter("class_id < id").select("id").unionByName(repeated)
+    inner = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])
+    own, text = (inner.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    out = inner.join(gone.withColumnRenamed("id", own), own, "left_anti")
+    if not repeated.isEmpty():
+        again = inner.join(repeated.withColumnRenamed("id", own), own, "left_semi")
+        again = add_columns(again, [text], [T.StructField("key", T.BinaryType())], lambda x: {"key": [text_key(words(t)) for t in as_bytes(x[text])]})
+        again = again.join(named, "key", "left").filter(F.col("class_id").isNull() | (F.col("class_id") == F.col(own)))
+        first = again.groupBy(own, "key").agg(F.min(F.struct(*inner.columns)).alias("row"))
+        out = out.unionByName(first.select("row.*"))
+    return out.select(*inner.columns).toDF(*docs.columns)

@@ -185,7 +185,7 @@ def test_quality_held_out(spark):
 @pytest.mark.parametrize("rounds", [3, 0])
 def test_near_duplicates(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(minhash, "TILE", 2 if rounds == 0 else minhash.TILE)
+    monkeypatch.setattr(minhash, "TILE", 150 if rounds == 0 else minhash.TILE)
     texts = []
     for k in range(12):
         base = prose(80, 100 + k).split()
