@@ -4,13 +4,16 @@ The content view sees the text: shares of upper case, digits, symbols and
 repeated words, word lengths, and the words that tell labelled classes apart.
 The metadata view sees language, source and length. For each target (good
 quality, toxic) both views are logistic regressions. In every round each view
-labels the unlabelled documents it is surest of for the other view, and both are
-fitted again. Labelled documents that neither was fitted on calibrate the views
-(a logistic regression over both views' log-odds), and the combined score rates
-all documents in one pass over the texts.
+looks at all documents without a label and labels those it is surest of for the
+other view, and both are fitted again. Labelled documents that neither was fitted
+on calibrate the views (a logistic regression over both views' log-odds), and the
+combined score rates all documents.
 
-Fitting uses a bounded sample: LABELLED rows of the labels and UNLABELLED
-documents, the least by a hash of their ids. All else covers every document.
+Fitting uses a bounded sample of labelled rows: LABELLED of the labels, the least by
+a hash of their ids, and from each view and round the TAUGHT documents of each class
+that it is surest of. All else covers every document: the telling words are counted
+in Spark, the numbers of all documents are written once, and the rounds choose from
+all of them. The driver gets numbers, never texts.
 
 Nulls and edges: a null text is rated like an empty one; null language, source
 or length are values of their own; labels that are null are left out, repeated
@@ -21,8 +24,9 @@ target its score is 1 (good) or 0 (toxic), so that nothing is rejected unseen.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import add_columns, as_bytes, quoted, words
+from tessera.llm.text import add_columns, as_bytes, checkpointed, quoted, words
 
-#: Labelled and unlabelled documents that fitting uses at most.
-LABELLED, UNLABELLED = 8_000, 1_000
+#: Labelled documents that fitting uses at most, and documents of a class that a view teaches the other in a round at most.
+LABELLED, TAUGHT = 8_000, 1_000
 #: Words that the content view looks for at most, and documents of the sample a word must be in.
 WORDS, LEAST_DOCUMENTS = 240, 5
 #: Least minus log of the chance that a word is spread so unevenly.
 SURPRISE = 14.0
-ROUNDS, CONFIDENT, SHARE = 2, 0.98, 0.1
+ROUNDS, CONFIDENT = 2, 0.98
 #: Ridge of each view: rare words that only one class has must be able to decide alone.
 RIDGE = {"content": 0.05, "meta": 1.0}
 _SLOTS = 64
@@ -142,17 +146,6 @@ class Model:
     good: Target | None
     toxic: Target | None
 
-    def content_matrix(self, texts: list[bytes | None]) -> np.ndarray:
-        width = len(surface(None, []))
-        x = np.zeros((len(texts), width + len(self.vocabulary)))
-        known = self.vocabulary.keys()
-        for i, t in enumerate(texts):
-            w = words(t)
-            x[i, :width] = surface(t, w)
-            for v in known & terms(w):
-                x[i, width + self.vocabulary[v]] = 1
-        return x
-
 
 def terms(each: list[bytes]) -> set[bytes]:
     """The words of a text and their beginnings of five bytes, which inflected forms share."""
@@ -160,97 +153,150 @@ def terms(each: list[bytes]) -> set[bytes]:
     return there | {w[:5] + b"-" for w in there}
 
 
-def telling_words(texts: list[bytes | None], targets: list[np.ndarray]) -> dict[bytes, int]:
-    """The words and beginnings whose presence differs most between a target's classes, by how unlikely its split is by chance."""
-    best: dict[bytes, float] = {}
-    # Copies of one text would make its words look telling: each set of terms counts
-    # once. Sets are made anew for each use, as all together would fill the driver.
-    first: dict[int, int] = {}
-    seen: Counter[bytes] = Counter()
-    for i, t in enumerate(texts):
-        there = terms(words(t))
-        if first.setdefault(hash(frozenset(there)), i) == i:
-            seen.update(there)
-    often = {w for w, n in seen.items() if n >= LEAST_DOCUMENTS}
-    seen.clear()
-    used = list(first.values())
-    counts = [{0.0: Counter(), 1.0: Counter()} for _ in targets]
-    for i in used:
-        there = often & terms(words(texts[i]))
-        for y, count in zip(targets, counts, strict=True):
-            if y[i] in count:
-                count[y[i]].update(there)
-    for y, count in zip(targets, counts, strict=True):
-        n1, n0 = float((y[used] == 1).sum()), float((y[used] == 0).sum())
-        if not n1 or not n0:
-            continue
-        of1, of0 = count[1.0], count[0.0]
-        for w in often:
-            # Bound of the chance of so uneven a split, were the word spread like the classes.
-            n, p = of1[w] + of0[w], n1 / (n1 + n0)
-            share = of1[w] / n if n else p
-            surprise = sum(n * q * np.log(q / r) for q, r in ((share, p), (1 - share, 1 - p)) if q > 0)
-            if surprise > SURPRISE:
-                best[w] = max(best.get(w, 0), surprise)
-    return {w: i for i, w in enumerate(sorted(best, key=lambda w: (-best[w], w))[:WORDS])}
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = ROUNDS) -> Target | None:
-    """The two views of one target after their rounds, with their calibration; None unless both classes are there."""
-    ok = np.flatnonzero(~np.isnan(y))
-    # A fixed shuffle, so that no order of the rows decides what calibrates.
-    mixed = np.random.default_rng(7).permutation(ok)
-    held, fit = np.sort(mixed[: len(ok) // 4]), np.sort(mixed[len(ok) // 4 :])
-    if any(len(set(y[part])) < 2 for part in (held, fit)):
-        return None
-    taught: dict[str, dict[int, float]] = {"content": {}, "meta": {}}
-    views = {"content": (text, more_text), "meta": (meta, more_meta)}
-    models: dict[str, Logistic] = {}
+def telling_words(rows: DataFrame) -> dict[bytes, int]:
+    """The words and beginnings whose presence differs most between a target's classes, by how unlikely its split is by chance.
+
+    rows: id, text, quality, toxic. Copies of one text would make its words look
+    telling, so each set of terms counts once.
+    """
+
+    def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
+        there = [sorted(terms(words(t))) for t in as_bytes(x["text"])]
+        return {"terms": there, "digest": [md5(b" ".join(t)).digest() for t in there]}
+
+    fields = [T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("digest", T.BinaryType())]
+    each = add_columns(rows, ["text"], fields, kernel, ["id", "quality", "toxic"])
+    first = checkpointed(each.groupBy("digest").agg(F.min(F.struct("id", "quality", "toxic", "terms")).alias("d")).select("d.quality", "d.toxic", "d.terms"))
+    kinds = [F.count_if(F.col(t) == k).alias(f"{t}{k}") for t in ("quality", "toxic") for k in (0, 1)]
+    all_of = first.agg(*kinds).first()
+    counts = first.select("quality", "toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), *kinds)
+
+    def surprise(target: str) -> F.Column:
+        """Bound of the chance of so uneven a split, were the word spread like the classes."""
+        n0, n1 = all_of[f"{target}0"], all_of[f"{target}1"]
+        if not n0 or not n1:
+            return F.lit(0.0)
+        share, p = F.col(f"{target}1") / (F.col(f"{target}0") + F.col(f"{target}1")), n1 / (n0 + n1)
+        part = lambda q, r: F.when(q > 0, q * F.log(q / r)).otherwise(0.0)
+        return F.coalesce((F.col(f"{target}0") + F.col(f"{target}1")) * (part(share, p) + part(1 - share, 1 - p)), F.lit(0.0))
+
+    best = counts.filter(F.col("n") >= LEAST_DOCUMENTS).select("term", F.greatest(surprise("quality"), surprise("toxic")).alias("s")).filter(F.col("s") > SURPRISE)
+    return {bytes(r["term"]): i for i, r in enumerate(best.orderBy(F.desc("s"), "term").limit(WORDS).collect())}
+
+
+_NUMBERS = [T.StructField("dense", T.BinaryType()), T.StructField("there", T.ArrayType(T.ShortType())), T.StructField("meta", T.BinaryType())]
+_INPUTS = ["text", "lang", "source", "n_chars"]
+
+
+def _told(x: dict[str, pa.Array], known: dict[bytes, int]) -> tuple[list[bytes], list[list[int]], list[bytes]]:
+    """dense, there and meta of the documents of a batch."""
+    dense, there = [], []
+    for t in as_bytes(x["text"]):
+        w = words(t)
+        dense.append(np.array(surface(t, w), dtype=np.float32).tobytes())
+        there.append(sorted(known[v] for v in known.keys() & terms(w)))
+    rows = zip(*(x[c].to_pylist() for c in _INPUTS[1:]), strict=True)
+    return dense, there, [np.array(metadata(*r), dtype=np.float32).tobytes() for r in rows]
+
+
+def numbers(docs: DataFrame, vocabulary: dict[bytes, int], keep: list[str]) -> DataFrame:
+    """The kept columns with dense (surface numbers), there (telling words of the text) and meta (metadata numbers)."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return add_columns(docs, _INPUTS, _NUMBERS, lambda x: dict(zip(("dense", "there", "meta"), _told(x, held.value), strict=True)), keep)
+
+
+def matrices(dense: list[bytes], there: list[list[int]], meta: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The content and metadata matrices of rows of numbers; width: telling words."""
+    size = len(surface(None, []))
+    text = np.zeros((len(dense), size + width))
+    text[:, :size] = np.frombuffer(b"".join(dense), dtype=np.float32).reshape(-1, size)
+    n = [len(t) for t in there]
+    text[np.repeat(np.arange(len(n)), n), size + np.fromiter((i for t in there for i in t), np.int64, sum(n))] = 1
+    told = np.frombuffer(b"".join(meta), dtype=np.float32).reshape(-1, 3)
+    return text, metadata_matrix([[int(a), int(b), float(c)] for a, b, c in told])
+
+
+def surest(pool: DataFrame, models: dict[tuple[str, str], Logistic], width: int) -> list:
+    """target, view, label, dense, there, meta of the TAUGHT documents of each class that each model is surest of, of all the pool."""
+    held = pool.sparkSession.sparkContext.broadcast(models)
+    least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+    kind = pool.schema["id"].dataType
+    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("view", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("sure", T.DoubleType()), T.StructField("id", kind), *_NUMBERS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, str, int], pa.Table] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024).select(["id", "dense", "there", "meta"])
+                x = matrices(*(part.column(c).to_pylist() for c in ("dense", "there", "meta")), width)
+                for (target, view), m in held.value.items():
+                    z = m.logits(x[view == "meta"])
+                    for label in (0, 1):
+                        sure = z if label else -z
+                        on = np.flatnonzero(sure >= least)
+                        more = pa.Table.from_batches([part.take(pa.array(on))]).add_column(0, "sure", pa.array(sure[on]))
+                        key = (target, view, label)
+                        best[key] = pa.concat_tables([best[key], more]) if key in best else more
+                        if best[key].num_rows > 2 * TAUGHT:
+                            best[key] = best[key].take(pa.array(np.argsort(-best[key]["sure"].to_numpy(), kind="stable")[:TAUGHT])).combine_chunks()
+        for (target, view, label), t in best.items():
+            same = lambda v, kind, n=t.num_rows: pa.array([v] * n, kind)
+            columns = [same(target, pa.string()), same(view, pa.string()), same(label, pa.int32()), *t.columns]
+            yield from pa.Table.from_arrays(columns, names=[f.name for f in schema]).to_batches()
+
+    found = checkpointed(pool.mapInArrow(run, schema))
+    out = []
+    for target, view in models:
+        for label in (0, 1):
+            of = found.filter((F.col("target") == target) & (F.col("view") == view) & (F.col("label") == label))
+            out += of.orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(TAUGHT).collect()
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = ROUNDS) -> Model:
+    """A model from a bounded sample of the labelled documents and from all others, by rounds of co-training."""
+    known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(quoted(id_col)).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = checkpointed(known)
+    own = docs.select(F.col(quoted(id_col)).alias("id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    # Bounded by LABELLED; of rows that repeat an id the least stands for all.
+    some = own.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)), "id")
+    some = checkpointed(some.groupBy("id").agg(F.min(F.struct("text", "lang", "source", "n_chars", "quality", "toxic")).alias("d")).select("id", "d.*"))
+    model = Model(telling_words(some), None, None)
+    width = len(model.vocabulary)
+    got = numbers(some, model.vocabulary, ["id", "quality", "toxic"]).orderBy("id").collect()
+    if not got:
+        return model
+    x = matrices([r["dense"] for r in got], [r["there"] for r in got], [r["meta"] for r in got], width)
+    pool = checkpointed(numbers(own, model.vocabulary, ["id"]).join(known.select("id"), "id", "left_anti"))
+    parts = {}
+    for target in ("quality", "toxic"):
+        y = np.array([np.nan if r[target] is None else float(r[target]) for r in got])
+        ok = np.flatnonzero(~np.isnan(y))
+        # A fixed shuffle, so that no order of the rows decides what calibrates.
+        mixed = np.random.default_rng(7).permutation(ok)
+        held, fit = np.sort(mixed[: len(ok) // 4]), np.sort(mixed[len(ok) // 4 :])
+        if all(len(set(y[part])) == 2 for part in (held, fit)):
+            parts[target] = (y, held, fit)
+    views = ("content", "meta")
+    taught = {(t, v): [(x[k][fit], y[fit])] for t, (y, _, fit) in parts.items() for k, v in enumerate(views)}
     for k in range(rounds + 1):
-        for name, (x, more) in views.items():
-            extra = list(taught[name])
-            models[name] = Logistic(RIDGE[name]).fit(np.vstack([x[fit], more[extra]]), np.concatenate([y[fit], [taught[name][i] for i in extra]]))
-        if k == rounds or not len(more_text):
+        models = {(t, v): Logistic(RIDGE[v]).fit(np.vstack([a for a, _ in rows]), np.concatenate([b for _, b in rows])) for (t, v), rows in taught.items()}
+        if k == rounds or not parts:
             break
-        for name, other in (("content", "meta"), ("meta", "content")):
-            p = 1 / (1 + np.exp(-models[name].logits(views[name][1])))
-            sure = np.flatnonzero(np.maximum(p, 1 - p) >= CONFIDENT)
-            order = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: int(SHARE * len(p)) + 1]
-            taught[other].update((int(i), float(p[i] > 0.5)) for i in order)
-    both = _joined(models["content"].logits(text[held]), models["meta"].logits(meta[held]))
-    return Target(models["content"], models["meta"], Logistic(ridge=0.1).fit(both, y[held]))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
-    """A model from bounded samples of the labelled and of all documents."""
-    known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_quality_"), F.max("toxic").alias("_toxic_"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
-    kept = docs.select(
-        id_col,
-        F.col("text").alias("_text_"),
-        F.col("lang").cast("string").alias("_lang_"),
-        F.col("source").cast("string").alias("_source_"),
-        F.col("n_chars").cast("long").alias("_size_"),
-    )
-    # Both samples are bounded by the parameters above.
-    some = kept.join(F.broadcast(known), id_col).dropDuplicates([id_col]).orderBy(id_col).toPandas()
-    pool_ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(7)), id_col).limit(UNLABELLED).distinct()
-    pool_ids = pool_ids.join(F.broadcast(known.select(id_col)), id_col, "left_anti")
-    pool = kept.join(F.broadcast(pool_ids), id_col).dropDuplicates([id_col]).orderBy(id_col).toPandas()
-
-    def views(frame):
-        texts = [None if t is None else t.encode() for t in frame["_text_"]]
-        sizes = [None if v != v else int(v) for v in frame["_size_"].astype("float64")]
-        return texts, metadata_matrix([metadata(*r) for r in zip(frame["_lang_"], frame["_source_"], sizes, strict=True)])
-
-    texts, meta = views(some)
-    more_texts, more_meta = views(pool)
-    quality, toxic = (some[c].astype("float64").to_numpy() for c in ("_quality_", "_toxic_"))
-    model = Model(telling_words(texts, [quality, toxic]), None, None)
-    x, more = model.content_matrix(texts), model.content_matrix(more_texts)
-    model.good = co_train(x, meta, quality, more, more_meta)
-    model.toxic = co_train(x, meta, toxic, more, more_meta)
-    return model
+        sure = surest(pool, models, width)
+        taught = {key: rows[:1] for key, rows in taught.items()}
+        for t, v in models:
+            of = [r for r in sure if (r["target"], r["view"]) == (t, v)]
+            if of:
+                more = matrices([r["dense"] for r in of], [r["there"] for r in of], [r["meta"] for r in of], width)
+                other = 1 - views.index(v)
+                taught[t, views[other]].append((more[other], np.array([float(r["label"]) for r in of])))
+    made = {}
+    for t, (y, held, _) in parts.items():
+        content, meta = models[t, "content"], models[t, "meta"]
+        both = _joined(content.logits(x[0][held]), meta.logits(x[1][held]))
+        made[t] = Target(content, meta, Logistic(ridge=0.1).fit(both, y[held]))
+    return Model(model.vocabulary, made.get("quality"), made.get("toxic"))
 
 
 _SCORES = ("p_good_content", "p_good_meta", "p_good", "p_toxic_content", "p_toxic_meta", "p_toxic")
@@ -262,15 +308,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
         m = held.value
-        columns = [x[c].to_pylist() for c in ("lang", "source", "n_chars")]
-        meta = metadata_matrix([metadata(*r) for r in zip(*columns, strict=True)])
-        text = m.content_matrix(as_bytes(x["text"]))
+        text, meta = matrices(*_told(x, m.vocabulary), len(m.vocabulary))
         n = len(text)
         good = m.good.probabilities(text, meta) if m.good else [np.ones(n)] * 3
         toxic = m.toxic.probabilities(text, meta) if m.toxic else [np.zeros(n)] * 3
         return dict(zip(_SCORES, map(pa.array, (*good, *toxic)), strict=True))
 
-    return add_columns(docs, ["text", "lang", "source", "n_chars"], [T.StructField(c, T.DoubleType()) for c in _SCORES], kernel, keep)
+    return add_columns(docs, _INPUTS, [T.StructField(c, T.DoubleType()) for c in _SCORES], kernel, keep)
 
 
 def kept_rows() -> F.Column:
