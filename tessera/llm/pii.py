@@ -9,10 +9,10 @@ passing over the whole document makes distant mentions agree. Each token has at
 most three skip links, to the last of its fellows, so their number grows with
 the text and not with its square.
 
-The field is trained here on what the base patterns label in a bounded sample of
-documents (TRAIN_DOCUMENTS, the least by a hash of their ids): a multinomial
-logistic regression gives the token potentials, smoothed label pairs along the
-links the others. Tokens that the field labels with a marginal of at least
+The field is trained here on what the base patterns label in all documents: tasks
+count feature sets with their labels and label pairs along links, Spark adds the
+counts up, and from them a multinomial logistic regression gives the token
+potentials and smoothed label pairs the others. Tokens that the field labels with a marginal of at least
 CERTAIN become spans if no base span overlaps them.
 
 Nulls and edges: a null text is an empty one and has no spans; texts are labelled
@@ -22,6 +22,9 @@ whole, whatever their length.
 from __future__ import annotations
 
 import re
+from ast import literal_eval
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import add_columns, quoted
+from tessera.llm.text import add_columns, quoted, slices
 
 # Kinds in the order of the output.
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCUMENTS = 4_000
 CERTAIN = 0.9
 ROUNDS, DAMPING = 6, 0.3
 _LABELS = len(KINDS) + 1  # 0 is none
@@ -175,21 +177,27 @@ def _node_scores(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
     return np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
 
 
-def train_field(texts: list[str]) -> Field:
-    """Piecewise training on the base labels of the texts."""
-    count: dict[tuple[tuple[int, ...], int], int] = {}
-    pairs = np.full((2, _LABELS, _LABELS), 0.1)
-    pairs[1] += 2 * np.eye(_LABELS)  # before any evidence, like tokens have like labels
+def evidence(texts: Iterable[str | None]) -> Counter:
+    """How often a token's features meet a label, (features, label), and a pair of labels a link, (is a skip, first, second)."""
+    seen: Counter = Counter()
     for text in texts:
-        g = graph(text)
-        if not g.spans:
+        if not text or not _ANY.search(text):
             continue
+        g = graph(text)
         y = token_labels(g, base_spans(text)).tolist()
-        for f, v in zip(g.features, y, strict=True):
-            key = (tuple(f), v)
-            count[key] = count.get(key, 0) + 1
-        for i, j, skip in g.links:
-            pairs[skip, y[i], y[j]] += 1
+        seen.update((tuple(f), v) for f, v in zip(g.features, y, strict=True))
+        seen.update((skip, y[i], y[j]) for i, j, skip in g.links)
+    return seen
+
+
+def train_field(seen: Mapping[tuple, int]) -> Field:
+    """Piecewise training on counts of evidence."""
+    count = {k: n for k, n in sorted(seen.items(), key=repr) if len(k) == 2}
+    pairs = np.full((2, _LABELS, _LABELS), 0.1)
+    pairs[1] += 2 * np.eye(_LABELS)  # before any evidence, like tokens have like labels
+    for k, n in seen.items():
+        if len(k) == 3:
+            pairs[k] += n
     weights = np.zeros((_FEATURES, _LABELS))
     if count:
         x = np.zeros((len(count), _FEATURES))
@@ -273,13 +281,18 @@ def find(texts: list[str | None], model: Field) -> list[tuple[list[tuple[int, in
     return list(zip(base, added, strict=True))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field, from a bounded sample of documents with a digit or an at sign."""
-    some = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    # The sample is chosen by id alone, so tasks send the driver ids and not texts to choose from.
-    chosen = some.select("id", F.xxhash64("id").alias("h")).filter("id IS NOT NULL").distinct().orderBy("h", "id").limit(TRAIN_DOCUMENTS)
-    rows = some.join(F.broadcast(chosen.select("id")), "id").dropDuplicates(["id"]).select("text").collect()
-    return train_field([r["text"] for r in rows])
+def train(docs: DataFrame, text_col: str = "text") -> Field:
+    """The field, from counts over all documents; only the distinct feature sets, which are few, reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                seen.update(evidence(part.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(map(repr, seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["k", "n"])
+
+    counts = docs.select(F.col(quoted(text_col)).alias("text")).mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return train_field({literal_eval(r["k"]): r["n"] for r in counts.collect()})
 
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -299,7 +312,7 @@ def label(docs: DataFrame, model: Field, text_col: str = "text", keep: list[str]
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: counts of base spans by kind, their digest, all spans."""
-    found = label(docs, train(docs, id_col), keep=[id_col])
+    found = label(docs, train(docs), keep=[id_col])
     written = lambda c: F.array_join(
         F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
@@ -307,26 +320,27 @@ def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *[count(k) for k in KINDS], F.sha2(written("base_spans"), 256).alias("base_sha256"), written("pii_spans").alias("spans"))
 
 
-def redacted(text: str | None, spans: list[dict]) -> str | None:
-    """The text with every span, or run of overlapping spans, replaced by the kind of the first of them."""
+def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with every span (kind, start, end), or run of overlapping spans, replaced by the kind of the first of them."""
     if not text or not spans:
         return text
     out, end = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-        if s["start"] >= end:
-            out += [text[end : s["start"]], f"[{s['kind'].upper()}]"]
-        end = max(end, s["end"])
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            out += [text[end:a], f"[{KINDS[kind].upper()}]"]
+        end = max(end, b)
     return "".join([*out, text[end:]])
 
 
-def redact(docs: DataFrame, model: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Field | None = None, text_col: str = "text") -> DataFrame:
     """docs, in their own columns, with personal data in the texts replaced by its kind."""
     inner = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])
     text = inner.columns[docs.columns.index(text_col)]
-    found = label(inner, model or train(docs, id_col, text_col), text)
+    held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
 
     def kernel(x: dict[str, pa.Array]) -> dict[str, object]:
-        return {text: [redacted(t, s) for t, s in zip(x[text].to_pylist(), x["pii_spans"].to_pylist(), strict=True)]}
+        texts = x[text].to_pylist()
+        return {text: [redacted(t, b + a) for t, (b, a) in zip(texts, find(texts, held.value), strict=True)]}
 
-    done = add_columns(found, [text, "pii_spans"], [T.StructField(text, T.StringType())], kernel, inner.columns)
+    done = add_columns(inner, [text], [T.StructField(text, T.StringType())], kernel, inner.columns)
     return done.select(*inner.columns).toDF(*docs.columns)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, empty texts, ties and clashing columns."""
 
 import base64
+import itertools
 import math
 import random
 import re
@@ -186,6 +187,30 @@ def test_personal_data(spark):
     assert clean[0] is None and clean[2] == "mail [EMAIL] now" and clean[4].startswith("call [PHONE]")
 
 
+def test_added_spans_follow_the_field(spark):
+    """The spans beyond the base, from exact marginals: all labellings of a document's few tokens are summed up."""
+    known = [f"call +1 (733) 555-4{i}59 or mail bob.{i}2@mail8.example.com from 10.0.0.{i}, card 4111 1111 1111 1111 item {i}" for i in range(10)]
+    odd = ["reach 733-555-4559 or 733-555-4559 ok", "ask bob.12@localhost then bob.12@mail8.example.com", "order 77 of 1999", "at 10.0.0.1.5 x"]
+    texts = known * 4 + odd
+    field = pii.train_field(pii.evidence(texts))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, texts)).collect()}
+    added = 0
+    for i in range(40, len(texts)):
+        base, g = pii.base_spans(texts[i]), pii.graph(texts[i])
+        score = pii._node_scores(g.features, field.weights)
+        every = list(itertools.product(range(5), repeat=len(g.spans)))
+        weight = np.exp([sum(score[k, y] for k, y in enumerate(ys)) + sum(field.pairs[s, ys[a], ys[b]] for a, b, s in g.links) for ys in every])
+        want = list(base)
+        for k, (a, b) in enumerate(g.spans):
+            p = np.bincount([ys[k] for ys in every], weights=weight, minlength=5) / weight.sum()
+            assert abs(p.max() - pii.CERTAIN) > 0.01  # clear cases, which message passing must decide alike
+            if p.argmax() and p.max() >= pii.CERTAIN and not any(x < b and y > a for _, x, y in base):
+                want.append((int(p.argmax()) - 1, a, b))
+                added += 1
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want))
+    assert added
+
+
 def test_skip_links_carry_labels():
     pairs = np.zeros((2, 5, 5))
     pairs[1] = 3 * np.eye(5)
