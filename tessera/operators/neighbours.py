@@ -14,8 +14,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
     Points are bucketed so that a cell holds about per_cell of them. A query looks
     at the cells within a ring; its answer is complete once it has k points no
     farther than the ring's edge. Queries that are not complete, and only they,
-    look again with the ring doubled, until the ring covers all points.
+    look again with the ring doubled, until the ring covers all points. Points and
+    queries with a null or non-finite coordinate have no neighbours and are none.
     """
+    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < float("inf")) for a in axes]
+    for test in finite:
+        queries, points = queries.filter(test), points.filter(test)
     box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max))]).first()
     if not box["n"]:
         return queries.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("d2")).limit(0)
@@ -45,3 +49,21 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...]
         if left.isEmpty():
             return done
         ring *= 2
+
+
+def locate(points: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
+    """id, triangle (the least id of those that hold the point; null outside), s, t (shares of its second and third corner).
+
+    triangles: id, ax, ay, bx, by, cx, cy. Every triangle is dealt to the grid cells
+    of a width that its box meets, a point to its own cell, so the join is an
+    equi-join; the width should be about that of a triangle.
+    """
+    cell = lambda c: F.floor(c / width)
+    box = {a: [f(*[f"{p}{a}" for p in "abc"]) for f in (F.least, F.greatest)] for a in "xy"}
+    dealt = triangles.select("*", F.explode(F.sequence(cell(box["x"][0]), cell(box["x"][1]))).alias("_i"), F.lit(0).alias("_j"))
+    dealt = dealt.select(F.col("id").alias("triangle"), "ax", "ay", "bx", "by", "cx", "cy", "_i", F.explode(F.sequence(cell(box["y"][0]), cell(box["y"][1]))).alias("_j"))
+    met = points.select("id", "x", "y", cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j")).join(dealt, ["_i", "_j"])
+    area = "((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))"
+    met = met.withColumn("s", F.expr(f"((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / {area}")).withColumn("t", F.expr(f"((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / {area}"))
+    first = met.filter("s >= 0 AND t >= 0 AND s + t <= 1").groupBy("id").agg(F.min(F.struct("triangle", "s", "t")).alias("f"))
+    return points.select("id").join(first, "id", "left").select("id", "f.triangle", "f.s", "f.t")

@@ -81,3 +81,11 @@ def z_order(points: DataFrame) -> DataFrame:
     side = lambda n: tuple(F.lit(box[f"{n}_{a}"]) for a in "xyz")
     keyed = points.withColumn("morton", v.morton(v.vec("x", "y", "z"), side("min"), side("max")))
     return numbered(keyed, ["morton", "id"], "place")
+
+
+def points_per_leaf(points: DataFrame, levels: int) -> DataFrame:
+    """leaf, points: how many points each cell of an octree of so many levels over the points' box holds; cells are told by the head of their Morton key."""
+    box = bounding_box(points).first()
+    side = lambda n: tuple(F.lit(box[f"{n}_{a}"]) for a in "xyz")
+    key = v.morton(v.vec("x", "y", "z"), side("min"), side("max"))
+    return points.select(F.shiftright(key, 3 * (21 - levels)).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("points"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators.graphs import components
-from tessera.operators.ordering import checkpointed
+from tessera.operators.ordering import checkpointed, numbered
 
 _CORNERS = ("v0", "v1", "v2", "v3")
 
@@ -131,6 +131,21 @@ def tagged_triangles(triangles: DataFrame, vertex_groups: DataFrame) -> DataFram
     return each.join(vertex_groups.select(F.col("id").alias("vertex"), "group"), "vertex").groupBy("id").agg(F.max("group").alias("group"))
 
 
+def group_counts(groups: DataFrame) -> DataFrame:
+    """group, faces, largest: the faces of each group (id, group), and whether its number is the highest."""
+    top = groups.agg(F.max("group")).first()[0]
+    return groups.groupBy("group").agg(F.count("*").alias("faces")).withColumn("largest", F.col("group") == F.lit(top))
+
+
+def extracted(triangles: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The kept triangles (ids in `kept`) renumbered from 0 in their order over renumbered vertices, and the vertices' new and old ids (id, was)."""
+    used = checkpointed(triangles.join(kept.select("id"), "id", "left_semi"))
+    vertices = used.select(F.explode(F.array("v0", "v1", "v2")).alias("was")).distinct()
+    vertices = checkpointed(numbered(vertices, ["was"], "to").select("was", "to"))
+    faces = numbered(remapped(used, vertices.select(F.col("was").alias("id"), "to")), ["id"], "face")
+    return faces.select(F.col("face").alias("id"), "v0", "v1", "v2"), vertices.select(F.col("to").alias("id"), "was")
+
+
 def interface_edges(triangles: DataFrame, groups: DataFrame) -> DataFrame:
     """p, q of half-edges whose own face has a lower group than their twin's."""
     he = half_edges(triangles)

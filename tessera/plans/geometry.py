@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,9 +84,14 @@ def spring_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> meshes.Mesh:
-    """A grid with about two triangles for every customer."""
-    n = sites.side(sites.table(spark, sf_dir, "customer"))
-    return meshes.grid(spark, n, n)
+    """A grid with about two triangles for every customer, whose balance moves the vertex of its number by up to half a cell."""
+    customers = sites.table(spark, sf_dir, "customer")
+    n = sites.side(customers)
+    m = meshes.grid(spark, n, n)
+    least = customers.agg(F.min("c_custkey")).first()[0] or 0
+    moves = customers.select((F.col("c_custkey") - least).alias("id"), (F.col("c_acctbal") / 20000 / n).alias("move"))
+    vertices = m.vertices.join(moves, "id", "left").withColumn("x", F.col("x") + F.coalesce("move", F.lit(0.0))).drop("move")
+    return dataclasses.replace(m, vertices=vertices.select(*m.vertices.columns))
 
 
 def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +211,29 @@ def land_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label.join(groups, "id").groupBy("label", F.col("group").cast("long").alias("group")).agg(F.count("*").alias("faces"))
 
 
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topology.group_counts(_groups(spark, sf_dir)[1])
+    return found.withColumn("group", F.col("group").cast("long"))
+
+
+def extracted_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, groups = _groups(spark, sf_dir)
+    return topology.extracted(m.triangles, groups.filter("group = 2"))[0]
+
+
+def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's triangle of every customer's site, and where in it the site lies."""
+    m = _grid(spark, sf_dir)
+    t = topology.with_corners(m.triangles, m.vertices)
+    n = sites.side(sites.table(spark, sf_dir, "customer"))
+    found = neighbours.locate(sites.square_sites(spark, sf_dir), t, 1.0 / n)
+    return found.select("id", "triangle", *_named(s=F.col("s"), t=F.col("t")))
+
+
+def points_per_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.points_per_leaf(sites.sphere_sites(spark, sf_dir), 3)
+
+
 def boundary_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid's outline, chained: loop, place, p, q."""
     he = topology.half_edges(_grid(spark, sf_dir).triangles).filter("twin_face IS NULL")
@@ -275,7 +304,7 @@ QUERIES = {
         sphere_params, lon_lat, tangent_project, lift_sites, bounding_box, morton_order, knn_square, knn_sphere, nearest_site, relative_error,
         merge_vertices, spring_time, grid_triangles, grid_quads, polygon_fan, unique_edges, boundary_edges, half_edge_twins, vertex_valence,
         manifold_check, one_ring, obj_text, site_text, icosphere_areas, squircle_areas, raster_lookup, raster_binary, raster_periodic, raster_smooth,
-        ear_clipping, tensor_functions, edge_flips, mask_tags, interface_edges, land_water, boundary_loop, stiffness_matrix, load_vector, quadrature_integral, fem_l2_error,
+        ear_clipping, tensor_functions, edge_flips, mask_tags, interface_edges, land_water, group_counts, extracted_mesh, located_points, points_per_leaf, boundary_loop, stiffness_matrix, load_vector, quadrature_integral, fem_l2_error,
     )
 }
 
@@ -290,7 +319,8 @@ _SPHERE = """s AS (
 _SQUARE = """c AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007) / 10007.0::DOUBLE AS x, (c_custkey * 104729 % 10009) / 10009.0::DOUBLE AS y, c_acctbal AS f FROM customer),
 p AS (SELECT s_suppkey AS id, (s_suppkey * 7919 % 10007) / 10007.0::DOUBLE AS x, (s_suppkey * 104729 % 10009) / 10009.0::DOUBLE AS y, s_acctbal AS f FROM supplier)"""
 _GRID = """n AS (SELECT greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT)) AS n FROM customer),
-vx AS (SELECT id, (id % (n + 1)) / n::DOUBLE AS x, (id // (n + 1)) / n::DOUBLE AS y, 0.0::DOUBLE AS z FROM n, unnest(range((n + 1) * (n + 1))) AS r(id)),
+mv AS (SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS id, c_acctbal / 20000 / n AS mv FROM customer, n),
+vx AS (SELECT g.id, (g.id % (n + 1)) / n::DOUBLE + coalesce(mv, 0) AS x, (g.id // (n + 1)) / n::DOUBLE AS y, 0.0::DOUBLE AS z FROM n, unnest(range((n + 1) * (n + 1))) AS g(id) LEFT JOIN mv ON mv.id = g.id),
 qd AS (SELECT id, f AS v0, f + 1 AS v1, f + n + 2 AS v2, f + n + 1 AS v3 FROM (SELECT id, n, (id // n) * (n + 1) + id % n AS f FROM n, unnest(range(n * n)) AS r(id))),
 tr AS (SELECT id * 2 AS id, v0, v1, v3 AS v2 FROM qd UNION ALL SELECT id * 2 + 1, v1, v2, v3 FROM qd)"""
 _EDGES = """e AS (SELECT id AS face, 0 AS k, v0 AS p, v1 AS q FROM tr UNION ALL SELECT id, 1, v1, v2 FROM tr UNION ALL SELECT id, 2, v2, v0 FROM tr)"""
@@ -335,6 +365,11 @@ q AS (SELECT id, CAST(floor(greatest(least((x - x0) / (x1 - x0) * 2091752, 20917
   CAST(floor(greatest(least((z - z0) / (z1 - z0) * 2091752, 2091752), 0)) AS BIGINT) AS k FROM s, b),
 m AS (SELECT id, 4 * {_bits("i")} + 2 * {_bits("j")} + {_bits("k")} AS morton FROM q)
 SELECT id, morton, row_number() OVER (ORDER BY morton, id) - 1 AS place FROM m""",
+    "points_per_leaf": f"""WITH {_SPHERE}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM s),
+q AS (SELECT id, CAST(floor(greatest(least((x - x0) / (x1 - x0) * 2091752, 2091752), 0)) AS BIGINT) AS i, CAST(floor(greatest(least((y - y0) / (y1 - y0) * 2091752, 2091752), 0)) AS BIGINT) AS j,
+  CAST(floor(greatest(least((z - z0) / (z1 - z0) * 2091752, 2091752), 0)) AS BIGINT) AS k FROM s, b),
+m AS (SELECT id, 4 * {_bits("i")} + 2 * {_bits("j")} + {_bits("k")} AS morton FROM q)
+SELECT morton >> 54 AS leaf, count(*) AS points FROM m GROUP BY 1""",
     "knn_square": _knn(_SQUARE, "c", "c", 8, "xy", True),
     "knn_sphere": _knn(_SPHERE, "s", "s", 8, "xyz", True),
     "nearest_site": _knn(_SQUARE, "c", "p", 1, "xy", False),
@@ -372,6 +407,15 @@ SELECT id, {_r("high")} AS high, {_r("low")} AS low, {_r("a * c - b * b")} AS de
     "raster_smooth": f"""WITH {_RASTER}, m AS (SELECT a.px, a.py, CAST(floor(avg(b.value)) AS BIGINT) AS mean FROM ra a JOIN ra b ON abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AND (a.px <> b.px OR a.py <> b.py) GROUP BY 1, 2)
 SELECT px, py, CASE WHEN px BETWEEN 1 AND 62 AND py BETWEEN 1 AND 30 THEN mean ELSE value END AS value FROM ra LEFT JOIN m USING (px, py)""",
     "mask_tags": f'WITH {_GRID}, {_RASTER}, {_MASK} SELECT id, CAST(grp AS BIGINT) AS "group" FROM tg',
+    "group_counts": f'WITH {_GRID}, {_RASTER}, {_MASK} SELECT CAST(grp AS BIGINT) AS "group", count(*) AS faces, grp = (SELECT max(grp) FROM tg) AS largest FROM tg GROUP BY grp',
+    "extracted_mesh": f"""WITH {_GRID}, {_RASTER}, {_MASK}, k AS (SELECT tr.* FROM tr JOIN tg USING (id) WHERE grp = 2),
+u AS (SELECT was, row_number() OVER (ORDER BY was) - 1 AS id FROM (SELECT DISTINCT unnest([v0, v1, v2]) AS was FROM k))
+SELECT row_number() OVER (ORDER BY k.id) - 1 AS id, a.id AS v0, b.id AS v1, c.id AS v2 FROM k JOIN u a ON a.was = v0 JOIN u b ON b.was = v1 JOIN u c ON c.was = v2""",
+    "located_points": f"""WITH {_GRID}, {_CORNERS}, {_SQUARE},
+b AS (SELECT c.id, ct.id AS triangle, ((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) AS s,
+    ((bx - ax) * (y - ay) - (b_y - ay) * (x - ax)) / ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) AS t FROM c, ct WHERE x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx)),
+f AS (SELECT id, min(triangle) AS triangle, arg_min(s, triangle) AS s, arg_min(t, triangle) AS t FROM b WHERE s >= 0 AND t >= 0 AND s + t <= 1 GROUP BY id)
+SELECT c.id, triangle, {_r("s")} AS s, {_r("t")} AS t FROM c LEFT JOIN f USING (id)""",
     "interface_edges": f"WITH {_GRID}, {_EDGES}, {_RASTER}, {_MASK} SELECT e.p, e.q FROM e JOIN e t ON t.p = e.q AND t.q = e.p JOIN tg a ON a.id = e.face JOIN tg b ON b.id = t.face WHERE a.grp < b.grp",
     "land_water": f"""WITH RECURSIVE {_GRID}, {_EDGES}, {_RASTER}, {_MASK},
 l AS (SELECT e.face AS a, t.face AS b FROM e JOIN e t ON t.p = e.q AND t.q = e.p JOIN tg x ON x.id = e.face JOIN tg y ON y.id = t.face WHERE x.grp = y.grp),

@@ -28,6 +28,46 @@ def test_nearest_is_exact(spark):
         assert [got[i][k] for k in range(6)] == want
 
 
+def test_nearest_sets_aside_what_has_no_place(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, None, 0.0), (4, float("nan"), 1.0), (5, float("inf"), 1.0)], "id long, x double, y double")
+    got = neighbours.nearest(df, df, 2, ("x", "y")).collect()
+    assert sorted((r["id"], r["rank"], r["neighbour"]) for r in got) == [(1, 0, 1), (1, 1, 2), (2, 0, 2), (2, 1, 1)]
+
+
+def test_locate_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    corners, p = r.random((60, 3, 2)), r.random((80, 2)) * 1.2
+    t = spark.createDataFrame([(i, *map(float, c.ravel())) for i, c in enumerate(corners)], "id long, ax double, ay double, bx double, by double, cx double, cy double")
+    q = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double")
+    got = {x["id"]: x["triangle"] for x in neighbours.locate(q, t, 0.2).collect()}
+    cross = lambda u, w: u[0] * w[1] - u[1] * w[0]
+    for i, x in enumerate(p):
+        sides = [[cross(c[(k + 1) % 3] - c[k], x - c[k]) for k in range(3)] for c in corners]
+        inside = [k for k, s in enumerate(sides) if min(s) >= 0 or max(s) <= 0]
+        assert got[i] == (inside[0] if inside else None)
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_a_long_path(spark, shuffled):
+    ids = np.arange(3000)
+    if shuffled:
+        np.random.default_rng(2).shuffle(ids)
+    rows = [(int(a), int(b)) for a, b in zip(ids, ids[1:])] + [(5000, 5000), (5002, 5001), (None, 7)]
+    got = {r["id"]: r["label"] for r in topology.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), 5000: 5000, 5001: 5001, 5002: 5001}
+    assert topology.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_extraction_renumbers(spark):
+    m = meshes.grid(spark, 3, 2)
+    faces, vertices = topology.extracted(m.triangles, m.triangles.filter("id % 3 = 1"))
+    was = {r["id"]: r["was"] for r in vertices.collect()}
+    kept = [r for r in m.triangles.orderBy("id").collect() if r["id"] % 3 == 1]
+    got = faces.orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(len(kept))) and sorted(was) == list(range(len(was)))
+    assert [[was[r[c]] for c in ("v0", "v1", "v2")] for r in got] == [[r[c] for c in ("v0", "v1", "v2")] for r in kept]
+
+
 def test_numbering_follows_the_order(spark):
     _, df = points(spark, 300)
     got = [r["n"] for r in ordering.numbered(df, ["x", "id"], "n").orderBy("x", "id").collect()]
