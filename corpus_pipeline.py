@@ -17,27 +17,42 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier finds good and not toxic."""
+    """Documents that the co-trained classifier finds good and not toxic.
+
+    A null text is rated like an empty one; without labels of both kinds nothing goes; repeated rows share their fate.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of copies and near copies."""
+    """The document of least id of each group of copies and near copies.
+
+    Documents without words, or without an id, stay; rows that repeat an id and its words become one.
+    """
     return minhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark text."""
+    """Documents without any window of a benchmark text.
+
+    Null and empty texts, of documents or benchmark items, have no words and no windows; such documents stay.
+    """
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind, n_chars counted anew."""
+    """All documents, personal data in their texts replaced by its kind, n_chars counted anew.
+
+    A null text stays null with its n_chars; an empty one stays empty; repeated rows stay.
+    """
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, offsets (first byte of each token) of every document."""
+    """doc_id, n_tokens, ids, offsets (first byte of each token) of every document.
+
+    Null and empty texts have no tokens; repeated rows stay.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
