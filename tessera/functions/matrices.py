@@ -36,3 +36,31 @@ def of_symmetric2(a: Column, b: Column, c: Column, f: Callable[[Column], Column]
     gap = high - low
     slope = F.when(gap > 1e-12 * F.abs(high), (p - q) / gap).otherwise(0.0)
     return p + slope * (a - high), slope * b, p + slope * (c - high)
+
+
+def determinant(m: list[list[Column]]) -> Column:
+    """Of a square matrix of columns, by cofactors of the first row; meant for up to four rows, as the terms grow factorially."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [m[0][j] * determinant(minor(m, 0, j)) for j in range(len(m))]
+    total = parts[0]
+    for j, part in enumerate(parts[1:], 1):
+        total = total - part if j % 2 else total + part
+    return total
+
+
+def minor(m: list[list[Column]], i: int, j: int) -> list[list[Column]]:
+    return [row[:j] + row[j + 1 :] for k, row in enumerate(m) if k != i]
+
+
+def inverse(m: list[list[Column]]) -> list[list[Column]]:
+    """By cofactors; null for a singular matrix."""
+    n, det = len(m), determinant(m)
+    safe = F.when(det != 0, det)
+    if n == 1:
+        return [[1 / safe]]
+    return [[(-1) ** (i + j) * determinant(minor(m, j, i)) / safe for j in range(n)] for i in range(n)]
+
+
+def trace(m: list[list[Column]]) -> Column:
+    return sum((m[k][k] for k in range(1, len(m))), m[0][0])

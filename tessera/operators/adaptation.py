@@ -83,3 +83,15 @@ def smooth_round(triangles: DataFrame, vertices: DataFrame, fixed: DataFrame) ->
     marked = vertices.join(mean, "id", "left").join(fixed.select("id", F.lit(True).alias("fixed")), "id", "left")
     stay = F.col("fixed") | F.col("mx").isNull()
     return marked.select("id", *[F.when(F.coalesce(stay, F.lit(False)), F.col(k)).otherwise(F.col(f"m{k}")).alias(k) for k in "xyz"])
+
+
+def wanted_size(value: Column, least: float, most: float) -> Column:
+    """The edge length that a raster value from 0 to 255 asks for."""
+    return least + value / 255.0 * (most - least)
+
+
+def size_between(p: Column, q: Column) -> Column:
+    """The mean edge length between two wanted sizes that grow geometrically along the edge."""
+    high, low = F.greatest(p, q), F.least(p, q)
+    ratio = high / low
+    return F.when(F.abs(ratio - 1) < 1e-12, p).otherwise(high * (ratio - 1) / (ratio * F.log(ratio)))

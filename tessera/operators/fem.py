@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
+from tessera.operators.ordering import checkpointed
+from tessera.operators.sparse import conjugate_gradient
 from tessera.operators.topology import corner_vectors, with_corners
 
 # Barycentric points and weights of quadrature rules by order.
@@ -75,3 +77,43 @@ def l2_error(triangles: DataFrame, vertices: DataFrame, values: DataFrame, exact
         gap = F.col("u0") * (1 - s - r) + F.col("u1") * s + F.col("u2") * r - exact(p)
         total = total + w * gap * gap
     return t.agg(F.sqrt(F.sum(v.planar_area(a, b, c) * total)).alias("error"))
+
+
+def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], fixed: DataFrame, tolerance: float = 1e-10, most: int = 2000) -> DataFrame:
+    """i, value: the linear solution of -laplace u = f with given values (id, value) at the fixed vertices.
+
+    Known values move to the right side, so that the system over the free vertices stays symmetric for conjugate gradients.
+    """
+    k = checkpointed(stiffness(triangles, vertices))
+    known = checkpointed(fixed.select(F.col("id").alias("i"), "value"))
+    free = lambda df, c: df.join(known.select(F.col("i").alias(c)), c, "left_anti")
+    moved = free(k, "i").join(known.select(F.col("i").alias("j"), F.col("value").alias("u")), "j").select("i", (-F.col("value") * F.col("u")).alias("value"))
+    right = free(load(triangles, vertices, f), "i").select("i", "value").unionByName(moved).groupBy("i").agg(F.sum("value").alias("value"))
+    inner = free(free(k, "i"), "j").select("i", "j", "value")
+    return conjugate_gradient(inner, right, tolerance, most).select("i", "value").unionByName(known.select("i", "value"))
+
+
+def triangle_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:
+    """id, gx, gy: the gradient of the linear interpolant of values (i, value) in each triangle of the plane."""
+    t = with_corners(triangles, vertices)
+    for k in range(3):
+        t = t.join(values.select(F.col("i").alias(f"v{k}"), F.col("value").alias(f"u{k}")), f"v{k}")
+    twice = v.orient2d(*[(F.col(f"{p}x"), F.col(f"{p}y")) for p in "abc"])
+    gx = (F.col("u0") * (F.col("by") - F.col("cy")) + F.col("u1") * (F.col("cy") - F.col("ay")) + F.col("u2") * (F.col("ay") - F.col("by"))) / twice
+    gy = (F.col("u0") * (F.col("cx") - F.col("bx")) + F.col("u1") * (F.col("ax") - F.col("cx")) + F.col("u2") * (F.col("bx") - F.col("ax"))) / twice
+    return t.select("id", gx.alias("gx"), gy.alias("gy"))
+
+
+def vertex_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:
+    """id, gx, gy: the plain mean over the triangles around each vertex of their gradients."""
+    each = triangle_gradients(triangles, vertices, values).join(triangles, "id")
+    return each.select(F.explode(F.array("v0", "v1", "v2")).alias("id"), "gx", "gy").groupBy("id").agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy"))
+
+
+def at_nodes(triangles: DataFrame, vertices: DataFrame, order: int, f: Callable[[v.Vec], Column]) -> DataFrame:
+    """id, node, value: f at the evenly spaced reference nodes of each triangle, row by row from its first corner; order 0 has its middle."""
+    a, b, c = corner_vectors()
+    steps = [(1 / 3, 1 / 3)] if order == 0 else [(s / order, r / order) for r in range(order + 1) for s in range(order + 1 - r)]
+    at = [v.add(v.add(v.scale(a, 1 - s - r), v.scale(b, s)), v.scale(c, r)) for s, r in steps]
+    nodes = F.array(*[F.struct(F.lit(k).cast("long").alias("node"), f(p).alias("value")) for k, p in enumerate(at)])
+    return with_corners(triangles, vertices).select("id", F.explode(nodes).alias("n")).select("id", "n.node", "n.value")

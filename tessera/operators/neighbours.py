@@ -67,3 +67,22 @@ def locate(points: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
     met = met.withColumn("s", F.expr(f"((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / {area}")).withColumn("t", F.expr(f"((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / {area}"))
     first = met.filter("s >= 0 AND t >= 0 AND s + t <= 1").groupBy("id").agg(F.min(F.struct("triangle", "s", "t")).alias("f"))
     return points.select("id").join(first, "id", "left").select("id", "f.triangle", "f.s", "f.t")
+
+
+def over_graph(points: DataFrame, edges: DataFrame, k: int, levels: int, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """id, rank, neighbour, d2: the k nearest of the points that at most so many edges (a, b; each once) lead to.
+
+    Ties go to the lower id; a point without edges has no row. The work grows with the points within reach,
+    so the edges should come from a graph of bounded degree, like a diagram's.
+    """
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    reached = both.select(F.col("a").alias("id"), F.col("b").alias("neighbour"))
+    for _ in range(levels - 1):
+        step = reached.join(both.select(F.col("a").alias("neighbour"), F.col("b").alias("to")), "neighbour").select("id", F.col("to").alias("neighbour"))
+        reached = checkpointed(reached.unionByName(step).filter("id <> neighbour").distinct())
+    at = points.select("id", *axes)
+    far = at.select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"n_{c}") for c in axes])
+    d2 = sum(((F.col(c) - F.col(f"n_{c}")) * (F.col(c) - F.col(f"n_{c}")) for c in axes), F.lit(0.0))
+    each = reached.join(at, "id").join(far, "neighbour").select("id", "neighbour", d2.alias("d2"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbour")) - 1)
+    return ranked.filter(F.col("rank") < k).select("id", "rank", "neighbour", "d2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators.graphs import components
-from tessera.operators.ordering import checkpointed, numbered
+from tessera.operators.ordering import Rounds, checkpointed, numbered
 
 _CORNERS = ("v0", "v1", "v2", "v3")
 
@@ -171,3 +171,34 @@ def fan(polygons: DataFrame) -> DataFrame:
     n = F.size("vertices")
     parts = F.transform(F.sequence(F.lit(1), n - 2), lambda k: F.struct(k.alias("k"), F.get("vertices", F.lit(0)).alias("v0"), F.get("vertices", k).alias("v1"), F.get("vertices", k + 1).alias("v2")))
     return polygons.filter(n >= 3).select(F.col("id").alias("polygon"), F.explode(parts).alias("t")).select("polygon", "t.*")
+
+
+def outlines(elements: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, p, q, r, loop, place: the outlines of faces merged by label (id, label), with the vertex r after q.
+
+    An edge is on the outline if the face across has another label or there is none. What follows an edge is found
+    by turning around its end through the faces of its label, by pointer doubling, so outlines that touch
+    themselves in a vertex stay apart. A loop is named after its least edge, numbered by face and place.
+    """
+    e = directed_edges(elements)
+    width = (e.agg(F.max("k")).first()[0] or 0) + 1
+    e = checkpointed(e.join(labels.select(F.col("id").alias("face"), "label"), "face").select("face", "p", "q", "label", (F.col("face") * width + F.col("k")).alias("e")))
+    after = e.select("face", F.col("p").alias("q"), F.col("e").alias("next"))
+    across = e.select(F.col("p").alias("q"), F.col("q").alias("p"), "label", F.col("e").alias("twin"))
+    e = e.join(after, ["face", "q"]).join(across, ["p", "q", "label"], "left").select("label", "p", "q", "e", "next", "twin")
+    e = checkpointed(e)
+    outer = e.filter("twin IS NULL")
+    # Edges that leave a vertex of the outline, and where each leads: itself on the outline, else the next one around the vertex.
+    leaving = e.join(outer.select("label", "p").distinct(), ["label", "p"], "left_semi")
+    turn = leaving.join(e.select(F.col("e").alias("twin"), F.col("next").alias("around")), "twin", "left")
+    rounds = Rounds(elements.sparkSession)
+    turn = rounds.next(turn.select("e", F.coalesce("around", "e").alias("to"), F.col("twin").isNull().alias("there")))
+    ends = outer.select(F.col("e").alias("to"))
+    while not turn.filter("NOT there").isEmpty():
+        further = turn.select(F.col("e").alias("to"), F.col("to").alias("far"), F.col("there").alias("arrived"))
+        turn = rounds.next(turn.join(further, "to").select("e", F.col("far").alias("to"), "arrived").withColumnRenamed("arrived", "there"))
+    turn = turn.join(ends, "to", "left_semi")
+    chained = outer.join(turn.select(F.col("e").alias("next"), F.col("to").alias("then")), "next")
+    chained = checkpointed(chained.join(outer.select(F.col("e").alias("then"), F.col("q").alias("r")), "then").select("label", "p", "q", "r", "e", "then"))
+    loop = loops(chained.select(F.col("e").alias("p"), F.col("then").alias("q"))).select(F.col("p").alias("e"), "loop", "place")
+    return chained.join(loop, "e").select("label", "p", "q", "r", "loop", "place")

@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators.neighbours import nearest
-from tessera.operators.ordering import checkpointed
+from tessera.operators.ordering import checkpointed, numbered
 
 #: Half-width of the square around a site that its cell on the sphere is cut from.
 FRACTION = 0.7
@@ -274,3 +274,48 @@ def lloyd(sites: DataFrame, rounds: int, domain: Domain = Domain()) -> DataFrame
     for _ in range(rounds):
         sites = centroids(diagram(sites, domain), domain)
     return sites
+
+
+def shared_mesh(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The diagram as a mesh whose cells share vertices: (id, i, j, k, x, y, z) and polygons (id, vertices).
+
+    Corners where the same three cells meet are one vertex, placed as the cell of least id has it; its cells are
+    i < j < k. Corners on the domain's boundary belong to one cell each and stay apart, with null j and k.
+    Vertices are numbered from 0 in the order of i, j, k and, on the boundary, their place in the cell.
+    """
+    n = F.size("points")
+    corner = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda k: F.struct(k.alias("at"), F.array_sort(F.array("id", F.get("neighbours", k), F.get("neighbours", (k + 1) % n))).alias("key"), F.get("points", k).alias("p")),
+    )
+    each = cells.filter(n >= 3).select("id", F.explode(corner).alias("c")).select("id", "c.at", "c.key", "c.p")
+    edge = F.exists("key", lambda c: c.isNull())
+    each = each.select(
+        "id", "at", "p", F.when(edge, F.col("id")).otherwise(F.get("key", F.lit(0))).alias("i"),
+        *[F.when(~edge, F.get("key", F.lit(m))).alias(c) for m, c in ((1, "j"), (2, "k"))], F.when(edge, F.col("at")).otherwise(-1).alias("own"),
+    )
+    each = checkpointed(each.select("id", "at", "p", "i", F.coalesce("j", F.lit(-1)).alias("j"), F.coalesce("k", F.lit(-1)).alias("k"), "own"))
+    merged = each.groupBy("i", "j", "k", "own").agg(F.min_by("p", F.struct("id", "at")).alias("p"))
+    merged = checkpointed(numbered(merged, ["i", "j", "k", "own"], "vertex"))
+    placed = each.join(merged.drop("p"), ["i", "j", "k", "own"])
+    polygons = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "vertex"))), lambda s: s["vertex"]).alias("vertices"))
+    inner = lambda c: F.when(F.col("own") < 0, F.col(c)).alias(c)
+    return merged.select(F.col("vertex").alias("id"), "i", inner("j"), inner("k"), "p.x", "p.y", "p.z"), polygons
+
+
+def statistics(cells: DataFrame) -> DataFrame:
+    """cells, incomplete (their neighbours ran out), corners, area and radius (the farthest corner from its site) of a diagram, in one row."""
+    away = lambda p: F.sqrt(sum(((p[c] - F.col(c)) * (p[c] - F.col(c)) for c in "xyz"), F.lit(0.0)))
+    return cells.agg(
+        F.count("*").alias("cells"),
+        F.count_if(~F.col("done")).alias("incomplete"),
+        F.sum(F.size("points").cast("long")).alias("corners"),
+        F.sum("volume").alias("area"),
+        F.max(F.array_max(F.transform("points", away))).alias("radius"),
+    )
+
+
+def averaged(history: DataFrame, columns: list[str]) -> DataFrame:
+    """history (round, columns; one row a round) with mean_<column>: the average of all rounds so far."""
+    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return history.select("*", *[F.avg(c).over(so_far).alias(f"mean_{c}") for c in columns])

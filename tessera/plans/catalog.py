@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import geometry, physics
+from tessera.plans import geometry, physics, surfaces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return geometry.QUERIES | physics.QUERIES
+    return geometry.QUERIES | physics.QUERIES | surfaces.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return geometry.SQL | physics.SQL
+    return geometry.SQL | physics.SQL | surfaces.SQL
