@@ -124,20 +124,39 @@ QUERIES = {
 # The others are looked for among the site's 32 nearest, which is enough where sites are spread evenly.
 
 _D3 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
-_BALL = f"""{_SPHERE},
-nb AS (SELECT * FROM (SELECT a.id, b.id AS o, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, row_number() OVER (PARTITION BY a.id ORDER BY {_D3}, b.id) AS r FROM s a JOIN s b ON a.id <> b.id) WHERE r <= 32),
-cr AS (SELECT a.id, a.o AS j, b.o AS k, a.dy * b.dz - a.dz * b.dy AS nx, a.dz * b.dx - a.dx * b.dz AS ny, a.dx * b.dy - a.dy * b.dx AS nz FROM nb a JOIN nb b ON a.id = b.id AND a.o < b.o),
-cv AS (SELECT c.id, j, k, nx * g AS vx, ny * g AS vy, nz * g AS vz FROM (SELECT cr.*, sign(nx * x + ny * y + nz * z) / sqrt(nx * nx + ny * ny + nz * nz) AS g FROM cr JOIN s USING (id)) c),
-vt AS (SELECT cv.id, j, k, any_value(vx) AS vx, any_value(vy) AS vy, any_value(vz) AS vz FROM cv JOIN nb USING (id) GROUP BY cv.id, j, k
-  HAVING max(CASE WHEN o IN (j, k) THEN 0 ELSE vx * dx + vy * dy + vz * dz END) <= 1e-14),
-en AS (SELECT id, unnest([j, k]) AS o, vx, vy, vz FROM vt),
-fc AS (SELECT id, o, arg_min(vx, vx) AS px, arg_min(vy, vx) AS py, arg_min(vz, vx) AS pz, arg_max(vx, vx) AS qx, arg_max(vy, vx) AS qy, arg_max(vz, vx) AS qz FROM en GROUP BY id, o HAVING count(*) = 2),
+def _ball(s: str = "s", n: str = "", weight: str = "0.0::DOUBLE") -> str:
+    """The corners (vt) and facets (fc) of the cells of the sites s; the weight of a site is an expression over it."""
+    w = weight.format
+    return f"""
+nb{n} AS (SELECT * FROM (SELECT a.id, b.id AS o, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, ({w("a.")} - {w("b.")}) / 2 AS g, row_number() OVER (PARTITION BY a.id ORDER BY {_D3}, b.id) AS r FROM {s} a JOIN {s} b ON a.id <> b.id) WHERE r <= 32),
+cr{n} AS (SELECT a.id, a.o AS j, b.o AS k, a.dx AS ax, a.dy AS ay, a.dz AS az, b.dx AS bx, b.dy AS b_y, b.dz AS bz, a.g AS ag, b.g AS bg,
+  a.dy * b.dz - a.dz * b.dy AS nx, a.dz * b.dx - a.dx * b.dz AS ny, a.dx * b.dy - a.dy * b.dx AS nz FROM nb{n} a JOIN nb{n} b ON a.id = b.id AND a.o < b.o),
+cp{n} AS (SELECT *, nx * nx + ny * ny + nz * nz AS d, (ag * (b_y * nz - bz * ny) + bg * (ny * az - nz * ay)) AS hx, (ag * (bz * nx - bx * nz) + bg * (nz * ax - nx * az)) AS hy, (ag * (bx * ny - b_y * nx) + bg * (nx * ay - ny * ax)) AS hz FROM cr{n}),
+cv{n} AS (SELECT c.id, j, k, hx / d + nx * g AS vx, hy / d + ny * g AS vy, hz / d + nz * g AS vz FROM (SELECT cp.*, sign(nx * x + ny * y + nz * z) * sqrt((1 - (hx * hx + hy * hy + hz * hz) / (d * d)) / d) AS g FROM cp{n} cp JOIN {s} USING (id)
+  WHERE hx * hx + hy * hy + hz * hz <= d * d) c),
+vt{n} AS (SELECT c.id, j, k, any_value(vx) AS vx, any_value(vy) AS vy, any_value(vz) AS vz FROM cv{n} c JOIN nb{n} USING (id) GROUP BY c.id, j, k
+  HAVING max(CASE WHEN o IN (j, k) THEN 0 ELSE vx * dx + vy * dy + vz * dz - g END) <= 1e-14),
+en{n} AS (SELECT id, unnest([j, k]) AS o, vx, vy, vz FROM vt{n}),
+fc{n} AS (SELECT id, o, arg_min(vx, vx) AS px, arg_min(vy, vx) AS py, arg_min(vz, vx) AS pz, arg_max(vx, vx) AS qx, arg_max(vy, vx) AS qy, arg_max(vz, vx) AS qz FROM en{n} GROUP BY id, o HAVING count(*) = 2)"""
+
+
+def _measured(s: str = "s", n: str = "") -> str:
+    """The volume and moment (m) of each cell, which holds its site."""
+    return f"""
+w{n} AS (SELECT f.*, x, y, z, py * qz - pz * qy AS cx, pz * qx - px * qz AS cy, px * qy - py * qx AS cz, px * qx + py * qy + pz * qz AS pq FROM fc{n} f JOIN {s} USING (id)),
+e{n} AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS c, x * cx + y * cy + z * cz AS up, x * px + y * py + z * pz AS a, x * qx + y * qy + z * qz AS b FROM w{n}),
+m{n} AS (SELECT id, sum(2 * atan2(abs(up), 1 + a + b + pq)) AS volume, {", ".join(f"sum(0.5 * atan2(c, pq) * sign(up) * c{k} / c) AS m{k}" for k in "xyz")}, count(*) AS corners FROM e{n} GROUP BY id)"""
+
+
+def _moved(n: str, to: str) -> str:
+    """The sites at the middles of their cells."""
+    return f"{to} AS (SELECT id, " + ", ".join(f"m{k} / sqrt(mx * mx + my * my + mz * mz) AS {k}" for k in "xyz") + f" FROM m{n})"
+
+
+_BALL = f"""{_SPHERE}, {_ball()},
 dv AS (SELECT DISTINCT ON (t) t, id, vx, vy, vz FROM (SELECT list_sort([id, j, k]) AS t, * FROM vt) ORDER BY t, id),
 dn AS (SELECT row_number() OVER (ORDER BY t) - 1 AS vid, * FROM dv)"""
-_CELLS = f"""{_BALL},
-w AS (SELECT fc.*, x, y, z, py * qz - pz * qy AS cx, pz * qx - px * qz AS cy, px * qy - py * qx AS cz, px * qx + py * qy + pz * qz AS pq FROM fc JOIN s USING (id)),
-e AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS c, x * cx + y * cy + z * cz AS up, x * px + y * py + z * pz AS a, x * qx + y * qy + z * qz AS b FROM w),
-m AS (SELECT id, sum(2 * atan2(abs(up), 1 + a + b + pq)) AS volume, {", ".join(f"sum(0.5 * atan2(c, pq) * sign(up) * c{k} / c) AS m{k}" for k in "xyz")}, count(*) AS corners FROM e GROUP BY id)"""
+_CELLS = f"{_BALL}, {_measured()}"
 # On the square a cell is cut by its site's bisectors and by the four sides: nx * vx + ny * vy <= g, from the site.
 _FLAT = f"""{_SQUARE},
 nb AS (SELECT id, o, nx, ny, (nx * nx + ny * ny) / 2 AS g FROM (SELECT a.id, b.id AS o, b.x - a.x AS nx, b.y - a.y AS ny, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS r FROM c a JOIN c b ON a.id <> b.id) WHERE r <= 32
@@ -178,6 +197,11 @@ SQL = {
 SELECT id AS bi, o AS bj, {_r('2 * atan2(sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy) + (pz - qz) * (pz - qz)), n)', 9)} AS length, {', '.join(_r(f's{k} / n', 9) + f' AS m{k}' for k in 'xyz')} FROM g""",
     "voronoi_sphere_delaunay": f"WITH {_BALL} SELECT t[1] AS i, t[2] AS j, t[3] AS k FROM dv",
     "voronoi_square_cells": f"WITH {_FLAT} SELECT id AS site, {_r('sum(t)', 9)} AS volume, {_r('sum(t * (x + (px + qx) / 3))', 9)} AS mx, {_r('sum(t * (y + (py + qy) / 3))', 9)} AS my FROM tr GROUP BY id",
+    # A cell of a power diagram may not hold its site, but it holds the middle of its corners.
+    "power_sphere_cells": f"""WITH {_SPHERE}, {_ball(weight="0.01 * abs({}z)")}, su AS (SELECT id, sum(vx) AS x, sum(vy) AS y, sum(vz) AS z FROM vt GROUP BY id),
+mid AS (SELECT id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM su), {_measured("mid")}
+SELECT s.id AS site, {_r("coalesce(volume, 0)", 9)} AS volume FROM s LEFT JOIN m USING (id)""",
+    "lloyd_sphere": f"WITH {_SPHERE}, {_ball()}, {_measured()}, {_moved('', 's1')}, {_ball('s1', '1')}, {_measured('s1', '1')}, {_moved('1', 's2')} SELECT id, {_r('x', 9)} AS x, {_r('y', 9)} AS y, {_r('z', 9)} AS z FROM s2",
     "diagram_vertices": f"WITH {_BALL} SELECT vid AS id, t[1] AS i, t[2] AS j, t[3] AS k, {_r('vx', 9)} AS x, {_r('vy', 9)} AS y, {_r('vz', 9)} AS z FROM dn",
     "diagram_polygons": f"""WITH {_BALL}, o AS (SELECT v.id, vid, x, y, z, v.vx, v.vy, v.vz, first_value(v.vx) OVER f AS fx, first_value(v.vy) OVER f AS fy, first_value(v.vz) OVER f AS fz
   FROM vt v JOIN dn ON t = list_sort([v.id, j, k]) JOIN s ON s.id = v.id WINDOW f AS (PARTITION BY v.id ORDER BY vid)),
