@@ -7,12 +7,14 @@ replaced triangles go by an anti-join, new ones come by a union.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators.ordering import checkpointed
-from tessera.operators.topology import corner_vectors, directed_edges, with_corners
+from tessera.operators.ordering import checkpointed, numbered
+from tessera.operators.topology import boundary_edges, corner_vectors, directed_edges, unique_edges, with_corners
 
 
 def _diamonds(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -53,15 +55,19 @@ def flip_round(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return triangles.select("id", "v0", "v1", "v2").join(gone, "id", "left_anti").unionByName(one).unionByName(two)
 
 
-def split_round(triangles: DataFrame, vertices: DataFrame, longest: float) -> tuple[DataFrame, DataFrame]:
-    """(triangles, vertices) after splitting an independent set of inner edges longer than the limit at their middles."""
+def split_round(triangles: DataFrame, vertices: DataFrame, longest: float, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(triangles, vertices) after splitting an independent set of inner edges longer than the limit at their middles.
+
+    With wanted sizes (id, h) of the vertices, lengths are in multiples of what they ask for.
+    """
     d = _diamonds(triangles, vertices)
     p, q = v.vec("px", "py", "pz"), v.vec("qx", "qy", "qz")
     size = v.length(v.sub(p, q))
+    if sizes is not None:
+        d = _with_sizes(d, sizes)
+        size = size / size_between(F.col("hp"), F.col("hq"))
     chosen = independent(d.filter(size > longest), ["face", "other"], -size)
     top_face, top_vertex = triangles.agg(F.max("id")).first()[0], vertices.agg(F.max("id")).first()[0]
-    from tessera.operators.ordering import numbered
-
     chosen = checkpointed(numbered(chosen, ["p", "q"], "n")).withColumn("m", F.col("n") + top_vertex + 1)
     gone = chosen.select(F.explode(F.array("face", "other")).alias("id"))
     face = lambda i, a, b, c: F.struct(i.alias("id"), F.col(a).alias("v0"), F.col(b).alias("v1"), F.col(c).alias("v2"))
@@ -95,3 +101,89 @@ def size_between(p: Column, q: Column) -> Column:
     high, low = F.greatest(p, q), F.least(p, q)
     ratio = high / low
     return F.when(F.abs(ratio - 1) < 1e-12, p).otherwise(high * (ratio - 1) / (ratio * F.log(ratio)))
+
+
+def _with_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """edges (p, q, ...) with the wanted sizes hp and hq of their ends."""
+    for c in "pq":
+        edges = edges.join(sizes.select(F.col("id").alias(c), F.col("h").alias(f"h{c}")), c)
+    return edges
+
+
+def collapse_round(triangles: DataFrame, vertices: DataFrame, shortest: float, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(triangles, vertices) after collapsing an independent set of edges shorter than the limit, shortest first.
+
+    The end q of p < q goes; p moves to the middle, or to the end that lies on the boundary. An edge stays if both
+    ends are on the boundary, if its ends have not just two neighbours in common, or if a face around would turn over
+    or become worse than a tenth of an equilateral one. Collapses of a round share no face around their ends.
+    With wanted sizes (id, h), lengths are in multiples of what they ask for.
+    """
+    triangles = triangles.select("id", "v0", "v1", "v2")
+    at = vertices.select("id", "x", "y", "z")
+    e = unique_edges(triangles).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    outer = boundary_edges(triangles).select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("outer", F.lit(True))
+    for c in "pq":
+        end = at.join(outer, "id", "left").select(F.col("id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in "xyz"], F.coalesce("outer", F.lit(False)).alias(f"{c}_outer"))
+        e = e.join(end, c)
+    p, q = v.vec("px", "py", "pz"), v.vec("qx", "qy", "qz")
+    size = v.length(v.sub(p, q))
+    if sizes is not None:
+        e = _with_sizes(e, sizes)
+        size = size / size_between(F.col("hp"), F.col("hq"))
+    place = lambda a, b: F.when(F.col("p_outer"), a).when(F.col("q_outer"), b).otherwise((a + b) / 2)
+    e = e.withColumn("size", size).filter((F.col("size") < shortest) & ~(F.col("p_outer") & F.col("q_outer")))
+    e = checkpointed(e.select("p", "q", "size", *[place(a, b).alias(f"n{k}") for a, b, k in zip(p, q, "xyz", strict=True)]))
+    # Neighbours that both ends have.
+    u = unique_edges(triangles)
+    near = u.unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    common = e.join(near.select(F.col("a").alias("p"), F.col("b").alias("w")), "p").join(near.select(F.col("a").alias("q"), F.col("b").alias("w")), ["q", "w"])
+    linked = common.groupBy("p", "q").agg(F.count("*").alias("n")).filter("n = 2").select("p", "q")
+    # Faces around either end, before and after.
+    corner = triangles.select("id", F.explode(F.array("v0", "v1", "v2")).alias("end"))
+    around = e.join(linked, ["p", "q"]).select("p", "q", "size", "nx", "ny", "nz", F.explode(F.array("p", "q")).alias("end")).join(corner, "end").drop("end").distinct()
+    faces = around.join(with_corners(triangles, at), "id")
+    old = corner_vectors()
+    is_end = lambda k: (F.col(f"v{k}") == F.col("p")) | (F.col(f"v{k}") == F.col("q"))
+    new = [tuple(F.when(is_end(k), F.col(f"n{c}")).otherwise(x) for c, x in zip("xyz", old[k], strict=True)) for k in range(3)]
+    up = lambda t: v.cross(v.sub(t[1], t[0]), v.sub(t[2], t[0]))
+    gone = sum((is_end(k).cast("int") for k in range(3)), F.lit(0)) == 2
+    fine = gone | ((v.dot(up(new), up(old)) > 0) & (v.quality(*new, v.planar_area(*new)) > 0.1))
+    valid = faces.groupBy("p", "q", "size", "nx", "ny", "nz").agg(F.bool_and(fine).alias("fine"), F.collect_list("id").alias("faces")).filter("fine").drop("fine")
+    ranked = checkpointed(valid.withColumn("rank", F.struct("size", "p", "q")))
+    each = ranked.select("p", "q", "rank", F.explode("faces").alias("id"))
+    best = each.groupBy("id").agg(F.min("rank").alias("best"))
+    first = each.join(best, "id").groupBy("p", "q").agg(F.bool_and(F.col("rank") == F.col("best")).alias("first")).filter("first").select("p", "q")
+    chosen = checkpointed(ranked.join(first, ["p", "q"]).select("p", "q", "nx", "ny", "nz"))
+    to = chosen.select(F.col("q").alias("was"), F.col("p").alias("to"))
+    out = triangles
+    for c in ("v0", "v1", "v2"):
+        out = out.join(to.select(F.col("was").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    out = out.filter("v0 <> v1 AND v1 <> v2 AND v2 <> v0").select("id", "v0", "v1", "v2")
+    moved = chosen.select(F.col("p").alias("id"), "nx", "ny", "nz")
+    kept = at.join(to.select(F.col("was").alias("id")), "id", "left_anti").join(moved, "id", "left")
+    return out, kept.select("id", *[F.coalesce(f"n{k}", k).alias(k) for k in "xyz"])
+
+
+def adapted(
+    triangles: DataFrame, vertices: DataFrame, size: Callable[[DataFrame], DataFrame], rounds: int, project: Callable[[v.Vec], v.Vec] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(triangles, vertices) after rounds that collapse edges under half the root of 2 of the wanted length, split those
+    over the root of 2, flip for quality and smooth; project puts moved vertices back on a surface.
+
+    size gives each vertex (id, x, y, z) its wanted length (id, h). Vertices on the boundary stay. The loop ends early
+    once a round changes no triangle.
+    """
+    onto = (lambda d: d.select("id", *[c.alias(k) for c, k in zip(project(v.vec("x", "y", "z")), "xyz", strict=True)])) if project else (lambda d: d.select("id", "x", "y", "z"))
+    t, p = checkpointed(triangles.select("id", "v0", "v1", "v2")), checkpointed(onto(vertices))
+    state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "v0", "v1", "v2"))).first()
+    for _ in range(rounds):
+        before = state(t)
+        t, p = collapse_round(t, p, 0.5**0.5, checkpointed(size(p)))
+        t, p = checkpointed(t), checkpointed(onto(p))
+        t, p = split_round(t, p, 2**0.5, checkpointed(size(p)))
+        t, p = checkpointed(t), checkpointed(onto(p))
+        t = checkpointed(flip_round(t, p))
+        p = checkpointed(onto(smooth_round(t, p, boundary_edges(t).select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+        if state(t) == before:
+            break
+    return t, p

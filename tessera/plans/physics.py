@@ -158,9 +158,8 @@ def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of the sites, written as JSON and read back through its arrays."""
     s = fluids.initial_state(sites.sphere_sites(spark, sf_dir), 2)
     text = formats.snapshot(s.select("id", "x", "y", "z", "h", F.lit(0.0).alias("w")))
-    arrays = F.from_json("json", "x array<double>, y array<double>, z array<double>, h array<double>, w array<double>, domain string")
-    rows = text.select(arrays.alias("s")).select(F.posexplode(F.arrays_zip("s.x", "s.y", "s.z", "s.h")).alias("place", "r"))
-    return rows.select(F.col("place").cast("long").alias("place"), *[R(F.col(f"r.{c}")).alias(c) for c in "xyz"], R(F.col("r.h"), 4).alias("h"))
+    rows = formats.snapshot_rows(text)
+    return rows.select(F.col("id").alias("place"), *[R(F.col(c)).alias(c) for c in "xyz"], R(F.col("h"), 4).alias("h"))
 
 
 # --- Matrices and graphs --------------------------------------------------

@@ -98,6 +98,20 @@ def field_at_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fem.at_nodes(m.triangles, m.vertices, 2, _bump).select("id", "node", R(F.col("value"), 9).alias("value"))
 
 
+def adapted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's triangles after a round of adaptation to the raster's sizes, half to twice its spacing."""
+    m = _grid(spark, sf_dir)
+    step = 1.0 / sites.side(sites.table(spark, sf_dir, "customer"))
+
+    def size(p: DataFrame) -> DataFrame:
+        at = _raster_at(spark, sf_dir, p.select("id", F.col("x").alias("u"), F.col("y").alias("v")))
+        return at.select("id", adaptation.wanted_size(F.col("value"), step / 2, step * 2).alias("h"))
+
+    t, p = adaptation.adapted(m.triangles, m.vertices, size, 1)
+    a, b, c = topology.corner_vectors()
+    return topology.with_corners(t, p).select("id", "v0", "v1", "v2", R(v.planar_area(a, b, c), 9).alias("area"))
+
+
 _FIELDS = ("l_quantity / 10", "l_extendedprice / 10000", "l_discount * 100", "l_tax * 100")
 
 
@@ -115,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         diagram_vertices, diagram_polygons, diagram_statistics, dual_graph_knn, region_outlines, edge_sizes, surface_samples, ocean_sites,
-        triangle_gradients, vertex_gradients, field_at_nodes, covariance_inverses,
+        triangle_gradients, vertex_gradients, field_at_nodes, covariance_inverses, adapted_grid,
     )
 }
 
