@@ -24,8 +24,8 @@ from tessera.functions import vectors as v
 from tessera.operators.neighbours import nearest
 from tessera.operators.ordering import checkpointed, numbered
 
-#: Half-width of the square around a site that its cell on the sphere is cut from.
-FRACTION = 0.7
+#: Half-width, on the plane that touches the sphere at a site, of the square that its cell is cut from: all but half a sphere.
+START = 1000.0
 NEIGHBOURS = 24
 #: Fixed value: slack of the security radius.
 SECURITY = 4.01
@@ -87,7 +87,7 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         t = np.where(size[:, None] > 1e-12, t / np.maximum(size, 1e-12)[:, None], [1.0, 0.0, 0.0])
         u = np.cross(t, site)
         for k, d in enumerate((u, t, -u, -t)):
-            planes[:, k, :3], planes[:, k, 3] = -d, FRACTION
+            planes[:, k, :3] = (START * site - d) / np.hypot(START, 1)
     else:
         (x0, y0), (x1, y1) = domain.low, domain.high
         planes[:, 0] = (0, 1, 0, -y0)
@@ -174,12 +174,26 @@ _CELL = "id long, x double, y double, z double, w double, volume double, mx doub
 
 def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row per site: volume, moment, done, and for each edge of the cell its neighbour (null: the domain's
-    boundary) and its end point, in order."""
+    boundary) and its end point, in order.
+
+    Of sites in one place the one of greatest weight, then of least id, has the cell. The others, and sites with a null
+    or non-finite number, have empty cells of volume 0. On the sphere a cell is less than half of it, so sites
+    that all lie in one half leave a part of the other half to no cell.
+    """
     axes = ("x", "y", "z") if domain.sphere else ("x", "y")
     base = sites.select("id", "x", "y", (F.col("z") if "z" in sites.columns else F.lit(0.0)).alias("z"), (F.col("w") if "w" in sites.columns else F.lit(0.0)).alias("w"))
-    base = checkpointed(base)
+    every = checkpointed(base)
+    finite = F.lit(True)
+    for c in "xyzw":
+        finite = finite & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    held = every.filter(finite).groupBy("x", "y", "z").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("id")).select("id")
+    base = checkpointed(every.join(held, "id", "left_semi"))
+    empty = {"neighbours": "array<long>", "points": "array<struct<x:double,y:double,z:double>>"}
+    parts = every.join(base.select("id"), "id", "left_anti").select(
+        "id", "x", "y", "z", "w", *[F.lit(0.0).alias(c) for c in ("volume", "mx", "my", "mz")], F.lit(True).alias("done"), *[F.array().cast(t).alias(c) for c, t in empty.items()]
+    )
     total = base.count()
-    todo, parts = base, None
+    todo = base
     k = min(neighbours, max(total - 1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +233,7 @@ def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGH
             rows = todo.withColumn("near", F.expr("cast(null as array<struct<d2:double,id:long,x:double,y:double,z:double,w:double>>)"))
         cells = checkpointed(rows.mapInArrow(run, _CELL))
         finished = cells.filter("done")
-        parts = finished if parts is None else parts.unionByName(finished)
+        parts = parts.unionByName(finished)
         todo = base.join(cells.filter("NOT done").select("id"), "id", "left_semi")
         if todo.isEmpty():
             return parts

@@ -28,6 +28,29 @@ def test_diagram_as_a_mesh(spark):
     assert row["cells"] == 60 and row["incomplete"] == 0 and row["corners"] == 6 * 60 - 12 and row["area"] == pytest.approx(4 * math.pi)
 
 
+@pytest.mark.parametrize("sites", ["tetrahedron", "octahedron"])
+def test_large_cells_are_whole(spark, sites):
+    m = meshes.subdivided_sphere(spark, 0, sites) if sites == "octahedron" else None
+    k = 3**-0.5
+    df = m.vertices if m else spark.createDataFrame([(0, k, k, k), (1, k, -k, -k), (2, -k, k, -k), (3, -k, -k, k)], "id long, x double, y double, z double")
+    n = df.count()
+    for r in voronoi.diagram(df).collect():
+        assert r["volume"] == pytest.approx(4 * math.pi / n, abs=1e-9)
+
+
+def test_sites_in_one_place_and_without_one(spark):
+    x, df = sphere(spark, 40)
+    nan, inf = float("nan"), float("inf")
+    more = [(100, *map(float, x[3])), (101, *map(float, x[3])), (102, None, 0.0, 0.0), (103, nan, nan, nan), (104, inf, 0.0, 0.0)]
+    cells = {r["id"]: r for r in voronoi.diagram(df.unionByName(spark.createDataFrame(more, df.schema))).collect()}
+    assert len(cells) == 45 and sum(r["volume"] for r in cells.values()) == pytest.approx(4 * math.pi)
+    assert all(cells[k]["volume"] == 0 and cells[k]["points"] == [] for k in range(100, 105)) and cells[3]["volume"] > 0
+    heavy = df.withColumn("w", F.lit(0.0)).unionByName(spark.createDataFrame([(100, *map(float, x[3]), 0.001)], "id long, x double, y double, z double, w double"))
+    got = {r["id"]: r["volume"] for r in voronoi.diagram(heavy).collect()}
+    assert got[3] == 0 and got[100] > 0 and sum(got.values()) == pytest.approx(4 * math.pi)
+    assert voronoi.diagram(df.limit(0)).count() == 0 and voronoi.diagram(df.filter("id = 1")).count() == 1
+
+
 def test_corners_on_the_boundary_stay_apart(spark):
     r = np.random.default_rng(2).random((30, 2))
     df = spark.createDataFrame([(i, float(a), float(b), 0.0) for i, (a, b) in enumerate(r)], "id long, x double, y double, z double")
