@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,6 +30,18 @@ def eigen2(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return middle + spread, middle - spread
 
 
+def eigen3(m: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric matrix of three rows, the largest first, by the angle of its characteristic cubic."""
+    mean = trace(m) / 3
+    off = m[0][1] * m[0][1] + m[0][2] * m[0][2] + m[1][2] * m[1][2]
+    spread = F.sqrt((sum(((m[k][k] - mean) * (m[k][k] - mean) for k in range(3)), F.lit(0.0)) + 2 * off) / 6)
+    b = [[m[i][j] - mean if i == j else m[i][j] for j in range(3)] for i in range(3)]
+    turn = F.acos(F.greatest(F.least(determinant(b) / (2 * spread * spread * spread), F.lit(1.0)), F.lit(-1.0))) / 3
+    high = F.when(spread > 0, mean + 2 * spread * F.cos(turn)).otherwise(mean)
+    low = F.when(spread > 0, mean + 2 * spread * F.cos(turn + 2 * math.pi / 3)).otherwise(mean)
+    return high, 3 * mean - high - low, low
+
+
 def of_symmetric2(a: Column, b: Column, c: Column, f: Callable[[Column], Column]) -> tuple[Column, Column, Column]:
     """f of the symmetric matrix through its eigenvalues: exponential, logarithm, powers, roots."""
     high, low = eigen2(a, b, c)

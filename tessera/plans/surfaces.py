@@ -125,11 +125,19 @@ def covariance_inverses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.select("id", R(matrices.determinant(m), 3).alias("det"), R(matrices.trace(m)).alias("trace"), *[R(back[i][j]).alias(f"i{i}{j}") for i, j in pairs])
 
 
+def covariance_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues of the suppliers' covariances of three columns of their line items, plus 1 on the diagonal."""
+    li = sites.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), *[F.expr(f).alias(f"f{k}") for k, f in enumerate(_FIELDS[:3])])
+    cov = li.groupBy("id").agg(*[F.covar_pop(f"f{i}", f"f{j}").alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
+    found = matrices.eigen3([[F.col(f"c{min(i, j)}{max(i, j)}") + (1.0 if i == j else 0.0) for j in range(3)] for i in range(3)])
+    return cov.select("id", *[R(e).alias(n) for e, n in zip(found, ("high", "middle", "low"), strict=True)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         diagram_vertices, diagram_polygons, diagram_statistics, dual_graph_knn, region_outlines, edge_sizes, surface_samples, ocean_sites,
-        triangle_gradients, vertex_gradients, field_at_nodes, covariance_inverses, adapted_grid,
+        triangle_gradients, vertex_gradients, field_at_nodes, covariance_inverses, covariance_eigenvalues, adapted_grid,
     )
 }
 
@@ -242,6 +250,11 @@ SELECT d.id, triangle, {_r('ax * (1 - r) + bx * r * (1 - s) + cx * r * s', 9)} A
     "field_at_nodes": f"WITH {_GRID}, {_CORNERS} " + " UNION ALL ".join(
         f"SELECT id, {k}::BIGINT AS node, {_r(f'sin(pi() * (ax * {1 - s - t} + bx * {s} + cx * {t})) * sin(pi() * (ay * {1 - s - t} + b_y * {s} + cy * {t}))', 9)} AS value FROM ct" for k, (s, t) in enumerate(_NODES)
     ),
+    # Newton's steps from the trace fall to the largest root; the others follow from it.
+    "covariance_eigenvalues": "WITH cv AS (SELECT l_suppkey AS id, " + ", ".join(f"covar_pop({_FIELDS[i]}, {_FIELDS[j]}) + {float(i == j)} AS m{i}{j}" for i in range(3) for j in range(i, 3)) + f""" FROM lineitem GROUP BY 1),
+c AS (SELECT id, m00 + m11 + m22 AS t, m00 * m11 + m00 * m22 + m11 * m22 - m01 * m01 - m02 * m02 - m12 * m12 AS u, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS d FROM cv),
+h0 AS (SELECT *, t AS h FROM c), {", ".join(f"h{k + 1} AS (SELECT id, t, u, d, CASE WHEN 3 * h * h - 2 * t * h + u > 0 THEN h - (((h - t) * h + u) * h - d) / (3 * h * h - 2 * t * h + u) ELSE h END AS h FROM h{k})" for k in range(40))}
+SELECT id, {_r("h")} AS high, {_r("(t - h + sqrt(greatest(0, (t - h) * (t - h) - 4 * d / h))) / 2")} AS middle, {_r("(t - h - sqrt(greatest(0, (t - h) * (t - h) - 4 * d / h))) / 2")} AS low FROM h40""",
     "covariance_inverses": "WITH cv AS (SELECT l_suppkey AS id, " + ", ".join(f"covar_pop({_FIELDS[i]}, {_FIELDS[j]}) + {float(i == j)} AS m{i}{j}" for i in range(4) for j in range(i, 4)) + f""" FROM lineitem GROUP BY 1), {_eliminated()}
 SELECT g4.id, {_r('det', 3)} AS det, {_r('m00 + m11 + m22 + m33')} AS trace, {', '.join(f"{_r(f'b{i}{j}')} AS i{i}{j}" for i in range(4) for j in range(i, 4))} FROM g4 JOIN cv USING (id)""",
 }

@@ -132,6 +132,15 @@ def test_dense_inverses(spark):
     assert spark.range(1).select(matrices.inverse([[F.lit(1.0), F.lit(2.0)], [F.lit(2.0), F.lit(4.0)]])[0][0]).first()[0] is None
 
 
+def test_eigenvalues_of_three_rows(spark):
+    r = np.random.default_rng(6)
+    for a in (r.normal(size=(3, 3)), np.eye(3), np.diag([2.0, 2.0, -1.0]), np.zeros((3, 3))):
+        a = a + a.T
+        df = spark.createDataFrame([tuple(map(float, a.ravel()))], ", ".join(f"c{k} double" for k in range(9)))
+        got = df.select(*matrices.eigen3([[F.col(f"c{3 * i + j}") for j in range(3)] for i in range(3)])).first()
+        assert tuple(got) == pytest.approx(tuple(np.linalg.eigvalsh(a)[::-1]), abs=1e-7)
+
+
 def test_adaptation_keeps_the_surface(spark):
     m = meshes.grid(spark, 6, 6)
     a, b, c = topology.corner_vectors()
