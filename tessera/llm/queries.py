@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, language_model, licenses, minhash, neardup_vectors, pii, quality, url_filter
+from tessera.llm import bpe, chat, decontaminate, fill_middle, language_model, licenses, minhash, neardup_vectors, pii, quality, top_k, url_filter, whitening
 from tessera.llm.text import table
 
 
@@ -67,6 +67,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for every 50th id; null and non-finite vectors take no part, ties go to the smaller id."""
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 principal components; null and non-finite vectors are dropped, repeated rows count each."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and its parts exchanged, and rebuilt; a null text is like an empty one, plain."""
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_model": op2_language_model,
@@ -78,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_top_k": op11_top_k,
+    "op12_whitening": op12_whitening,
+    "op13_fill_middle": op13_fill_middle,
 }
