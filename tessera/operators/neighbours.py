@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by a growing bucket join."""
+"""Points in triangles of the plane, and neighbours over a graph; nearest neighbours in space are in trees."""
 
 from __future__ import annotations
 
@@ -8,49 +8,6 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import checkpointed
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, axes: tuple[str, ...], per_cell: int = 4) -> DataFrame:
-    """id, rank (from 0), neighbour, d2: the k nearest points of every query, ties by id.
-
-    Points are bucketed so that a cell holds about per_cell of them. A query looks
-    at the cells within a ring; its answer is complete once it has k points no
-    farther than the ring's edge. Queries that are not complete, and only they,
-    look again with the ring doubled, until the ring covers all points. Points and
-    queries with a null or non-finite coordinate have no neighbours and are none.
-    """
-    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) < float("inf")) for a in axes]
-    for test in finite:
-        queries, points = queries.filter(test), points.filter(test)
-    box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not box["n"]:
-        return queries.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("d2")).limit(0)
-    k = min(k, box["n"])
-    spans = [max(box[f"hi_{a}"] - box[f"lo_{a}"], 1e-9) for a in axes]
-    # Cells of one width on all axes; on a surface in space few of them are used.
-    dim = min(2, len(axes))
-    width = max(spans) / max(1.0, (box["n"] / max(per_cell, k / 2)) ** (1 / dim))
-    cell = lambda a: F.floor((F.col(a) - F.lit(box[f"lo_{a}"])) / width)
-    homes = points.select(F.col("id").alias("neighbour"), *[F.col(a).alias(f"p_{a}") for a in axes], *[cell(a).alias(f"c_{a}") for a in axes])
-    d2 = sum(((F.col(a) - F.col(f"p_{a}")) * (F.col(a) - F.col(f"p_{a}")) for a in axes), F.lit(0.0))
-    left, ring, done = queries.select("id", *axes), 1, None
-    order = Window.partitionBy("id").orderBy("d2", "neighbour")
-    far = sum(s * s for s in spans) ** 0.5
-    while True:
-        cells = left
-        for a in axes:
-            cells = cells.withColumn(f"c_{a}", F.explode(F.sequence(cell(a) - ring, cell(a) + ring)))
-        seen = cells.join(homes, [f"c_{a}" for a in axes]).select("id", "neighbour", d2.alias("d2"))
-        best = seen.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
-        best = checkpointed(best.select("id", "rank", "neighbour", "d2"))
-        # Points outside the ring are at least ring * width from the query.
-        complete = best.groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("reach")).filter((F.col("n") == k) & ((F.col("reach") < (ring * width) ** 2) | F.lit(ring * width > 2 * far)))
-        found = best.join(complete.select("id"), "id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        left = checkpointed(left.join(complete.select("id"), "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        ring *= 2
-
-
 def locate(points: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
     """id, triangle (the least id of those that hold the point; null outside), s, t (shares of its second and third corner).
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators.neighbours import nearest
+from tessera.operators import trees
 from tessera.operators.ordering import checkpointed
 from tessera.operators.topology import corner_vectors, with_corners
 
@@ -67,6 +67,7 @@ def diagram(triangles: DataFrame, vertices: DataFrame, sites: DataFrame, neighbo
     t = checkpointed(t.withColumn("reach", F.greatest(*[v.length(v.sub(k, p)) for k in (a, b, c)])))
     total = sites.count()
     todo, parts, k = t, None, min(neighbours, total)
+    index = trees.Index(sites, ("x", "y", "z"), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +81,7 @@ def diagram(triangles: DataFrame, vertices: DataFrame, sites: DataFrame, neighbo
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["triangle", "site", "area", "mx", "my", "mz"])
 
     while True:
-        near = nearest(todo.select("id", "x", "y", "z"), sites, k, ("x", "y", "z"))
+        near = index.nearest(k, todo.select("id", "x", "y", "z"))
         named = near.join(sites.select(F.col("id").alias("neighbour"), "x", "y", "z"), "neighbour")
         lists = named.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d2", F.col("neighbour").alias("id"), "x", "y", "z"))).alias("near"))
         rows = checkpointed(todo.join(lists, "id"))

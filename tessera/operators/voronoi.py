@@ -1,6 +1,6 @@
 """Voronoi and power diagrams on the unit sphere and on the square.
 
-Neighbours come from the bucket join, nearest first. A cell is a cyclic list of
+Neighbours come from a spatial tree, nearest first. A cell is a cyclic list of
 planes; the bisectors of the neighbours cut it in their order. All cells of an
 Arrow batch are cut together: the loop runs over neighbour ranks, not over
 sites, on padded arrays. A cell is finished once no farther neighbour can reach
@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators.neighbours import nearest
+from tessera.operators import trees
 from tessera.operators.ordering import checkpointed, numbered
 
 #: Half-width, on the plane that touches the sphere at a site, of the square that its cell is cut from: all but half a sphere.
@@ -198,34 +199,14 @@ def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for start in range(0, len(rows), 2048):
-                part = rows[start : start + 2048]
-                near_rows = [r["near"] or [] for r in part]
-                width = max([len(x) for x in near_rows] + [1])
-                site = np.array([[r["x"], r["y"], r["z"]] for r in part])
-                weight = np.array([r["w"] for r in part])
-                near = np.zeros((len(part), width, 3))
-                near_w = np.zeros((len(part), width))
-                there = np.zeros((len(part), width), dtype=bool)
-                for i, x in enumerate(near_rows):
-                    if x:
-                        near[i, : len(x)] = [(s["x"], s["y"], s["z"]) for s in x]
-                        near_w[i, : len(x)] = [s["w"] for s in x]
-                        there[i, : len(x)] = True
-                got = clip(site, weight, near, near_w, there, domain)
-                volume, moment = measures(got["points"], got["count"], domain.sphere)
-                out = []
-                for i, r in enumerate(part):
-                    n = int(got["count"][i])
-                    ids = [None if o < 0 else near_rows[i][o]["id"] for o in got["origin"][i, :n].tolist()]
-                    points = [{"x": p[0], "y": p[1], "z": p[2]} for p in got["points"][i, :n].tolist()]
-                    out.append({"id": r["id"], "x": r["x"], "y": r["y"], "z": r["z"], "w": r["w"], "volume": float(volume[i]), "mx": float(moment[i, 0]), "my": float(moment[i, 1]), "mz": float(moment[i, 2]), "done": bool(got["done"][i] or len(near_rows[i]) == total - 1), "neighbours": ids, "points": points})
-                yield pa.RecordBatch.from_pylist(out, schema=_arrow_cell())
+            for start in range(0, batch.num_rows, 2048):
+                yield _cut(batch.slice(start, 2048), total, domain)
 
+    index = None
     while True:
         if k:
-            near = nearest(todo, base, k + 1, axes).filter("id <> neighbour")
+            index = index or trees.Index(base, axes, 1)
+            near = index.nearest(k + 1, todo, among=True).filter("id <> neighbour")
             placed = near.join(base.select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in "xyzw"]), "neighbour")
             lists = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d2", F.col("neighbour").alias("id"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"), F.col("nw").alias("w")))).alias("near"))
             rows = todo.join(lists, "id", "left")
@@ -241,11 +222,32 @@ def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGH
         k = min(2 * k, total - 1)
 
 
-def _arrow_cell() -> pa.Schema:
-    d = pa.float64()
-    return pa.schema(
-        [("id", pa.int64()), *[(c, d) for c in ("x", "y", "z", "w", "volume", "mx", "my", "mz")], ("done", pa.bool_()), ("neighbours", pa.list_(pa.int64())), ("points", pa.list_(pa.struct([("x", d), ("y", d), ("z", d)])))]
-    )
+def _cut(part: pa.RecordBatch, total: int, domain: Domain) -> pa.RecordBatch:
+    """Cells of a batch of sites with their lists of neighbours (near)."""
+    column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+    lists = column["near"]
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    n, width = part.num_rows, max(int(sizes.max(initial=0)), 1)
+    each = lists.flatten()
+    row = np.repeat(np.arange(n), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    number = lambda c: np.asarray(each.field(c).fill_null(0.0), dtype=float)
+    near, near_w, ids, there = np.zeros((n, width, 3)), np.zeros((n, width)), np.zeros((n, width), dtype=np.int64), np.zeros((n, width), dtype=bool)
+    near[row, at] = np.column_stack([number(c) for c in "xyz"])
+    near_w[row, at], ids[row, at], there[row, at] = number("w"), np.asarray(each.field("id")), True
+    site = np.column_stack([np.asarray(column[c], dtype=float) for c in "xyz"])
+    got = clip(site, np.asarray(column["w"], dtype=float), near, near_w, there, domain)
+    volume, moment = measures(got["points"], got["count"], domain.sphere)
+    some = np.arange(got["origin"].shape[1]) < got["count"][:, None]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(got["count"])]).astype(np.int32))
+    origin, owner = got["origin"][some], np.nonzero(some)[0]
+    names = pa.ListArray.from_arrays(offsets, pa.array(ids[owner, np.maximum(origin, 0)], mask=origin < 0))
+    corner = got["points"][some]
+    points = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(corner[:, k])) for k in range(3)], names=["x", "y", "z"]))
+    done = got["done"] | (sizes == total - 1)
+    moments = [pa.array(np.ascontiguousarray(moment[:, k])) for k in range(3)]
+    arrays = [*[column[c] for c in ("id", "x", "y", "z", "w")], pa.array(volume), *moments, pa.array(done), names, points]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "x", "y", "z", "w", "volume", "mx", "my", "mz", "done", "neighbours", "points"])
 
 
 def edges(cells: DataFrame) -> DataFrame:

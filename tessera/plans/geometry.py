@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import matrices
 from tessera.functions import vectors as v
-from tessera.operators import adaptation, fem, neighbours, ordering, polygons, raster, topology
+from tessera.operators import adaptation, fem, neighbours, ordering, polygons, raster, topology, trees
 from tessera.sources import formats, meshes, sites
 
 R = v.rounded
@@ -52,23 +52,23 @@ def morton_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sites.square_sites(spark, sf_dir)
-    return neighbours.nearest(s, s, 8, ("x", "y")).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", R(F.col("d2"), 9).alias("d2"))
+    return trees.nearest(s, s, 8, ("x", "y")).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", R(F.col("d2"), 9).alias("d2"))
 
 
 def knn_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sites.sphere_sites(spark, sf_dir)
-    return neighbours.nearest(s, s, 8, ("x", "y", "z")).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", R(F.col("d2"), 9).alias("d2"))
+    return trees.nearest(s, s, 8, ("x", "y", "z")).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", R(F.col("d2"), 9).alias("d2"))
 
 
 def nearest_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neighbours.nearest(sites.square_sites(spark, sf_dir), sites.suppliers(spark, sf_dir), 1, ("x", "y"))
+    found = trees.nearest(sites.square_sites(spark, sf_dir), sites.suppliers(spark, sf_dir), 1, ("x", "y"))
     return found.select("id", "neighbour", R(F.col("d2"), 9).alias("d2"))
 
 
 def relative_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative L2 distance of each customer's field to that of the nearest supplier."""
     a, b = sites.square_sites(spark, sf_dir), sites.suppliers(spark, sf_dir)
-    found = neighbours.nearest(a, b, 1, ("x", "y")).select("id", "neighbour")
+    found = trees.nearest(a, b, 1, ("x", "y")).select("id", "neighbour")
     both = found.join(a.select("id", "f"), "id").join(b.select(F.col("id").alias("neighbour"), F.col("f").alias("g")), "neighbour")
     return both.agg(R(F.sqrt(F.sum((F.col("f") - F.col("g")) ** 2) / F.sum(F.col("f") ** 2))).alias("error"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators import adaptation, calculus, fem, neighbours, ordering, polygons, restricted, sparse, topology, voronoi
+from tessera.operators import adaptation, calculus, fem, neighbours, ordering, polygons, restricted, sparse, topology, trees, voronoi
 from tessera.sources import formats, meshes
 
 
@@ -21,7 +21,7 @@ def points(spark, n, dim=3, sphere=True, seed=1):
 def test_nearest_is_exact(spark):
     x, df = points(spark, 200)
     got = {}
-    for r in neighbours.nearest(df, df, 6, ("x", "y", "z")).collect():
+    for r in trees.nearest(df, df, 6, ("x", "y", "z")).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
     for i in range(len(x)):
         want = np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable")[:6].tolist()
@@ -30,7 +30,7 @@ def test_nearest_is_exact(spark):
 
 def test_nearest_sets_aside_what_has_no_place(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, None, 0.0), (4, float("nan"), 1.0), (5, float("inf"), 1.0)], "id long, x double, y double")
-    got = neighbours.nearest(df, df, 2, ("x", "y")).collect()
+    got = trees.nearest(df, df, 2, ("x", "y")).collect()
     assert sorted((r["id"], r["rank"], r["neighbour"]) for r in got) == [(1, 0, 1), (1, 1, 2), (2, 0, 2), (2, 1, 1)]
 
 
