@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import checkpointed, numbered
+from tessera.sources import binary
 from tessera.sources.meshes import Mesh
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """at, value: the lines of text files in the order of the files' names and of their places in them, numbered from 0.
+
+    Spark deals files to tasks by size; inside a task a split's lines come in their order, so file, start of the split and running number order them all.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return checkpointed(numbered(lines, ["file", "start", "line"], "at").select("at", "value"))
+
+
 def obj_lines(mesh: Mesh) -> DataFrame:
     """kind (0 vertex, 1 face), id, line of a mesh's OBJ text, in the order of the first two."""
     v = mesh.vertices.select(F.lit(0).alias("kind"), "id", F.format_string("v %.10f %.10f %.10f", "x", "y", "z").alias("line"))
@@ -30,8 +40,7 @@ def write_obj(mesh: Mesh, path: str) -> None:
 
 def read_obj(spark: SparkSession, path: str) -> Mesh:
     """A mesh from OBJ text; texture and normal indices are dropped, faces become triangles, quads or polygons by size."""
-    lines = spark.read.text(path).select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    words = lines.select("at", F.split(F.trim("value"), r"\s+").alias("w"))
+    words = ordered_lines(spark, path).select("at", F.split(F.trim("value"), r"\s+").alias("w"))
     v = numbered(words.filter(F.get("w", F.lit(0)) == "v"), ["at"], "id").select("id", *[F.get("w", F.lit(k + 1)).cast("double").alias(c) for k, c in enumerate("xyz")])
     f = numbered(words.filter(F.get("w", F.lit(0)) == "f"), ["at"], "id").select(
         "id", F.transform(F.slice("w", 2, F.size("w")), lambda c: F.substring_index(c, "/", 1).cast("long") - 1).alias("vertices")
@@ -109,8 +118,7 @@ def write_mesh(mesh: Mesh, path: str) -> None:
 
 def read_mesh_text(spark: SparkSession, path: str) -> Mesh:
     """A mesh from its text; a row belongs to the last keyword before it, and ids are its place from 0."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("w"))
-    lines = checkpointed(lines)
+    lines = ordered_lines(spark, path).select("at", F.split(F.trim("value"), r"\s+").alias("w"))
     heads = lines.filter(F.get("w", F.lit(0)).rlike("^[A-Za-z]")).select("at", F.get("w", F.lit(0)).alias("word")).orderBy("at").collect()  # one row a keyword
 
     def rows(word: str) -> DataFrame:
@@ -126,9 +134,9 @@ def read_mesh_text(spark: SparkSession, path: str) -> Mesh:
 
 
 def read_any(spark: SparkSession, path: str) -> Mesh:
-    """A mesh by its name's extension, in any case: obj or mesh."""
+    """A mesh by its name's extension, in any case: obj, mesh or meshb."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    readers = {"obj": read_obj, "mesh": read_mesh_text}
+    readers = {"obj": read_obj, "mesh": read_mesh_text, "meshb": binary.read_binary}
     if kind not in readers:
         raise ValueError(f"no reader for meshes named .{kind}")
     return readers[kind](spark, path)
