@@ -43,8 +43,9 @@ def length(a: Vec) -> Column:
 
 
 def unit(a: Vec) -> Vec:
+    """a at length 1; null for a vector of no length."""
     n = length(a)
-    return tuple(p / n for p in a)
+    return tuple(F.try_divide(p, n) for p in a)
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
@@ -93,17 +94,17 @@ def orient2d(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column
 
 
 def bisector(zi: Vec, zj: Vec, wi: Column, wj: Column) -> tuple[Vec, Column]:
-    """Normal and offset of the weighted bisector; n . x + offset >= 0 on the side of i."""
+    """Normal and offset of the weighted bisector; n . x + offset >= 0 on the side of i; null for points in one place."""
     d = length(sub(zj, zi))
-    at = (d * d + wi - wj) / (2 * d)
-    n = scale(sub(zi, zj), 1 / d)
+    at = F.try_divide(d * d + wi - wj, 2 * d)
+    n = unit(sub(zi, zj))
     return n, -dot(n, add(zi, scale(n, -at)))
 
 
 def quality(a: Vec, b: Vec, c: Vec, area: Column, factor: float = 4 * math.sqrt(3)) -> Column:
-    """factor * area over the sum of squared edge lengths."""
+    """factor * area over the sum of squared edge lengths; null where all corners are in one place."""
     e = [sub(b, a), sub(c, b), sub(a, c)]
-    return factor * area / (dot(e[0], e[0]) + dot(e[1], e[1]) + dot(e[2], e[2]))
+    return F.try_divide(factor * area, dot(e[0], e[0]) + dot(e[1], e[1]) + dot(e[2], e[2]))
 
 
 def spread_bits(c: Column) -> Column:

@@ -65,7 +65,7 @@ def split_round(triangles: DataFrame, vertices: DataFrame, longest: float, sizes
     size = v.length(v.sub(p, q))
     if sizes is not None:
         d = _with_sizes(d, sizes)
-        size = size / size_between(F.col("hp"), F.col("hq"))
+        size = F.try_divide(size, size_between(F.col("hp"), F.col("hq")))  # null, and so never too long, where no length is small enough
     chosen = independent(d.filter(size > longest), ["face", "other"], -size)
     top_face, top_vertex = triangles.agg(F.max("id")).first()[0], vertices.agg(F.max("id")).first()[0]
     chosen = checkpointed(numbered(chosen, ["p", "q"], "n")).withColumn("m", F.col("n") + top_vertex + 1)
@@ -85,7 +85,7 @@ def smooth_round(triangles: DataFrame, vertices: DataFrame, fixed: DataFrame) ->
     t = with_corners(triangles, vertices)
     middle = v.scale(v.add(v.add(a, b), c), 1 / 3)
     each = t.select(F.explode(F.array("v0", "v1", "v2")).alias("id"), v.planar_area(a, b, c).alias("w"), *[k.alias(f"m{n}") for k, n in zip(middle, "xyz", strict=True)])
-    mean = each.groupBy("id").agg(*[(F.sum(F.col("w") * F.col(f"m{k}")) / F.sum("w")).alias(f"m{k}") for k in "xyz"])
+    mean = each.groupBy("id").agg(*[F.try_divide(F.sum(F.col("w") * F.col(f"m{k}")), F.sum("w")).alias(f"m{k}") for k in "xyz"])
     marked = vertices.join(mean, "id", "left").join(fixed.select("id", F.lit(True).alias("fixed")), "id", "left")
     stay = F.col("fixed") | F.col("mx").isNull()
     return marked.select("id", *[F.when(F.coalesce(stay, F.lit(False)), F.col(k)).otherwise(F.col(f"m{k}")).alias(k) for k in "xyz"])
@@ -97,10 +97,10 @@ def wanted_size(value: Column, least: float, most: float) -> Column:
 
 
 def size_between(p: Column, q: Column) -> Column:
-    """The mean edge length between two wanted sizes that grow geometrically along the edge."""
+    """The mean edge length between two wanted sizes that grow geometrically along the edge; 0, its limit, where one is 0 or less."""
     high, low = F.greatest(p, q), F.least(p, q)
-    ratio = high / low
-    return F.when(F.abs(ratio - 1) < 1e-12, p).otherwise(high * (ratio - 1) / (ratio * F.log(ratio)))
+    ratio = F.when(low > 0, F.try_divide(high, low))
+    return F.when(low <= 0, 0.0).when(F.abs(ratio - 1) < 1e-12, p).otherwise(F.try_divide(high * (ratio - 1), ratio * F.log(ratio)))
 
 
 def _with_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def collapse_round(triangles: DataFrame, vertices: DataFrame, shortest: float, s
     size = v.length(v.sub(p, q))
     if sizes is not None:
         e = _with_sizes(e, sizes)
-        size = size / size_between(F.col("hp"), F.col("hq"))
+        size = F.try_divide(size, size_between(F.col("hp"), F.col("hq")))  # null, and so never too long, where no length is small enough
     place = lambda a, b: F.when(F.col("p_outer"), a).when(F.col("q_outer"), b).otherwise((a + b) / 2)
     e = e.withColumn("size", size).filter((F.col("size") < shortest) & ~(F.col("p_outer") & F.col("q_outer")))
     e = checkpointed(e.select("p", "q", "size", *[place(a, b).alias(f"n{k}") for a, b, k in zip(p, q, "xyz", strict=True)]))

@@ -31,13 +31,13 @@ def rule(order: int) -> list[tuple[float, float, float]]:
 
 
 def stiffness(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """i, j, value: sums of area * grad phi_a . grad phi_b in the plane."""
+    """i, j, value: sums of area * grad phi_a . grad phi_b in the plane; a flat triangle adds nothing."""
     t = with_corners(triangles, vertices)
     corner = [(F.col(f"{p}x"), F.col(f"{p}y")) for p in "abc"]
     twice = v.orient2d(*corner)
     grads = [(corner[(k + 1) % 3][1] - corner[(k + 2) % 3][1], corner[(k + 2) % 3][0] - corner[(k + 1) % 3][0]) for k in range(3)]
     entries = F.array(
-        *[F.struct(F.col(f"v{p}").alias("i"), F.col(f"v{q}").alias("j"), ((grads[p][0] * grads[q][0] + grads[p][1] * grads[q][1]) / (2 * F.abs(twice))).alias("value")) for p in range(3) for q in range(3)]
+        *[F.struct(F.col(f"v{p}").alias("i"), F.col(f"v{q}").alias("j"), F.coalesce(F.try_divide(grads[p][0] * grads[q][0] + grads[p][1] * grads[q][1], 2 * F.abs(twice)), F.lit(0.0)).alias("value")) for p in range(3) for q in range(3)]
     )
     return t.select(F.explode(entries).alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.value").alias("value"))
 
@@ -94,18 +94,18 @@ def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Colu
 
 
 def triangle_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:
-    """id, gx, gy: the gradient of the linear interpolant of values (i, value) in each triangle of the plane."""
+    """id, gx, gy: the gradient of the linear interpolant of values (i, value) in each triangle of the plane; null in a flat one."""
     t = with_corners(triangles, vertices)
     for k in range(3):
         t = t.join(values.select(F.col("i").alias(f"v{k}"), F.col("value").alias(f"u{k}")), f"v{k}")
     twice = v.orient2d(*[(F.col(f"{p}x"), F.col(f"{p}y")) for p in "abc"])
-    gx = (F.col("u0") * (F.col("by") - F.col("cy")) + F.col("u1") * (F.col("cy") - F.col("ay")) + F.col("u2") * (F.col("ay") - F.col("by"))) / twice
-    gy = (F.col("u0") * (F.col("cx") - F.col("bx")) + F.col("u1") * (F.col("ax") - F.col("cx")) + F.col("u2") * (F.col("bx") - F.col("ax"))) / twice
-    return t.select("id", gx.alias("gx"), gy.alias("gy"))
+    gx = (F.col("u0") * (F.col("by") - F.col("cy")) + F.col("u1") * (F.col("cy") - F.col("ay")) + F.col("u2") * (F.col("ay") - F.col("by")))
+    gy = (F.col("u0") * (F.col("cx") - F.col("bx")) + F.col("u1") * (F.col("ax") - F.col("cx")) + F.col("u2") * (F.col("bx") - F.col("ax")))
+    return t.select("id", F.try_divide(gx, twice).alias("gx"), F.try_divide(gy, twice).alias("gy"))
 
 
 def vertex_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:
-    """id, gx, gy: the plain mean over the triangles around each vertex of their gradients."""
+    """id, gx, gy: the plain mean over the triangles around each vertex of their gradients, flat ones left out; null where all are flat."""
     each = triangle_gradients(triangles, vertices, values).join(triangles, "id")
     return each.select(F.explode(F.array("v0", "v1", "v2")).alias("id"), "gx", "gy").groupBy("id").agg(F.avg("gx").alias("gx"), F.avg("gy").alias("gy"))
 

@@ -13,7 +13,7 @@ def locate(points: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
 
     triangles: id, ax, ay, bx, by, cx, cy. Every triangle is dealt to the grid cells
     of a width that its box meets, a point to its own cell, so the join is an
-    equi-join; the width should be about that of a triangle.
+    equi-join; the width should be about that of a triangle. A flat triangle holds no point.
     """
     cell = lambda c: F.floor(c / width)
     box = {a: [f(*[f"{p}{a}" for p in "abc"]) for f in (F.least, F.greatest)] for a in "xy"}
@@ -21,7 +21,7 @@ def locate(points: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
     dealt = dealt.select(F.col("id").alias("triangle"), "ax", "ay", "bx", "by", "cx", "cy", "_i", F.explode(F.sequence(cell(box["y"][0]), cell(box["y"][1]))).alias("_j"))
     met = points.select("id", "x", "y", cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j")).join(dealt, ["_i", "_j"])
     area = "((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))"
-    met = met.withColumn("s", F.expr(f"((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / {area}")).withColumn("t", F.expr(f"((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / {area}"))
+    met = met.withColumn("s", F.expr(f"try_divide((x - ax) * (cy - ay) - (y - ay) * (cx - ax), {area})")).withColumn("t", F.expr(f"try_divide((bx - ax) * (y - ay) - (by - ay) * (x - ax), {area})"))
     first = met.filter("s >= 0 AND t >= 0 AND s + t <= 1").groupBy("id").agg(F.min(F.struct("triangle", "s", "t")).alias("f"))
     return points.select("id").join(first, "id", "left").select("id", "f.triangle", "f.s", "f.t")
 

@@ -46,35 +46,45 @@ def _inner(x: DataFrame, p: str, q: str) -> float:
     return x.agg(F.sum(F.col(p) * F.col(q))).first()[0] or 0.0
 
 
+def _unknowns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, value (of b, else 0), d (the diagonal, else 1) of every row that A or b has."""
+    diagonal = a.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("d"))
+    both = b.select("i", "value").join(diagonal, "i", "full")
+    return both.select("i", F.coalesce("value", F.lit(0.0)).alias("value"), F.when(F.coalesce("d", F.lit(0.0)) != 0, F.col("d")).otherwise(1.0).alias("d"))
+
+
 def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
-    """i, value solving A x = b for a symmetric definite A, with the diagonal as preconditioner.
+    """i, value solving A x = b for a symmetric definite A, with the diagonal (1 where it has none) as preconditioner.
 
-    One row per unknown holds all vectors, so a round is one product and two sums.
+    One row per unknown of A or b holds all vectors, so a round is one product and two sums. A system that is not definite
+    has a row for each unknown too, of the best that was reached before a direction without curvature.
     """
-    diagonal = a.filter("i = j").select("i", F.col("value").alias("d"))
-    state = checkpointed(b.join(diagonal, "i").select("i", F.lit(0.0).alias("x"), F.col("value").alias("r"), "d", (F.col("value") / F.col("d")).alias("p")))
     a = checkpointed(a)
-    rho = _inner(state.withColumn("z", F.col("r") / F.col("d")), "r", "z")
-    goal = tolerance * _inner(state, "r", "r") ** 0.5
+    state = checkpointed(_unknowns(a, b).select("i", F.lit(0.0).alias("x"), F.col("value").alias("r"), "d", (F.col("value") / F.col("d")).alias("p")))
+    sums = lambda s: [x or 0.0 for x in s.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r") / F.col("d"))).first()]
+    size, rho = sums(state)
+    goal = tolerance * size**0.5
     for _ in range(most):
-        if _inner(state, "r", "r") ** 0.5 <= goal or rho == 0:
+        if size**0.5 <= goal or rho == 0:
             break
         product = spmv(a, state.select("i", F.col("p").alias("value"))).select("i", F.col("value").alias("q"))
         state = checkpointed(state.join(product, "i", "left").fillna(0.0, ["q"]))
-        alpha = rho / _inner(state, "p", "q")
-        state = state.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d", "p")
-        fresh = _inner(state.withColumn("z", F.col("r") / F.col("d")), "r", "z")
-        state = checkpointed(state.withColumn("p", F.col("r") / F.col("d") + (fresh / rho) * F.col("p")))
+        bend = _inner(state, "p", "q")
+        if bend == 0:
+            break
+        alpha = rho / bend
+        state = checkpointed(state.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d", "p"))
+        size, fresh = sums(state)
+        state = state.withColumn("p", F.col("r") / F.col("d") + (fresh / rho) * F.col("p"))
         rho = fresh
     return state.select("i", F.col("x").alias("value"))
 
 
 def bicgstab(a: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int = 50) -> DataFrame:
-    """i, value solving A x = b for a general A, with the diagonal as preconditioner."""
+    """i, value solving A x = b for a general A, with the diagonal (1 where it has none) as preconditioner; a row for each unknown of A or b."""
     a = checkpointed(a)
-    diagonal = a.filter("i = j").select("i", F.col("value").alias("d"))
     zero = F.lit(0.0)
-    state = checkpointed(b.join(diagonal, "i").select("i", "d", zero.alias("x"), F.col("value").alias("r"), F.col("value").alias("q"), zero.alias("p"), zero.alias("v")))
+    state = checkpointed(_unknowns(a, b).select("i", "d", zero.alias("x"), F.col("value").alias("r"), F.col("value").alias("q"), zero.alias("p"), zero.alias("v")))
     goal = tolerance * _inner(state, "r", "r") ** 0.5
     rho = alpha = omega = 1.0
     for _ in range(most):
@@ -87,7 +97,10 @@ def bicgstab(a: DataFrame, b: DataFrame, tolerance: float = 1e-6, most: int = 50
         state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v"))).drop("v")
         v = spmv(a, state.select("i", (F.col("p") / F.col("d")).alias("value"))).select("i", F.col("value").alias("v"))
         state = checkpointed(state.join(v, "i", "left").fillna(0.0, ["v"]))
-        alpha = fresh / _inner(state, "q", "v")
+        along = _inner(state, "q", "v")
+        if along == 0:
+            break
+        alpha = fresh / along
         state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
         t = spmv(a, state.select("i", (F.col("s") / F.col("d")).alias("value"))).select("i", F.col("value").alias("t"))
         state = checkpointed(state.join(t, "i", "left").fillna(0.0, ["t"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
@@ -77,23 +77,39 @@ def face_components(elements: DataFrame) -> DataFrame:
     return components(linked)
 
 
+def chained(edges: DataFrame, follows: DataFrame) -> DataFrame:
+    """edges (e, p, q) with loop, place, closed: chains of edges e that `follows` (e, next) links, each edge after at most one other.
+
+    A closed chain is cut before its edge from the least vertex, an open one starts where nothing leads; loop is the least
+    vertex, place counts from the start. How far an edge is from the end of its chain is found by pointer
+    doubling, so a chain of n edges takes about log n rounds.
+    """
+    follows = checkpointed(follows.select("e", "next"))
+    label = components(follows.select(F.col("e").alias("a"), F.col("next").alias("b"))).select(F.col("id").alias("e"), "label")
+    edges = checkpointed(edges.join(label, "e", "left").join(follows, "e", "left").withColumn("label", F.coalesce("label", "e")))
+    told = edges.groupBy("label").agg(
+        F.least(F.min("p"), F.min("q")).alias("loop"), F.count("*").alias("n"), (F.count("next") == F.count("*")).alias("closed"), F.min_by("e", F.struct("p", "e")).alias("start")
+    )
+    told = checkpointed(told)
+    to = F.when(F.col("closed") & (F.col("next") == F.col("start")), F.lit(None).cast("long")).otherwise(F.col("next"))
+    hop = checkpointed(edges.join(told, "label").select("e", to.alias("to")).withColumn("hops", F.col("to").isNotNull().cast("long")))
+    while not hop.filter("to IS NOT NULL").isEmpty():
+        far = hop.select(F.col("e").alias("to"), F.col("to").alias("beyond"), F.col("hops").alias("more"))
+        hop = checkpointed(hop.join(far, "to", "left").select("e", F.col("beyond").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    placed = edges.join(told, "label").join(hop.select("e", "hops"), "e")
+    return placed.select("e", "p", "q", "loop", (F.col("n") - 1 - F.col("hops")).alias("place"), "closed")
+
+
 def loops(edges: DataFrame) -> DataFrame:
-    """p, q, loop, place: directed edges chained to closed loops, numbered from each loop's least vertex.
+    """p, q, loop, place, closed: directed edges chained to loops and open chains, numbered by their least vertex (see chained).
 
-    Each vertex has one successor. The distance to the loop's least vertex is
-    found by pointer doubling, so a loop of n edges takes about log n rounds.
+    Where several edges meet at a vertex (a pinch) the one from the least vertex goes on to the least vertex, the second to the second, and so
+    on; what finds no partner starts or ends an open chain. Repeated edges are one.
     """
-    label = components(edges.select(F.col("p").alias("a"), F.col("q").alias("b"))).withColumnRenamed("label", "loop")
-    base = edges.join(label, edges["p"] == label["id"]).select("p", "q", "loop")
-    # Towards the least vertex: hops and where they lead; the least vertex stays.
-    hop = base.select("p", "loop", F.when(F.col("q") == F.col("loop"), F.col("loop")).otherwise(F.col("q")).alias("to"), F.lit(1).cast("long").alias("hops"))
-    hop = checkpointed(hop.withColumn("hops", F.when(F.col("p") == F.col("loop"), 0).otherwise(F.col("hops"))).withColumn("to", F.when(F.col("p") == F.col("loop"), F.col("p")).otherwise(F.col("to"))))
-    while not hop.filter("to <> loop").isEmpty():
-        next_hop = hop.select(F.col("p").alias("via"), F.col("to").alias("far"), F.col("hops").alias("more"))
-        hop = checkpointed(hop.join(next_hop, hop["to"] == next_hop["via"]).select("p", "loop", F.col("far").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
-    sizes = base.groupBy("loop").agg(F.count("*").alias("n"))
-    place = hop.join(sizes, "loop").select("p", ((F.col("n") - F.col("hops")) % F.col("n")).alias("place"))
-    return base.join(place, "p").select("p", "q", "loop", "place")
+    e = checkpointed(numbered(edges.select("p", "q").distinct(), ["p", "q"], "e"))
+    leaving = e.select(F.col("p").alias("v"), F.col("e").alias("next"), F.row_number().over(Window.partitionBy("p").orderBy("q")).alias("k"))
+    coming = e.select(F.col("q").alias("v"), "e", F.row_number().over(Window.partitionBy("q").orderBy("p")).alias("k"))
+    return chained(e, coming.join(leaving, ["v", "k"])).drop("e")
 
 
 def close_pairs(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -108,8 +124,10 @@ def close_pairs(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x
 
 
 def merge_map(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """id, to: every point and the least point that a chain of close points reaches."""
-    joined = components(close_pairs(points, tolerance, axes))
+    """id, to: every point and the least point that a chain of close points reaches; points in one place meet others once."""
+    place = points.groupBy(*axes).agg(F.min("id").alias("id"))
+    same = points.join(place.withColumnRenamed("id", "least"), list(axes)).filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    joined = components(close_pairs(place, tolerance, axes).unionByName(same))
     return points.select("id").join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("to"))
 
 

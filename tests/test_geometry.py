@@ -203,3 +203,60 @@ def test_bicgstab(spark):
     b = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, value double")
     x = dict(sparse.bicgstab(a, b, 1e-12).collect())
     assert (x[0], x[1]) == pytest.approx((0.1, 0.6))
+
+
+def test_what_has_no_size_is_null_and_breaks_nothing(spark):
+    zero = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 2.0, 2.0)], "id long, x double, y double, z double")
+    x, y, z = v.unit(v.vec("x", "y", "z"))
+    assert [tuple(r) for r in zero.select(x, y, z).collect()] == [(None, None, None), (1 / 3, 2 / 3, 2 / 3)]
+    normal, offset = v.bisector(v.vec("x", "y", "z"), v.vec("x", "y", "z"), F.lit(1.0), F.lit(2.0))
+    assert [tuple(r) for r in zero.select(*normal, offset).collect()] == [(None,) * 4] * 2
+    flat = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 2.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0)], "id long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 0, 1, 3)], "id long, v0 long, v1 long, v2 long")
+    k = {(r["i"], r["j"]): r["value"] for r in fem.stiffness(faces, flat).collect()}
+    assert k[(2, 2)] == 0.0 and k[(0, 0)] == 1.0
+    values = flat.select(F.col("id").alias("i"), F.col("y").alias("value"))
+    assert {r["id"]: (r["gx"], r["gy"]) for r in fem.triangle_gradients(faces, flat, values).collect()} == {0: (None, None), 1: (0.0, 1.0)}
+    a, b, c = topology.corner_vectors()
+    dots = spark.createDataFrame([(0, 0, 0, 0)], "id long, v0 long, v1 long, v2 long")
+    assert topology.with_corners(dots, flat).select(v.quality(a, b, c, v.planar_area(a, b, c))).first()[0] is None
+    sizes = spark.createDataFrame([(0.0, 1.0), (0.0, 0.0), (2.0, 2.0), (1.0, 2.0)], "p double, q double")
+    got = [r[0] for r in sizes.select(adaptation.size_between(F.col("p"), F.col("q"))).collect()]
+    assert got[:3] == [0.0, 0.0, 2.0] and abs(got[3] - 1 / math.log(2)) < 1e-12
+    at = spark.createDataFrame([(9, 0.2, 0.2), (8, 0.5, 0.0)], "id long, x double, y double")
+    t = topology.with_corners(faces, flat)
+    assert {r["id"]: r["triangle"] for r in neighbours.locate(at, t, 1.0).collect()} == {9: 1, 8: 1}
+
+
+def test_open_chains_rings_and_pinches(spark):
+    def chains(*edges):
+        rows = topology.loops(spark.createDataFrame(list(edges), "p long, q long")).collect()
+        return sorted((r["loop"], r["closed"], r["place"], r["p"], r["q"]) for r in rows)
+
+    assert chains((1, 2), (2, 3)) == [(1, False, 0, 1, 2), (1, False, 1, 2, 3)]
+    assert chains((5, 3), (3, 4), (4, 5)) == [(3, True, 0, 3, 4), (3, True, 1, 4, 5), (3, True, 2, 5, 3)]
+    # A chain that runs into a ring: the ring goes on from the least of what comes in.
+    lead = chains((9, 2), (1, 2), (2, 1))
+    assert [c for c in lead if c[1]] == [(1, True, 0, 1, 2), (1, True, 1, 2, 1)] and (2, False, 0, 9, 2) in lead
+    pinch = chains((1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (3, 1))
+    assert len(pinch) == 6 and all(c[1] for c in pinch)
+    long = [(k, k + 1) for k in range(500)]
+    assert [c[2:] for c in chains(*reversed(long))] == [(k, k, k + 1) for k in range(500)]
+
+
+def test_solvers_return_every_unknown(spark):
+    def system(a, b):
+        return spark.createDataFrame([(i, j, float(x)) for (i, j), x in a.items()], "i long, j long, value double"), spark.createDataFrame(list(b.items()), "i long, value double")
+
+    a, b = system({(0, 1): 1, (1, 0): 1, (2, 2): 2}, {0: 3.0, 1: 4.0, 2: 6.0})  # no diagonal in two rows
+    assert {r["i"]: round(r["value"], 6) for r in sparse.bicgstab(a, b).collect()} == {0: 4.0, 1: 3.0, 2: 3.0}
+    assert sorted(r["i"] for r in sparse.conjugate_gradient(a, b).collect()) == [0, 1, 2]
+    a, b = system({(0, 0): 2, (1, 1): 4, (0, 1): 1, (1, 0): 1}, {0: 2.0})  # a row of A that b lacks
+    got = {r["i"]: r["value"] for r in sparse.conjugate_gradient(a, b).collect()}
+    assert abs(got[0] - 8 / 7) < 1e-6 and abs(got[1] + 2 / 7) < 1e-6
+
+
+def test_merging_many_copies(spark):
+    rows = [(k, 0.5, 0.5) for k in range(3000)] + [(5000, 0.505, 0.5), (5001, 0.9, 0.9)]
+    got = {r["id"]: r["to"] for r in topology.merge_map(spark.createDataFrame(rows, "id long, x double, y double"), 0.01, ("x", "y")).collect()}
+    assert got == {k: 0 for k in range(3000)} | {5000: 0, 5001: 5001}
