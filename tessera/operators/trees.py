@@ -177,7 +177,8 @@ def leaf_pairs(asking: Tree, tree: Tree, k: int, only: DataFrame | None = None)
     pairs = asking.leaves.select(F.col("path").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
     if only is not None:
         pairs = pairs.join(only, "a", "left_semi")
-    pairs = pairs.crossJoin(F.broadcast(tree.nodes.filter("path = ''").select(F.col("path").alias("b"), "leaf", "n", *box)))  # one row, the root
+    root = tree.nodes.filter("path = ''").select(F.col("path").alias("b"), "leaf", "n", *box)
+    pairs = pairs.withColumns({c: F.lit(value).cast(root.schema[c].dataType) for c, value in root.first().asDict().items()})
     pairs = pairs.withColumn("reach", F.lit(float("inf")))
     nearest_first = Window.partitionBy("a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ["a", *[f"a_{c}" for c in box]]
