@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,7 @@ def tiles(table: pa.Table, scale: int, kind: type):
     dim = table["dim"][0].as_py()
     at_query = table["lo"].is_valid()
     both = []
-    for part in (table.filter(at_query), table.filter(pa.compute.invert(at_query)).sort_by([("id", "ascending"), ("h", "ascending")])):
+    for part in (table.filter(at_query), table.filter(pc.invert(at_query)).sort_by([("id", "ascending"), ("h", "ascending")])):
         arrays = {c: part[c].combine_chunks() for c in COLUMNS}
         both.append({"x": whole(arrays.pop("v"), dim, scale, kind)} | {"ids": arrays["id"]} | {c: a.to_numpy(zero_copy_only=False) for c, a in arrays.items() if c != "id"})
     q, c = both
