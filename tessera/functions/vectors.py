@@ -127,6 +127,22 @@ def morton(p: Vec, low: Vec, high: Vec) -> Column:
     return F.shiftleft(bits[0], 2).bitwiseOR(F.shiftleft(bits[1], 1)).bitwiseOR(bits[2])
 
 
+#: Bits an axis of Morton keys of two and four dimensions; one less than would fill a long, so that keys are in order as signed numbers.
+KEY_BITS = {2: 31, 4: 15}
+
+
+def morton_of(at: list[Column], low: list[Column], high: list[Column]) -> Column:
+    """Morton key of a point of two or four coordinates in its bounding box, the first coordinate's bits highest; an axis without width counts as 0."""
+    bits = KEY_BITS[len(at)]
+    key = F.lit(0).cast("long")
+    for k, (c, a, b) in enumerate(zip(at, low, high, strict=True)):
+        share = F.when(b > a, F.try_divide(c - a, b - a)).otherwise(0.0)
+        cell = F.least(F.floor(clamp(share, 0.0, 1.0) * float(1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+        for bit in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("long")), len(at) * bit + len(at) - 1 - k))
+    return key
+
+
 def days_hours_minutes(seconds: Column) -> Column:
     """DDD:HH:MM."""
     s = F.floor(seconds).cast("long")

@@ -47,6 +47,13 @@ def gradient(facets: DataFrame, sites: DataFrame, field: str, formula: str = "sp
     return _summed(pairs, list(to_i), list(to_j), ["gx", "gy", "gz"])
 
 
+def tangential(vectors: DataFrame, sites: DataFrame, names: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
+    """id and the vectors' parts along the unit sphere at their sites."""
+    at = sites.select("id", *[F.col(k).alias(f"_{k}") for k in "xyz"])
+    along = v.tangent(v.vec(*names), v.vec("_x", "_y", "_z"))
+    return vectors.join(at, "id").select("id", *[c.alias(n) for c, n in zip(along, names, strict=True)])
+
+
 def divergence(facets: DataFrame, sites: DataFrame, velocity: tuple[str, str, str]) -> DataFrame:
     """id, div."""
     pairs = gathered(facets, sites, list(velocity))

@@ -172,6 +172,12 @@ def interface_edges(triangles: DataFrame, groups: DataFrame) -> DataFrame:
     return he.join(own, "face").join(other, "twin_face").filter("left < right").select(F.col("node").alias("p"), F.col("next_node").alias("q"))
 
 
+def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The directed edges (p, q, ...) but for those of `gone` (p, q) and their twins."""
+    both = gone.select("p", "q").unionByName(gone.select(F.col("p").alias("q"), F.col("q").alias("p")))
+    return edges.join(both, ["p", "q"], "left_anti")
+
+
 def with_corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """triangles with the coordinates of their corners, ax .. cz."""
     out = triangles

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators import raster
 from tessera.operators.topology import corner_vectors, with_corners
+from tessera.sources.meshes import Mesh
 
 #: Fixed value: the modulus of the hash, a prime.
 PRIME = 2147483647
@@ -21,6 +24,24 @@ def uniform(id_: Column, salt: int) -> Column:
     return h / float(PRIME)
 
 
+def on_sphere(ids: DataFrame) -> DataFrame:
+    """id, x, y, z: for each id a point of the unit sphere, evenly spread."""
+    turn, z = uniform(F.col("id"), 3) * (2 * math.pi), 2 * uniform(F.col("id"), 4) - 1
+    r = F.sqrt(1 - z * z)
+    return ids.select("id", (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"), z.alias("z"))
+
+
+def in_rectangle(ids: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+    """id, x, y, z (0): for each id a point of a rectangle, evenly spread."""
+    side = lambda k: F.lit(low[k]) + uniform(F.col("id"), 5 + k) * (high[k] - low[k])
+    return ids.select("id", side(0).alias("x"), side(1).alias("y"), F.lit(0.0).alias("z"))
+
+
+def of_mesh(mesh: Mesh) -> DataFrame:
+    """id, x, y, z: the mesh's vertices, such as those of a subdivided sphere or of a file."""
+    return mesh.vertices.select("id", "x", "y", "z")
+
+
 def on_surface(ids: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """id, triangle, x, y, z: for each id a point of a triangle; all triangles (ids from 0) are equally likely, points in them evenly spread."""
     n = triangles.count()
