@@ -7,14 +7,16 @@ replaced triangles go by an anti-join, new ones come by a union.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators.ordering import checkpointed, numbered
 from tessera.operators.topology import boundary_edges, corner_vectors, directed_edges, unique_edges, with_corners
+from tessera.sources.meshes import subdivided_sphere
 
 
 def _diamonds(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -39,16 +41,23 @@ def independent(candidates: DataFrame, faces: list[str], key: Column) -> DataFra
     return out.drop("rank")
 
 
-def flip_round(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """triangles after flipping an independent set of edges whose flip raises the worse quality of their two faces."""
+def flip_round(triangles: DataFrame, vertices: DataFrame, under: float = 2.0) -> DataFrame:
+    """triangles after flipping an independent set of edges whose flip raises the worse quality of their two faces, where that is under a limit.
+
+    An edge stays where the opposite corners have an edge already; of flips that would make one edge, the first is done.
+    """
     d = _diamonds(triangles, vertices)
+    there = unique_edges(triangles)
+    d = d.join(there, (F.least("r", "s") == there["a"]) & (F.greatest("r", "s") == there["b"]), "left_anti")
     p, q, r, s = (v.vec(*[f"{c}{k}" for k in "xyz"]) for c in "pqrs")
     good = lambda a, b, c: v.quality(a, b, c, v.planar_area(a, b, c))
     up = lambda a, b, c: v.cross(v.sub(b, a), v.sub(c, a))
     before, after = F.least(good(p, q, r), good(q, p, s)), F.least(good(r, s, q), good(s, r, p))
     # Both new faces must look the same way as the old ones.
     same = (v.dot(up(s, q, r), up(p, q, r)) > 0) & (v.dot(up(r, p, s), up(p, q, r)) > 0)
-    chosen = checkpointed(independent(d.filter(same & (after > before + 1e-12)), ["face", "other"], before - after))
+    chosen = independent(d.filter(same & (before < under) & (after > before + 1e-12)), ["face", "other"], before - after)
+    chosen = checkpointed(chosen.withColumn("new", F.array(F.least("r", "s"), F.greatest("r", "s"))))
+    chosen = chosen.join(chosen.groupBy("new").agg(F.min(F.struct("p", "q")).alias("first")), "new").filter(F.struct("p", "q") == F.col("first"))
     gone = chosen.select(F.explode(F.array("face", "other")).alias("id"))
     one = chosen.select(F.col("face").alias("id"), F.col("s").alias("v0"), F.col("q").alias("v1"), F.col("r").alias("v2"))
     two = chosen.select(F.col("other").alias("id"), F.col("r").alias("v0"), F.col("p").alias("v1"), F.col("s").alias("v2"))
@@ -187,3 +196,90 @@ def adapted(
         if state(t) == before:
             break
     return t, p
+
+
+def insert_round(triangles: DataFrame, vertices: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(triangles, vertices) with new vertices (face, x, y, z) inside faces, each of which becomes three; of several points in a face the least by x, y, z goes in."""
+    chosen = points.groupBy(F.col("face").alias("id")).agg(F.min(F.struct("x", "y", "z")).alias("p")).join(triangles.select("id", "v0", "v1", "v2"), "id")
+    top_face, top_vertex = triangles.agg(F.max("id")).first()[0] or 0, vertices.agg(F.max("id")).first()[0] or 0
+    chosen = checkpointed(numbered(chosen, ["id"], "n")).withColumn("m", F.col("n") + top_vertex + 1)
+    face = lambda i, a, b: F.struct(i.alias("id"), F.col(a).alias("v0"), F.col(b).alias("v1"), F.col("m").alias("v2"))
+    new = F.col("n") * 2 + top_face + 1
+    parts = F.array(face(F.col("id"), "v0", "v1"), face(new, "v1", "v2"), face(new + 1, "v2", "v0"))
+    rest = triangles.select("id", "v0", "v1", "v2").join(chosen.select("id"), "id", "left_anti")
+    return rest.unionByName(chosen.select(F.explode(parts).alias("t")).select("t.*")), vertices.select("id", "x", "y", "z").unionByName(chosen.select(F.col("m").alias("id"), "p.*"))
+
+
+def sphere_report(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """faces, edges, corners, boundary, non_manifold, inward (faces turned to the centre), area, least_quality of a mesh of the unit sphere, in one row; its Euler number is corners - edges + faces."""
+    a, b, c = corner_vectors()
+    t = checkpointed(with_corners(triangles, vertices))
+    e = directed_edges(t.select("id", "v0", "v1", "v2")).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("n"))
+    edges = e.agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("boundary"), F.count_if(F.col("n") > 2).alias("non_manifold"))
+    faces = t.agg(
+        F.count("*").alias("faces"), F.count_if(v.dot(a, v.cross(b, c)) <= 0).alias("inward"), F.sum(v.spherical_area(a, b, c)).alias("area"), F.min(v.quality(a, b, c, v.planar_area(a, b, c))).alias("least_quality")
+    )
+    corners = t.select(F.explode(F.array("v0", "v1", "v2")).alias("v")).agg(F.countDistinct("v").alias("corners"))
+    told = [d.first().asDict() for d in (faces, edges, corners)]
+    return triangles.sparkSession.createDataFrame([told[0] | told[1] | told[2]], "faces long, edges long, corners long, boundary long, non_manifold long, inward long, area double, least_quality double")
+
+
+def _sound(triangles: DataFrame, vertices: DataFrame) -> bool:
+    """Whether a mesh of the sphere is closed, of two faces an edge, turned outwards, and without handles."""
+    r = sphere_report(triangles, vertices).first()
+    return r["faces"] > 0 and not (r["boundary"] or r["non_manifold"] or r["inward"]) and r["corners"] - r["edges"] + r["faces"] == 2
+
+
+def seed_level(most: float) -> int:
+    """Subdivisions of an icosahedron whose triangles are about equilateral ones of the greatest wanted length."""
+    faces = math.floor(4 * math.pi / (math.sqrt(3) * most * most / 4))
+    return max(0, int(math.log(max(faces, 20) / 20, 4)))
+
+
+def adapted_sphere(spark: SparkSession, size: Callable[[DataFrame], DataFrame], most: float, rounds: int, passes: int = 8, smoothings: int = 10) -> tuple[DataFrame, DataFrame, int]:
+    """(triangles, vertices, rounds done): a mesh of the unit sphere adapted to wanted lengths of at most `most`.
+
+    It starts from an icosahedron of the level that fits. A round collapses edges under half the root of 2 of what is wanted, flips
+    where the quality is under 0.8, splits edges over twice and then over the root of 2 of what is wanted, flips again
+    and smooths. Each step is a run of rounds of independent edits, until one changes nothing (or `passes` are over).
+    After the collapses and after the splits the mesh is checked, and what broke it is rolled back, which ends the
+    loop; so does a round that changes no triangle. size: a function from vertices (id, x, y, z) to (id, h).
+    """
+    onto = lambda d: d.select("id", *[c.alias(k) for c, k in zip(v.unit(v.vec("x", "y", "z")), "xyz", strict=True)])
+    mesh = subdivided_sphere(spark, seed_level(most))
+    t, p = checkpointed(mesh.triangles), checkpointed(mesh.vertices)
+    mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "v0", "v1", "v2"))).first()
+    nobody = p.select("id").limit(0)
+
+    def settled(step, t: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+        before = mark(t)
+        for _ in range(passes):
+            t, p = step(t, p)
+            t, p = checkpointed(t), checkpointed(onto(p))
+            before, was = mark(t), before
+            if before == was:
+                break
+        return t, p
+
+    collapse = lambda t, p: collapse_round(t, p, 0.5**0.5, checkpointed(size(p)))
+    flip = lambda t, p: (flip_round(t, p, 0.8), p)
+    split = lambda limit: lambda t, p: split_round(t, p, limit, checkpointed(size(p)))
+    done = 0
+    for _ in range(rounds):
+        start = mark(t)
+        for steps in ((collapse, flip), (split(2.0), split(2**0.5), flip)):
+            kept = (t, p)
+            for step in steps:
+                t, p = settled(step, t, p)
+            if not _sound(t, p):
+                return *kept, done
+        for _ in range(smoothings):
+            q = checkpointed(onto(smooth_round(t, p, nobody)))
+            if _sound(t, q):  # moving many vertices at once may turn a face over
+                p = q
+            else:
+                break
+        done += 1
+        if mark(t) == start:
+            break
+    return t, p, done
