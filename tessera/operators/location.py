@@ -49,7 +49,7 @@ def cells_met(corners: np.ndarray) -> tuple[np.ndarray, list[str]]:
     for depth in range(DEPTH + 1):
         at, wide = _caps(cells)
         # Chords of arcs that add up are shorter than their sum.
-        met = (np.linalg.norm(at - middle[owner], axis=1) <= wide + reach[owner] + 1e-12) | (reach[owner] > 1.0)
+        met = (np.linalg.norm(at - middle[owner], axis=1) <= wide * (1 + 1e-6) + reach[owner] + 1e-12) | (reach[owner] > 1.0)
         owner, cells, paths = owner[met], cells[met], paths[met]
         end = level[owner] == depth
         rows.append(owner[end])

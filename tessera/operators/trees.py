@@ -33,23 +33,28 @@ LEVELS, HOP = 10, 2
 # Corners of the octahedron and its faces, north before south, anticlockwise from outside.
 OCTAHEDRON = np.array([[1, 0, 0], [0, 1, 0], [-1, 0, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]], dtype=float)
 FACES = np.array([[0, 1, 4], [1, 2, 4], [2, 3, 4], [3, 0, 4], [1, 0, 5], [2, 1, 5], [3, 2, 5], [0, 3, 5]])
-#: Fixed value: a point this far outside an edge (a determinant) still counts as in the triangle.
+#: Fixed value: a point this far outside an edge (a determinant, of faces; of smaller triangles in proportion to their area) still counts as in the triangle.
 EDGE = -1e-8
 
 
 @dataclass
 class Tree:
-    """nodes: path, leaf, n, lo_<axis>, hi_<axis>; places: the axes, the columns kept, and leaf (the path of their leaf)."""
+    """nodes: path, leaf, n, lo_<axis>, hi_<axis>; held: leaf (a path) and held, the array of its places (the axes and what is kept)."""
 
     nodes: DataFrame
-    places: DataFrame
+    held: DataFrame
     axes: tuple[str, ...]
     passes: int
+    depth: int
 
     @property
     def leaves(self) -> DataFrame:
         return self.nodes.filter("leaf")
 
+    @property
+    def places(self) -> DataFrame:
+        return self.held.select("leaf", F.explode("held").alias("p")).select("leaf", "p.*")
+
 
 def finite(df: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     for a in axes:
@@ -79,7 +84,8 @@ def descend(p: np.ndarray, depth: int) -> np.ndarray:
     options = np.where((p[:, 2] < 0)[:, None, None, None], options[:, 4:], options[:, :4])
     for level in range(1 + depth):
         held = inside(options, p[:, None, :])
-        chosen = np.where((held >= EDGE).any(axis=1), (held >= EDGE).argmax(axis=1), held.argmax(axis=1))
+        fine = held >= EDGE / 4**level
+        chosen = np.where(fine.any(axis=1), fine.argmax(axis=1), held.argmax(axis=1))
         out[:, level] = chosen + (4 * (p[:, 2] < 0) if level == 0 else 0)
         if level < depth:
             options = children(options[np.arange(len(p)), chosen])
@@ -100,17 +106,22 @@ def triangle_paths(points: DataFrame, depth: int, name: str = "path") -> DataFra
     return points.mapInArrow(run, schema)
 
 
+#: Steps that put the bits of a number under 2^10 one, two or three places apart.
+SPREAD = {1: (), 2: ((8, 0xFF00FF), (4, 0xF0F0F0F), (2, 0x33333333), (1, 0x55555555)), 3: ((16, 0x30000FF), (8, 0x300F00F), (4, 0x30C30C3), (2, 0x9249249))}
+
+
 def box_digits(axes: tuple[str, ...]) -> Column:
     """LEVELS digits of the cells of the row's box (lo_, hi_ of its node) that hold it, halved on all axes a level."""
-    side = 1 << LEVELS
-    at = []
-    for a in axes:
+    side, key = 1 << LEVELS, F.lit(0).cast("long")
+    for k, a in enumerate(axes):
         lo, hi, c = F.col(f"lo_{a}"), F.col(f"hi_{a}"), F.col(a)
         # Halves first: the width of a box may be beyond a double.
         share = F.when(hi > lo, (c / 2 - lo / 2) / (hi / 2 - lo / 2)).otherwise(0.0)
-        at.append(F.least(F.floor(F.least(share, F.lit(1.0)) * side), F.lit(side - 1)).cast("int"))
-    digit = lambda level: sum((F.shiftright(c, LEVELS - 1 - level).bitwiseAND(F.lit(1)) * (1 << k) for k, c in enumerate(at)), F.lit(0))
-    return F.concat(*[digit(level).cast("string") for level in range(LEVELS)])
+        bits = F.least(F.floor(F.least(share, F.lit(1.0)) * side), F.lit(side - 1)).cast("long")
+        for shift, mask in SPREAD[len(axes)]:
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        key = key.bitwiseOR(F.shiftleft(bits, k))
+    return F.lpad(F.conv(key.cast("string"), 10, 1 << len(axes)), LEVELS, "0")
 
 
 def build(places: DataFrame, axes: tuple[str, ...], weight: str | None = None, leaf: int = LEAF, sphere: bool = False) -> Tree:
@@ -122,38 +133,40 @@ def build(places: DataFrame, axes: tuple[str, ...], weight: str | None = None, l
     low, high = [f"lo_{a}" for a in axes], [f"hi_{a}" for a in axes]
     boxes = [*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]]
     merged = [F.sum("places").alias("places"), F.sum("n").alias("n"), *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high]]
-    held = [F.count("*").alias("places"), (F.sum(weight) if weight else F.count("*")).cast("long").alias("n"), *boxes]
-    root = checkpointed(places.agg(*held)).withColumn("path", F.lit(""))
-    nodes, settled, rows, passes = root.filter(f"places <= {leaf} AND places > 0"), None, places.withColumn("path", F.lit("")), 0
-    heavy = root.filter(F.col("places") > leaf)
-    settled = rows.join(nodes.select("path"), "path", "left_semi").select(*kept, F.col("path").alias("leaf"))
-    nodes = nodes.select("path", F.lit(True).alias("leaf"), "n", *low, *high)
-    most = root.first()["places"]
+    counted = [F.count("*").alias("places"), (F.sum(weight) if weight else F.count("*")).cast("long").alias("n"), *boxes]
+    root = places.agg(*counted).first()
+    most, passes = root["places"], 0
+    top = [("", most <= leaf, root["n"], *[root[c] for c in low + high])] if most else []
+    nodes = places.sparkSession.createDataFrame(top, "path string, leaf boolean, n long, " + ", ".join(f"{c} double" for c in low + high))
+    settled = places.select(*kept, F.lit("").alias("leaf")) if most <= leaf else None
+    rows = places.withColumn("path", F.lit("")).withColumns({c: F.lit(root[c]).cast("double") for c in low + high}).withColumn("places", F.lit(most))
     while most > leaf:
         passes += 1
         # As many levels as bring the mean of a surface's cells down to a quarter of a leaf.
         levels = F.least(F.greatest(F.ceil(F.log2(F.col("places") * 4.0 / leaf) / 2), F.lit(1)), F.lit(LEVELS)).cast("int")
-        boxed = rows.join(heavy.select("path", levels.alias("levels"), *low, *high), "path")
         if sphere and passes == 1:
-            full = triangle_paths(boxed, LEVELS, "full").withColumn("full", F.substring("full", F.lit(1), F.col("levels")))
+            full = triangle_paths(rows, LEVELS, "full").withColumn("full", F.substring("full", F.lit(1), levels))
         else:
-            full = boxed.withColumn("full", F.concat("path", F.substring(box_digits(axes), F.lit(1), F.col("levels"))))
-        full = checkpointed(full.select(*kept, "path", "full"))
-        cells = checkpointed(full.groupBy("full", "path").agg(*held))
+            full = rows.withColumn("full", F.concat("path", F.substring(box_digits(axes), F.lit(1), levels)))
+        full = full.select(*kept, "path", "full")
+        full = checkpointed(full) if sphere or passes > 1 else full
+        cells = checkpointed(full.groupBy("full", "path").agg(*counted))
         above = F.transform(F.sequence(F.length("path") + 1, F.length("full")), lambda k: F.substring("full", F.lit(1), k))
         of_cell = cells.select("full", F.explode(above).alias("node"), "places", "n", *low, *high)
         found = checkpointed(of_cell.groupBy("node").agg(*merged))
         light = found.filter(F.col("places") <= leaf).select("node")
-        ends = checkpointed(of_cell.select("full", "node").join(light, "node").groupBy("full").agg(F.min_by("node", F.length("node")).alias("leaf")))
+        ends = of_cell.select("full", "node").join(light, "node").groupBy("full").agg(F.min_by("node", F.length("node")).alias("leaf"))
         is_leaf = found.join(ends.select(F.col("leaf").alias("node")).distinct(), "node", "left_semi").withColumn("leaf", F.lit(True))
         inner = found.filter(F.col("places") > leaf).withColumn("leaf", F.lit(False))
         nodes = nodes.unionByName(is_leaf.unionByName(inner).select(F.col("node").alias("path"), "leaf", "n", *low, *high))
-        settled = settled.unionByName(full.join(ends, "full").select(*kept, "leaf"))
-        heavy = cells.filter(F.col("places") > leaf).select(F.col("full").alias("path"), "places", *low, *high)
-        rows = full.join(heavy.select(F.col("path").alias("full")), "full", "left_semi").select(*kept, F.col("full").alias("path"))
+        done = full.join(ends, "full").select(*kept, "leaf")
+        settled = done if settled is None else settled.unionByName(done)
+        heavy = cells.filter(F.col("places") > leaf).select("full", "places", *low, *high)
+        rows = full.drop("path").join(heavy, "full").withColumnRenamed("full", "path")
         most = cells.agg(F.max("places")).first()[0]
-    root = root.filter(F.col("places") > leaf).select("path", F.lit(False).alias("leaf"), "n", *low, *high)
-    return Tree(checkpointed(nodes.unionByName(root)), checkpointed(settled), axes, passes)
+    nodes = checkpointed(nodes)
+    held = checkpointed(settled.groupBy("leaf").agg(F.collect_list(F.struct(*kept)).alias("held")))
+    return Tree(nodes, held, axes, passes, nodes.agg(F.max(F.length("path"))).first()[0] or 0)
 
 
 def _apart(axes: tuple[str, ...], far: bool) -> Column:
@@ -182,8 +195,7 @@ def leaf_pairs(asking: Tree, tree: Tree, k: int, only: DataFrame | None = None)
     pairs = pairs.withColumn("reach", F.lit(float("inf")))
     nearest_first = Window.partitionBy("a").orderBy("far", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ["a", *[f"a_{c}" for c in box]]
-    depth = (tree.nodes.agg(F.max(F.length("path"))).first()[0]) or 0
-    for _ in range(-(-depth // HOP)):
+    for _ in range(-(-tree.depth // HOP)):
         opened = pairs.filter("NOT leaf").select(*own, F.col("b").alias("up"), "reach").join(below, "up").select(*own, "b", "leaf", "n", *box, "reach")
         every = pairs.filter("leaf").select(*own, "b", "leaf", "n", *box, "reach").unionByName(opened)
         every = every.withColumn("near", _apart(axes, far=False)).withColumn("far", _apart(axes, far=True)).filter("near <= reach")
@@ -194,13 +206,6 @@ def leaf_pairs(asking: Tree, tree: Tree, k: int, only: DataFrame | None = None)
     return pairs.select("a", "b", "reach", *box)
 
 
-def _places(rows: DataFrame, axes: tuple[str, ...], k: int) -> DataFrame:
-    """The axes, and ids: the k least ids of the rows in each place."""
-    first = Window.partitionBy(*axes).orderBy("id")
-    least = rows.select("id", *[(F.col(a) + 0.0).alias(a) for a in axes]).withColumn("_r_", F.row_number().over(first)).filter(F.col("_r_") <= k)
-    return least.groupBy(*axes).agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("_n_", F.size("ids").cast("long"))
-
-
 class Index:
     """Points in a tree, for searches of nearest neighbours.
 
@@ -209,13 +214,20 @@ class Index:
     """
 
     def __init__(self, points: DataFrame, axes: tuple[str, ...], copies: int, sphere: bool = False, leaf: int = LEAF):
-        self.axes, self.sphere, self.leaf = axes, sphere, leaf
-        self.points = checkpointed(finite(points.select("id", *[F.col(a).cast("double").alias(a) for a in axes]), axes))
-        self.tree = build(checkpointed(_places(self.points, axes, copies)), axes, "_n_", leaf, sphere)
-        root = self.tree.nodes.filter("path = ''").first()
-        self.total = root["n"] if root else 0
-        each = self.tree.places.select("leaf", F.explode("ids").alias("id"), *axes)
-        self.held = checkpointed(each.groupBy(F.col("leaf").alias("b")).agg(F.collect_list(F.struct("id", *axes)).alias("held"))) if root else None
+        self.axes, self.sphere, self.leaf, self.copies = axes, sphere, leaf, copies
+        self.points = finite(points.select("id", *[(F.col(a).cast("double") + 0.0).alias(a) for a in axes]), axes)
+        places = checkpointed(self.points.groupBy(*axes).agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+        told = places.agg(F.max("rows"), F.sum(F.least("rows", F.lit(copies)))).first()
+        self.most, self.total = told[0] or 0, told[1] or 0
+        if self.most > 1:
+            first = Window.partitionBy(*axes).orderBy("id")
+            shared = self.points.join(places.filter("rows > 1").select(*axes), list(axes), "left_semi")
+            some = shared.withColumn("_r_", F.row_number().over(first)).filter(F.col("_r_") <= copies)
+            lists = some.groupBy(*axes).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+            places = checkpointed(places.join(lists, list(axes), "left").select(*axes, F.coalesce("ids", F.array("least")).alias("ids")))
+        else:
+            places = places.select(*axes, F.array("least").alias("ids"))
+        self.tree = build(places.withColumn("_n_", F.size("ids").cast("long")), axes, "_n_", leaf, sphere)
 
     def nearest(self, k: int, queries: DataFrame | None = None, among: bool = False) -> DataFrame:
         """id, rank (from 0), neighbour, d2: the k nearest points of every query, ties by id.
@@ -225,31 +237,39 @@ class Index:
         """
         axes, tree = self.axes, self.tree
         own = queries is None or among
-        at = [(F.col(a).cast("double") + 0.0).alias(a) for a in axes]
-        queries = self.points if queries is None else finite(queries.select("id", *axes), axes)
-        if not self.total:
-            return queries.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("d2")).limit(0)
         asking, d2 = tree, lambda p: sum(((F.col(a) - p[a]) * (F.col(a) - p[a]) for a in axes), F.lit(0.0))
+        if queries is not None:
+            queries = finite(queries.select("id", *[(F.col(a).cast("double") + 0.0).alias(a) for a in axes]), axes)
+        if not self.total:
+            return self.points.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("d2")).limit(0)
         if not own:
             queries = checkpointed(queries)
-            asking = build(checkpointed(queries.select(*at).distinct()), axes, None, self.leaf, self.sphere)
-        asked = asking.places.select(F.col("leaf").alias("a"), *axes)
-        if among:
-            asked = asked.join(queries.select(*at), list(axes), "left_semi")
-        pairs = leaf_pairs(asking, tree, min(k, self.total), asked.select("a").distinct() if among else None)
+            asking = build(queries.select(*axes).distinct(), axes, None, self.leaf, self.sphere)
+        asked = asking.held.select(F.col("leaf").alias("a"), "held", F.explode("held").alias("p"))
+        asked = asked.select("a", "held", *[F.col(f"p.{a}").alias(a) for a in axes], (F.col("p.ids") if own else F.array().cast("array<long>")).alias("ids"))
         reach = F.col("reach")
-        if own:  # the k-th nearest point of the own leaf bounds what other leaves can hold
+        if own:  # the k-th nearest place of the own leaf bounds what other leaves can hold
             kth = F.get(F.array_sort(F.transform("held", d2)), F.lit(k - 1))
-            asked = asked.join(self.held.withColumnRenamed("b", "a"), "a").select("a", *axes, F.coalesce(kth, F.lit(float("inf"))).alias("most"))
+            asked = asked.withColumn("most", F.coalesce(kth, F.lit(float("inf"))))
             reach = F.least("reach", F.col("most") * (1 + 1e-12))
+        asked = asked.drop("held")
+        if among:
+            asked = asked.join(queries.select(*axes), list(axes), "left_semi")
+        pairs = leaf_pairs(asking, tree, min(k, self.total), asked.select("a").distinct() if among else None)
         near = F.lit(0.0)
         for a in axes:
             gap = F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0))
             near = near + gap * gap
-        met = asked.join(pairs, "a").filter(near <= reach).select("b", *axes).join(self.held, "b")
-        best = F.slice(F.array_sort(F.transform("held", lambda p: F.struct(d2(p).alias("d2"), p["id"].alias("neighbour")))), 1, k)
-        some = met.select(*axes, best.alias("best")).groupBy(*axes).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-        told = queries.select("id", *at).join(some, list(axes))
+        met = asked.join(pairs, "a").filter(near <= reach).select("b", *axes, "ids").join(tree.held.withColumnRenamed("leaf", "b"), "b")
+        each = F.transform("held", lambda p: F.struct(d2(p).alias("d2"), F.get(p["ids"], F.lit(0)).alias("neighbour")))
+        if self.most > 1:
+            each = F.flatten(F.transform("held", lambda p: F.transform(p["ids"], lambda i: F.struct(d2(p).alias("d2"), i.alias("neighbour")))))
+        some = met.select(*axes, "ids", F.slice(F.array_sort(each), 1, k).alias("best")).groupBy(*axes)
+        some = some.agg(F.first("ids").alias("ids"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        if queries is None and self.most <= self.copies:
+            told = some.select(F.explode("ids").alias("id"), "best")
+        else:
+            told = (self.points if queries is None else queries).join(some.drop("ids"), list(axes))
         return told.select("id", F.posexplode("best").alias("rank", "b")).select("id", "rank", "b.neighbour", "b.d2")
 
 
