@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
+from tessera.operators import multilevel
 from tessera.operators.ordering import checkpointed
-from tessera.operators.sparse import conjugate_gradient
 from tessera.operators.topology import corner_vectors, with_corners
 
 # Barycentric points and weights of quadrature rules by order.
@@ -59,10 +59,16 @@ def quadrature(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], C
     return with_corners(triangles, vertices).select("id", (area * total).alias("integral"))
 
 
-def load(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column]) -> DataFrame:
-    """i, value: each triangle's integral of f, by its middle, dealt to its corners."""
-    each = quadrature(triangles, vertices, f, 1).join(triangles, "id")
-    return each.select(F.explode(F.array("v0", "v1", "v2")).alias("i"), (F.col("integral") / 3).alias("value")).groupBy("i").agg(F.sum("value").alias("value"))
+def load(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], order: int = 1) -> DataFrame:
+    """i, value: the integral of f times each corner's hat function, by the rule of the order."""
+    a, b, c = corner_vectors()
+    totals = [F.lit(0.0)] * 3
+    for s, t, w in rule(order):
+        at = f(v.add(v.add(v.scale(a, 1 - s - t), v.scale(b, s)), v.scale(c, t)))
+        totals = [total + (w * hat) * at for total, hat in zip(totals, (1 - s - t, s, t), strict=True)]
+    area = v.planar_area(a, b, c)
+    dealt = F.array(*[F.struct(F.col(f"v{k}").alias("i"), (area * total).alias("value")) for k, total in enumerate(totals)])
+    return with_corners(triangles, vertices).select(F.explode(dealt).alias("e")).groupBy("e.i").agg(F.sum("e.value").alias("value"))
 
 
 def l2_error(triangles: DataFrame, vertices: DataFrame, values: DataFrame, exact: Callable[[v.Vec], Column]) -> DataFrame:
@@ -79,18 +85,41 @@ def l2_error(triangles: DataFrame, vertices: DataFrame, values: DataFrame, exact
     return t.agg(F.sqrt(F.sum(v.planar_area(a, b, c) * total)).alias("error"))
 
 
-def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], fixed: DataFrame, tolerance: float = 1e-10, most: int = 2000) -> DataFrame:
+def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], fixed: DataFrame, tolerance: float = 1e-10, most: int = 100, order: int = 1) -> DataFrame:
     """i, value: the linear solution of -laplace u = f with given values (id, value) at the fixed vertices.
 
-    Known values move to the right side, so that the system over the free vertices stays symmetric for conjugate gradients.
+    Known values move to the right side, so that the system over the free vertices stays symmetric for conjugate gradients. Vertices
+    of no triangle have no row, unless they are fixed.
     """
     k = checkpointed(stiffness(triangles, vertices))
     known = checkpointed(fixed.select(F.col("id").alias("i"), "value"))
     free = lambda df, c: df.join(known.select(F.col("i").alias(c)), c, "left_anti")
     moved = free(k, "i").join(known.select(F.col("i").alias("j"), F.col("value").alias("u")), "j").select("i", (-F.col("value") * F.col("u")).alias("value"))
-    right = free(load(triangles, vertices, f), "i").select("i", "value").unionByName(moved).groupBy("i").agg(F.sum("value").alias("value"))
+    right = free(load(triangles, vertices, f, order), "i").select("i", "value").unionByName(moved).groupBy("i").agg(F.sum("value").alias("value"))
     inner = free(free(k, "i"), "j").select("i", "j", "value")
-    return conjugate_gradient(inner, right, tolerance, most).select("i", "value").unionByName(known.select("i", "value"))
+    found, _ = multilevel.solve(inner, right, tolerance, most)
+    return found.unionByName(known.select("i", "value"))
+
+
+def boundary_flux(vertices: DataFrame, lines: DataFrame, flux: Column) -> DataFrame:
+    """i, value: the integral of a flux, constant along each line (v0, v1, group), times each end's hat function."""
+    at = lambda c: vertices.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in "xyz"])
+    both = lines.join(at("v0"), "v0").join(at("v1"), "v1")
+    length = v.length(v.sub(*[tuple(F.col(f"{c}{k}") for k in "xyz") for c in ("v1", "v0")]))
+    dealt = both.select(F.explode(F.array("v0", "v1")).alias("i"), (flux * length / 2).alias("value"))
+    return dealt.groupBy("i").agg(F.sum("value").alias("value"))
+
+
+def potential_flow(triangles: DataFrame, vertices: DataFrame, lines: DataFrame, speed: float = 1.0, tolerance: float = 1e-10, most: int = 100) -> tuple[DataFrame, int]:
+    """(i, value), rounds: the potential of a flow that leaves at the speed through the lines (v0, v1, group) of group 1 and enters through those of 3.
+
+    Nothing passes any other edge of the boundary. A potential is given up to a constant: its mean over the vertices is 0. If more
+    enters than leaves, the difference is taken from all vertices alike. The domain hangs together; vertices of no triangle have no row.
+    """
+    k = checkpointed(stiffness(triangles, vertices))
+    flux = F.when(F.col("group") == 1, speed).when(F.col("group") == 3, -speed).otherwise(0.0)
+    right = boundary_flux(vertices, lines, flux).join(k.select("i").distinct(), "i", "left_semi")
+    return multilevel.solve(k, right, tolerance, most, singular=True)
 
 
 def triangle_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import geometry, physics, spatial, surfaces
+from tessera.plans import fields, geometry, physics, spatial, surfaces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return geometry.QUERIES | physics.QUERIES | surfaces.QUERIES | spatial.QUERIES
+    return geometry.QUERIES | physics.QUERIES | surfaces.QUERIES | spatial.QUERIES | fields.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return geometry.SQL | physics.SQL | surfaces.SQL | spatial.SQL
+    return geometry.SQL | physics.SQL | surfaces.SQL | spatial.SQL | fields.SQL

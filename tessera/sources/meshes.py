@@ -93,24 +93,30 @@ def subdivided_sphere(spark: SparkSession, level: int, kind: str = "icosahedron"
     return Mesh(numbers.select(F.col("n").alias("id"), "p.x", "p.y", "p.z"), out.select("id", "v0", "v1", "v2"))
 
 
-def squircle(spark: SparkSession, radius: float, nr: int, nt: int) -> Mesh:
-    """The square [-1, 1]^2 without a disc: nr rings of 4 nt sectors from the circle to the square's outline.
+def squircle(spark: SparkSession, radius: float, nr: int, nt: int, half: bool = False) -> Mesh:
+    """The square [-1, 1]^2 without a disc: nr rings of 4 nt sectors from the circle to the square's outline; half: what lies above y = 0.
 
     Lines are the boundary edges: group 1 on the right side, 3 on the left, 2 elsewhere.
     """
-    n = 4 * nt
+    n = 2 * nt if half else 4 * nt  # sectors
+    w = n + 1 if half else n  # vertices a ring
+    step = math.pi / (2 * nt)
     k = F.col("id")
-    ring, sector = F.floor(k / n), k % n
-    theta = sector * (2 * math.pi / n)
+    ring, sector = F.floor(k / w), k % w
+    theta = sector * step
     reach = 1 / F.greatest(F.abs(F.cos(theta)), F.abs(F.sin(theta)))
     r = radius + (reach - radius) * ring / float(nr)
-    vertices = spark.range((nr + 1) * n).select("id", (r * F.cos(theta)).alias("x"), (r * F.sin(theta)).alias("y"), F.lit(0.0).alias("z"))
-    after = F.floor(k / n) * n + (k + 1) % n
-    quads = spark.range(nr * n).select("id", k.alias("v0"), (k + n).alias("v1"), (after + n).alias("v2"), after.alias("v3"))
+    vertices = spark.range((nr + 1) * w).select("id", (r * F.cos(theta)).alias("x"), (r * F.sin(theta)).alias("y"), F.lit(0.0).alias("z"))
+    first = F.floor(k / n) * w + k % n
+    after = F.floor(k / n) * w + (k % n + 1) % w
+    quads = spark.range(nr * n).select("id", first.alias("v0"), (first + w).alias("v1"), (after + w).alias("v2"), after.alias("v3"))
     halves = F.array(F.struct(F.lit(0).alias("h"), F.col("v0").alias("a"), F.col("v1").alias("b"), F.col("v2").alias("c")), F.struct(F.lit(1).alias("h"), F.col("v0").alias("a"), F.col("v2").alias("b"), F.col("v3").alias("c")))
     triangles = quads.select("id", F.explode(halves).alias("t")).select((F.col("id") * 2 + F.col("t.h")).alias("id"), F.col("t.a").alias("v0"), F.col("t.b").alias("v1"), F.col("t.c").alias("v2"))
-    inner = spark.range(n).select(k.alias("v0"), ((k + 1) % n).alias("v1"), F.lit(2).alias("group"))
-    middle = (k + 0.5) * (2 * math.pi / n)
+    lines = spark.range(n).select(k.alias("v0"), ((k + 1) % w).alias("v1"), F.lit(2).alias("group"))
+    middle = (k + 0.5) * step
     side = F.when(F.cos(middle) > F.abs(F.sin(middle)), 1).when(-F.cos(middle) > F.abs(F.sin(middle)), 3).otherwise(2)
-    outer = spark.range(n).select((k + nr * n).alias("v0"), ((k + 1) % n + nr * n).alias("v1"), side.alias("group"))
-    return Mesh(vertices, triangles, quads, None, inner.unionByName(outer))
+    lines = lines.unionByName(spark.range(n).select((k + nr * w).alias("v0"), ((k + 1) % w + nr * w).alias("v1"), side.alias("group")))
+    if half:
+        for s in (0, n):
+            lines = lines.unionByName(spark.range(nr).select((k * w + s).alias("v0"), ((k + 1) * w + s).alias("v1"), F.lit(2).alias("group")))
+    return Mesh(vertices, triangles, quads, None, lines)
