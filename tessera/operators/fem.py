@@ -59,6 +59,21 @@ def quadrature(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], C
     return with_corners(triangles, vertices).select("id", (area * total).alias("integral"))
 
 
+def sphere_quadrature(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], order: int = 4) -> DataFrame:
+    """id, integral of f over each triangle of the unit sphere, each point weighed by how the map from the flat triangle stretches there.
+
+    A triangle whose plane holds the sphere's middle has no area in this sense and gives 0.
+    """
+    a, b, c = corner_vectors()
+    volume = F.abs(v.dot(a, v.cross(b, c)))
+    total = F.lit(0.0)
+    for s, t, w in rule(order):
+        p = v.add(v.add(v.scale(a, 1 - s - t), v.scale(b, s)), v.scale(c, t))
+        size = v.length(p)
+        total = total + F.coalesce(w * f(v.unit(p)) * F.try_divide(volume, size * size * size), F.lit(0.0))
+    return with_corners(triangles, vertices).select("id", (total / 2).alias("integral"))
+
+
 def load(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], order: int = 1) -> DataFrame:
     """i, value: the integral of f times each corner's hat function, by the rule of the order."""
     a, b, c = corner_vectors()

@@ -107,3 +107,12 @@ def test_what_enters_too_much_is_spread(spark):
     assert fem.potential_flow(m.triangles, lone, lines)[0].count() == 25
     still, _ = fem.potential_flow(m.triangles, m.vertices, lines.limit(0))
     assert {r["value"] for r in still.collect()} == {0.0}
+
+
+def test_pointwise_stretch_integrates_over_the_sphere(spark):
+    corners = [(0, 1.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 1.0), (3, -1.0, 0.0, 0.0)]
+    vertices = spark.createDataFrame(corners, "id long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 0, 1, 3)], "id long, v0 long, v1 long, v2 long")
+    for f, want in ((lambda p: F.lit(1.0), math.pi / 2), (lambda p: p[2], math.pi / 4), (lambda p: p[0] * p[0], math.pi / 6)):
+        got = {r["id"]: r["integral"] for r in fem.sphere_quadrature(faces, vertices, f, 12).collect()}
+        assert got[0] == pytest.approx(want, rel=1e-4) and got[1] == 0
