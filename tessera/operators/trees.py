@@ -124,14 +124,16 @@ def box_digits(axes: tuple[str, ...]) -> Column:
     return F.lpad(F.conv(key.cast("string"), 10, 1 << len(axes)), LEVELS, "0")
 
 
-def build(places: DataFrame, axes: tuple[str, ...], weight: str | None = None, leaf: int = LEAF, sphere: bool = False) -> Tree:
+def build(places: DataFrame, axes: tuple[str, ...], weight: str | None = None, leaf: int = LEAF, sphere: bool = False, bounds: tuple[str, ...] = ()) -> Tree:
     """A tree over different, finite places (the axes and what else is kept); weight: a column to sum in n in place of counting.
 
-    sphere: the first levels are nested triangles (axes x, y, z). A leaf has at most `leaf` places.
+    sphere: the first levels are nested triangles (axes x, y, z). A leaf has at most `leaf` places. bounds: kept columns
+    whose least and greatest values nodes tell as they do of the axes.
     """
     kept = list(places.columns)
-    low, high = [f"lo_{a}" for a in axes], [f"hi_{a}" for a in axes]
-    boxes = [*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]]
+    ranged = (*axes, *bounds)
+    low, high = [f"lo_{a}" for a in ranged], [f"hi_{a}" for a in ranged]
+    boxes = [*[F.min(a).alias(f"lo_{a}") for a in ranged], *[F.max(a).alias(f"hi_{a}") for a in ranged]]
     merged = [F.sum("places").alias("places"), F.sum("n").alias("n"), *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high]]
     counted = [F.count("*").alias("places"), (F.sum(weight) if weight else F.count("*")).cast("long").alias("n"), *boxes]
     root = places.agg(*counted).first()
@@ -206,6 +208,24 @@ def leaf_pairs(asking: Tree, tree: Tree, k: int, only: DataFrame | None = None)
     return pairs.select("a", "b", "reach", *box)
 
 
+def leaves_met(asking: DataFrame, tree: Tree, met: Column) -> DataFrame:
+    """asking (with a box a_lo_<axis>, a_hi_<axis>) with b, each leaf of the tree that is met.
+
+    met is told of a node's near (squared distance of the boxes) and bounds, and holds of all nodes above one of which it holds.
+    """
+    own = asking.columns
+    box = [c for c in tree.nodes.columns if c.startswith(("lo_", "hi_"))]
+    parent = F.substring("path", F.lit(1), (F.floor((F.length("path") - 1) / HOP) * HOP).cast("int"))
+    below = tree.nodes.filter((F.col("path") != "") & (F.col("leaf") | (F.length("path") % HOP == 0))).select(parent.alias("up"), F.col("path").alias("b"), "leaf", *box)
+    root = tree.nodes.filter("path = ''").select(F.col("path").alias("b"), "leaf", *box)
+    pairs = asking.withColumns({c: F.lit(value).cast(root.schema[c].dataType) for c, value in root.first().asDict().items()})
+    for _ in range(-(-tree.depth // HOP)):
+        opened = pairs.filter("NOT leaf").select(*own, F.col("b").alias("up")).join(below, "up").select(*own, "b", "leaf", *box)
+        every = pairs.filter("leaf").select(*own, "b", "leaf", *box).unionByName(opened)
+        pairs = checkpointed(every.withColumn("near", _apart(tree.axes, far=False)).filter(met).drop("near"))
+    return pairs.select(*own, "b")
+
+
 class Index:
     """Points in a tree, for searches of nearest neighbours.
 

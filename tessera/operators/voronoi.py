@@ -1,11 +1,14 @@
 """Voronoi and power diagrams on the unit sphere and on the square.
 
-Neighbours come from a spatial tree, nearest first. A cell is a cyclic list of
-planes; the bisectors of the neighbours cut it in their order. All cells of an
-Arrow batch are cut together: the loop runs over neighbour ranks, not over
+Neighbours come from a spatial tree: a leaf's sites meet those of all leaves around
+it in one row, so that sites of a leaf share their neighbours. A cell is a cyclic list of
+planes; the bisectors of the neighbours cut it, nearest first. All cells of some
+leaves are cut together: the loop runs over neighbour ranks, not over
 sites, on padded arrays. A cell is finished once no farther neighbour can reach
-it (the security radius); sites that run out of neighbours before that try again
-with twice as many.
+it (the security radius). The first round meets the leaves that hold a number of nearest
+sites; a leaf with cells that are not finished then meets all leaves that can reach
+these by their distance and greatest weight, or those of twice the distance while
+a cell is still wide.
 
 Sites: id, x, y, z (z = 0 on the square) and, for a power diagram, w.
 """
@@ -28,8 +31,10 @@ from tessera.operators.ordering import checkpointed, numbered
 #: Half-width, on the plane that touches the sphere at a site, of the square that its cell is cut from: all but half a sphere.
 START = 1000.0
 NEIGHBOURS = 24
-#: Fixed value: slack of the security radius.
-SECURITY = 4.01
+#: Fixed value: slack of the security radius, as a share of its square.
+SLACK = 1.0025
+#: Leaves times the most neighbours of one that are cut together at most.
+TOGETHER = 20_000
 
 
 @dataclass
@@ -72,6 +77,11 @@ def _vertices(planes: np.ndarray, count: np.ndarray, site: np.ndarray, sphere: b
     return at.reshape(n, most, 3)
 
 
+def secure(reach: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """How far sites that cut a cell can be, with its farthest corner's squared distance and how much more they weigh than its site."""
+    return np.sqrt(reach) + np.sqrt(np.maximum(reach + more, 0.0))
+
+
 def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np.ndarray, there: np.ndarray, domain: Domain) -> dict[str, np.ndarray]:
     """Cells of n sites (n, 3) cut by their neighbours (n, k, 3), nearest first; there: which exist.
 
@@ -98,14 +108,14 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
     count = np.full(n, 4)
     points = _vertices(planes, count, site, domain.sphere)
     done = np.zeros(n, dtype=bool)
-    w_high = max(float(weight.max(initial=0)), float(near_weight[there].max(initial=0)))
+    # A site at distance d reaches a point at distance r only where d (d - 2 r) is at most its weight less the cell's.
+    more = np.where(there, near_weight, -np.inf).max(axis=1, initial=-np.inf) - weight
     for rank in range(near.shape[1]):
         zj = near[:, rank]
         d = np.linalg.norm(zj - site, axis=1)
         slots = np.arange(planes.shape[1]) < count[:, None]
         reach = np.where(slots, ((points - site[:, None]) ** 2).sum(axis=2), 0).max(axis=1)
-        # Lifted by w, sites lie at height sqrt(w_high - w); the neighbour's lift only adds distance.
-        done |= there[:, rank] & (SECURITY * (reach + w_high - weight) < d * d) | (count == 0)
+        done |= there[:, rank] & (SLACK * secure(reach, more) ** 2 < d * d) | (count == 0)
         live = np.flatnonzero(~done & there[:, rank])
         if not len(live):
             continue
@@ -171,6 +181,7 @@ def measures(points: np.ndarray, count: np.ndarray, sphere: bool) -> tuple[np.nd
 
 
 _CELL = "id long, x double, y double, z double, w double, volume double, mx double, my double, mz double, done boolean, neighbours array<long>, points array<struct<x:double,y:double,z:double>>"
+_CUT = f"{_CELL}, a string, reach double, upto double"
 
 
 def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -187,67 +198,87 @@ def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGH
     finite = F.lit(True)
     for c in "xyzw":
         finite = finite & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
-    held = every.filter(finite).groupBy("x", "y", "z").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("id")).select("id")
+    held = every.filter(finite).groupBy(*axes).agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("id")).select("id")
     base = checkpointed(every.join(held, "id", "left_semi"))
     empty = {"neighbours": "array<long>", "points": "array<struct<x:double,y:double,z:double>>"}
     parts = every.join(base.select("id"), "id", "left_anti").select(
         "id", "x", "y", "z", "w", *[F.lit(0.0).alias(c) for c in ("volume", "mx", "my", "mz")], F.lit(True).alias("done"), *[F.array().cast(t).alias(c) for c, t in empty.items()]
     )
-    total = base.count()
-    todo = base
-    k = min(neighbours, max(total - 1, 0))
+    highest = base.agg(F.max("w")).first()[0]
+    if highest is None:
+        return parts
+    tree = trees.build(base, axes, bounds=("w",))
+    box = [f"{e}_{a}" for a in axes for e in ("lo", "hi")]
+    leaves = tree.leaves.select(F.col("path").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
+    pairs = trees.leaf_pairs(tree, tree, neighbours + 1).select("a", "b", F.sqrt("reach").alias("upto"))
+    asked = tree.held.select(F.col("leaf").alias("a"), F.transform("held", lambda s: s["id"]).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                yield _cut(batch.slice(start, 2048), total, domain)
+            sizes = np.asarray(pc.list_value_length(batch.column("near")))
+            start = 0
+            while start < batch.num_rows:
+                widest = np.maximum.accumulate(sizes[start:])
+                upto = max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), TOGETHER)))
+                yield _cut(batch.slice(start, upto), highest, domain)
+                start += upto
 
-    index = None
     while True:
-        if k:
-            index = index or trees.Index(base, axes, 1)
-            near = index.nearest(k + 1, todo, among=True).filter("id <> neighbour")
-            placed = near.join(base.select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in "xyzw"]), "neighbour")
-            lists = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d2", F.col("neighbour").alias("id"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"), F.col("nw").alias("w")))).alias("near"))
-            rows = todo.join(lists, "id", "left")
-        else:
-            rows = todo.withColumn("near", F.expr("cast(null as array<struct<d2:double,id:long,x:double,y:double,z:double,w:double>>)"))
-        cells = checkpointed(rows.mapInArrow(run, _CELL))
-        finished = cells.filter("done")
-        parts = parts.unionByName(finished)
-        todo = base.join(cells.filter("NOT done").select("id"), "id", "left_semi")
+        around = pairs.join(tree.held.withColumnRenamed("leaf", "b"), "b").groupBy("a").agg(F.first("upto").alias("upto"), F.flatten(F.collect_list("held")).alias("near"))
+        rows = asked.join(tree.held.select(F.col("leaf").alias("a"), "held"), "a").join(around, "a")
+        cells = checkpointed(rows.select("a", "upto", "asked", "held", "near").mapInArrow(run, _CUT))
+        parts = parts.unionByName(cells.filter("done").select(parts.columns))
+        todo = cells.filter("NOT done").groupBy("a")
+        todo = checkpointed(todo.agg(F.max("reach").alias("reach"), F.min("w").alias("least"), F.max("upto").alias("upto"), F.collect_list("id").alias("asked")))
         if todo.isEmpty():
             return parts
-        todo = checkpointed(todo)
-        k = min(2 * k, total - 1)
+        # Twice as far while cells are wide, else as far as any site can be that cuts one.
+        asked, r = todo.select("a", "asked"), F.col("reach")
+        wide = leaves.join(todo.select("a", "reach", "least", F.when(r <= 2 * F.col("upto"), float("inf")).otherwise(2 * F.col("upto")).alias("upto")), "a")
+        can = r + F.sqrt(F.greatest(r * r + F.col("hi_w") - F.col("least"), F.lit(0.0)))
+        pairs = trees.leaves_met(wide, tree, (F.col("near") <= F.col("upto") * F.col("upto")) & (F.col("near") <= SLACK * can * can)).select("a", "b", "upto")
 
 
-def _cut(part: pa.RecordBatch, total: int, domain: Domain) -> pa.RecordBatch:
-    """Cells of a batch of sites with their lists of neighbours (near)."""
-    column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
-    lists = column["near"]
+def _sites(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id, place and weight of every site in lists of them."""
     sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-    n, width = part.num_rows, max(int(sizes.max(initial=0)), 1)
     each = lists.flatten()
-    row = np.repeat(np.arange(n), sizes)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    number = lambda c: np.asarray(each.field(c).fill_null(0.0), dtype=float)
-    near, near_w, ids, there = np.zeros((n, width, 3)), np.zeros((n, width)), np.zeros((n, width), dtype=np.int64), np.zeros((n, width), dtype=bool)
-    near[row, at] = np.column_stack([number(c) for c in "xyz"])
-    near_w[row, at], ids[row, at], there[row, at] = number("w"), np.asarray(each.field("id")), True
-    site = np.column_stack([np.asarray(column[c], dtype=float) for c in "xyz"])
-    got = clip(site, np.asarray(column["w"], dtype=float), near, near_w, there, domain)
+    number = lambda c: np.asarray(each.field(c), dtype=float)
+    return np.repeat(np.arange(len(lists)), sizes), np.asarray(each.field("id")), np.column_stack([number(c) for c in "xyz"]), number("w")
+
+
+def _cut(part: pa.RecordBatch, highest: float, domain: Domain) -> pa.RecordBatch:
+    """Cells of the asked sites of leaves with their own sites (held) and those of the leaves around them (near)."""
+    column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+    leaf, own, site, weight = _sites(column["held"])
+    at = np.isin(own, np.asarray(column["asked"].flatten()))
+    leaf, own, site, weight = leaf[at], own[at], site[at], weight[at]
+    n = len(own)
+    row, ids, place, w = _sites(column["near"])
+    first = np.searchsorted(row, np.arange(part.num_rows + 1))
+    size = np.diff(first)[leaf]
+    width = max(int(size.max(initial=0)), 1)
+    slot = np.arange(width)
+    there = slot < size[:, None]
+    each = np.where(there, first[leaf][:, None] + slot, 0)
+    there &= ids[each] != own[:, None]
+    gap = np.where(there, sum((place[each, k] - site[:, None, k]) ** 2 for k in range(3)), np.inf)
+    ranked = np.lexsort((ids[each], gap), axis=1)
+    each, there = np.take_along_axis(each, ranked, axis=1), np.take_along_axis(there, ranked, axis=1)
+    got = clip(site, weight, place[each], w[each], there, domain)
     volume, moment = measures(got["points"], got["count"], domain.sphere)
     some = np.arange(got["origin"].shape[1]) < got["count"][:, None]
+    reach = np.where(some, ((got["points"] - site[:, None]) ** 2).sum(axis=2), 0).max(axis=1)
+    upto = np.asarray(column["upto"], dtype=float)[leaf]
+    done = (SLACK * secure(reach, highest - weight) ** 2 <= upto * upto) | (got["count"] == 0)
     offsets = pa.array(np.concatenate([[0], np.cumsum(got["count"])]).astype(np.int32))
     origin, owner = got["origin"][some], np.nonzero(some)[0]
-    names = pa.ListArray.from_arrays(offsets, pa.array(ids[owner, np.maximum(origin, 0)], mask=origin < 0))
+    names = pa.ListArray.from_arrays(offsets, pa.array(ids[each][owner, np.maximum(origin, 0)], mask=origin < 0))
     corner = got["points"][some]
     points = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(corner[:, k])) for k in range(3)], names=["x", "y", "z"]))
-    done = got["done"] | (sizes == total - 1)
-    moments = [pa.array(np.ascontiguousarray(moment[:, k])) for k in range(3)]
-    arrays = [*[column[c] for c in ("id", "x", "y", "z", "w")], pa.array(volume), *moments, pa.array(done), names, points]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "x", "y", "z", "w", "volume", "mx", "my", "mz", "done", "neighbours", "points"])
+    numbers = [pa.array(np.ascontiguousarray(c)) for c in (*site.T, weight, volume, *moment.T)]
+    arrays = [pa.array(own), *numbers, pa.array(done), names, points, column["a"].take(pa.array(leaf)), pa.array(np.sqrt(reach)), pa.array(upto)]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "x", "y", "z", "w", "volume", "mx", "my", "mz", "done", "neighbours", "points", "a", "reach", "upto"])
 
 
 def edges(cells: DataFrame) -> DataFrame:

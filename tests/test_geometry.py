@@ -95,6 +95,16 @@ def test_sphere_diagram_covers_the_sphere(spark, n):
     assert voronoi.facets(cells).count() == 3 * n - 6
 
 
+def test_heavy_sites_elsewhere_do_not_keep_a_cell_open(spark):
+    grid = np.array([(0.1 * i, 0.1 * j, 0.0) for i in range(-4, 5) for j in range(-4, 5) if i or j])
+    near = np.stack([grid[np.argsort((grid**2).sum(axis=1), kind="stable")]] * 2)
+    weight = np.stack([np.zeros(len(grid)), np.full(len(grid), 0.5)])
+    box = voronoi.Domain(sphere=False, low=(-9.0, -9.0), high=(9.0, 9.0))
+    got = voronoi.clip(np.zeros((2, 3)), np.array([0.0, 0.5]), near, weight, np.ones(weight.shape, dtype=bool), box)
+    assert got["done"].all()
+    assert voronoi.measures(got["points"], got["count"], False)[0] == pytest.approx([0.01, 0.01])
+
+
 def test_plane_diagram_and_exact_gradient(spark):
     _, df = points(spark, 40, sphere=False)
     domain = voronoi.Domain(sphere=False)
