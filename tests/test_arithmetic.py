@@ -130,3 +130,12 @@ def test_factors_rebuild_the_matrix(n):
     assert np.abs(low @ up - np.take_along_axis(a, order[:, :, None], axis=1)).max() < 1e-13 and np.abs(np.tril(lu, -1)).max(initial=0) <= 1
     b = RNG.standard_normal((5, n, 2))
     assert np.abs(a @ dense.solved(lu, order, b) - b).max() < 1e-10 and set(np.abs(sign_)) == {1.0}
+
+
+def test_signs_of_whole_columns_are_those_of_whole_numbers():
+    rng = np.random.default_rng(5)
+    for exact, m in ((predicates._orientation, 6), (predicates._circle, 8)):
+        sets = [rng.integers(0, 16, (m, 300)) / 1024, rng.normal(size=(m, 60)) * 10.0 ** rng.integers(-300, 300, (m, 60)), rng.integers(-(2**13), 2**13 + 1, (m, 300)).astype(float), np.full((m, 2), 5e-324)]
+        for p in sets:
+            want = [exact(predicates._whole(column.tolist())) for column in p.T]
+            assert predicates.signs(p, exact).tolist() == [(d > 0) - (d < 0) for d in want]
