@@ -100,6 +100,11 @@ def l2_error(triangles: DataFrame, vertices: DataFrame, values: DataFrame, exact
     return t.agg(F.sqrt(F.sum(v.planar_area(a, b, c) * total)).alias("error"))
 
 
+def places(vertices: DataFrame) -> DataFrame:
+    """i, x, y, z: where the unknowns of the vertices lie."""
+    return vertices.select(F.col("id").alias("i"), "x", "y", "z")
+
+
 def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Column], fixed: DataFrame, tolerance: float = 1e-10, most: int = 100, order: int = 1) -> DataFrame:
     """i, value: the linear solution of -laplace u = f with given values (id, value) at the fixed vertices.
 
@@ -112,7 +117,7 @@ def poisson(triangles: DataFrame, vertices: DataFrame, f: Callable[[v.Vec], Colu
     moved = free(k, "i").join(known.select(F.col("i").alias("j"), F.col("value").alias("u")), "j").select("i", (-F.col("value") * F.col("u")).alias("value"))
     right = free(load(triangles, vertices, f, order), "i").select("i", "value").unionByName(moved).groupBy("i").agg(F.sum("value").alias("value"))
     inner = free(free(k, "i"), "j").select("i", "j", "value")
-    found, _ = multilevel.solve(inner, right, tolerance, most)
+    found, _ = multilevel.solve(inner, right, tolerance, most, places=places(vertices))
     return found.unionByName(known.select("i", "value"))
 
 
@@ -134,7 +139,7 @@ def potential_flow(triangles: DataFrame, vertices: DataFrame, lines: DataFrame,
     k = checkpointed(stiffness(triangles, vertices))
     flux = F.when(F.col("group") == 1, speed).when(F.col("group") == 3, -speed).otherwise(0.0)
     right = boundary_flux(vertices, lines, flux).join(k.select("i").distinct(), "i", "left_semi")
-    return multilevel.solve(k, right, tolerance, most, singular=True)
+    return multilevel.solve(k, right, tolerance, most, singular=True, places=places(vertices))
 
 
 def triangle_gradients(triangles: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import dissection
 from tessera.operators.ordering import Rounds, checkpointed
 from tessera.operators.sparse import spmm, spmv, transpose
 
@@ -135,20 +136,54 @@ def cycle(of: list[Level], r: DataFrame) -> DataFrame:
     return terms.groupBy("i").agg(F.sum("value").alias("value"))
 
 
-def solve(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 100, dense: int = DENSE, singular: bool = False) -> tuple[DataFrame, int]:
+def _refined(a: DataFrame, r: DataFrame, places: DataFrame, tolerance: float, singular: bool) -> tuple[DataFrame, int, bool]:
+    """(i, value), direct solves taken until the residual is below tolerance or no longer halves, and whether that is enough.
+
+    singular: one unknown is held by what is added to its diagonal, which changes nothing where the right side sums to 0.
+    """
+    held = a
+    if singular and (pin := a.filter("i = j").agg(F.min("i"), F.avg("value")).first())[0] is not None:
+        held = a.unionByName(a.sparkSession.createDataFrame([tuple(pin)], "pin long, value double").select(F.col("pin").alias("i"), F.col("pin").alias("j"), "value"))
+        held = checkpointed(_summed(held))
+    norm = lambda df: (df.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0) ** 0.5
+    first = before = norm(r)
+    x, best, taken = r.withColumn("value", F.lit(0.0)), r, 0
+    while before > tolerance * first:
+        step = dissection.solve(held, best, places)
+        x = checkpointed(x.unionByName(step).groupBy("i").agg(F.sum("value").alias("value")))
+        left = r.unionByName(spmv(a, x).withColumn("value", -F.col("value")))
+        left, taken = checkpointed(left.groupBy("i").agg(F.sum("value").alias("value"))), taken + 1
+        size = norm(left)
+        if not size < before / 2:
+            break
+        best, before = left, size
+    return x, taken, before <= max(tolerance, 1e-8) * first
+
+
+def solve(
+    a: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 100, dense: int = DENSE, singular: bool = False, places: DataFrame | None = None
+) -> tuple[DataFrame, int]:
     """(i, value) solving A x = b for a symmetric A, and the rounds taken until the residual is below tolerance times b.
 
     singular: constants are A's null space; the mean of b is taken off, and the solution's mean is 0. An unknown that only
     one of A and b has gets a row as well: without entries of A its value is b, without b its right side is 0.
+    places (i, x, y, z): where the unknowns of a mesh lie. They are then solved for by nested dissection (dissection.py), each
+    solve a round, and cycles are left to systems whose residual stays above 1e-8 of b.
     """
     a = checkpointed(_summed(a))
-    of = levels(a, dense)
-    rounds = Rounds(a.sparkSession)
     start = b.groupBy("i").agg(F.sum("value").alias("value")).join(a.select("i").distinct().withColumn("known", F.lit(True)), "i", "full")
     start = start.select("i", F.coalesce("value", F.lit(0.0)).alias("r"), F.col("known").isNotNull().alias("known"))
     a = a.unionByName(start.filter("NOT known").select("i", F.col("i").alias("j"), F.lit(1.0).alias("value")))
     start = checkpointed(start)
     mean = (start.agg(F.avg("r")).first()[0] or 0.0) if singular else 0.0
+    if places is not None:
+        a = checkpointed(a)
+        x, taken, done = _refined(a, start.select("i", (F.col("r") - mean).alias("value")), places, tolerance, singular)
+        if done:
+            off = (x.agg(F.avg("value")).first()[0] or 0.0) if singular else 0.0
+            return x.select("i", (F.col("value") - off).alias("value")), taken
+    of = levels(a.join(start.filter("known"), "i", "left_semi"), dense)
+    rounds = Rounds(a.sparkSession)
     state = start.select("i", F.lit(0.0).alias("x"), (F.col("r") - mean).alias("r"), F.lit(0.0).alias("p"))
 
     def total(df: DataFrame, *what: Column) -> list[float]:
