@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import dissection
 from tessera.operators.ordering import Rounds, checkpointed
-from tessera.operators.sparse import spmm, spmv, transpose
+from tessera.operators.sparse import spmv, thin_spmm, transpose
 
 DENSE = 256
 STRONG = 0.08
@@ -115,10 +115,10 @@ def levels(a: DataFrame, dense: int = DENSE, strong: float = STRONG) -> list[Lev
         if fewer > 0.9 * size:
             return [*out, Level(smooth, None, size)]
         flat = group.select("i", F.col("root").alias("j"), F.lit(1.0).alias("value"))
-        p = checkpointed(_less(flat, spmm(a, flat), diagonal, omega))
-        ap = checkpointed(spmm(a, p))
+        p = checkpointed(_less(flat, thin_spmm(a, flat), diagonal, omega))
+        ap = checkpointed(thin_spmm(a, p))
         out.append(Level(smooth, checkpointed(_less(p, ap, diagonal, omega)), size))
-        a, size = checkpointed(_summed(spmm(transpose(p), ap))), fewer
+        a, size = checkpointed(_summed(thin_spmm(transpose(p), ap))), fewer
     return [*out, Level(_pseudo_inverse(a), None, size)]
 
 

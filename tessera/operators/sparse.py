@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +17,92 @@ def spmv(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col("value").alias("_x")), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("_x")).alias("value"))
 
 
-def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, value of A B."""
+def thin_spmm(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, j, value of A B where few terms make an entry: all terms are shuffled."""
     right = b.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("value").alias("w"))
     return a.select("i", F.col("j").alias("k"), "value").join(right, "k").groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
 
+#: Rows and columns of a block of a product (a power of 2), the terms a task holds at once, and the terms after which a block is shared by tasks.
+BITS, HELD, SHARE = 10, 2_000_000, 200_000_000
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """i, j, value: the products of rows (p, q, k, i, v, j, w), sorted by block (p, q), added up block by block."""
+    side = 1 << BITS
+    at, terms, held, block, total = [], [], 0, None, None
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        """Terms by cell of a block with many: how many and their sum."""
+        cell = np.concatenate(at)
+        made = np.bincount(cell, minlength=side * side), np.bincount(cell, np.concatenate(terms), side * side)
+        return made if total is None else (total[0] + made[0], total[1] + made[1])
+
+    def out() -> pa.RecordBatch:
+        if total is None and held * 8 < side * side:
+            found, back = np.unique(np.concatenate(at), return_inverse=True)
+            value = np.bincount(back, np.concatenate(terms), len(found))
+        else:  # an entry whose terms cancel stays
+            count, value = added() if held else total
+            found = np.flatnonzero(count)
+            value = value[found]
+        return pa.RecordBatch.from_arrays([pa.array(block[0] * side + found // side), pa.array(block[1] * side + found % side), pa.array(value)], names=["i", "j", "value"])
+
+    for batch in batches:
+        p, q = batch.column("p").to_numpy(), batch.column("q").to_numpy()
+        flat = {c: batch.column(c).flatten().to_numpy() for c in "ivjw"}
+        ends = {c: np.append(0, np.cumsum(batch.column(c).value_lengths().to_numpy())) for c in "ij"}
+        for r in range(batch.num_rows):
+            now = (int(p[r]), int(q[r]))
+            if now != block:
+                if block:
+                    yield out()
+                at, terms, held, block, total = [], [], 0, now, None
+            elif held > HELD:
+                total = added()
+                at, terms, held = [], [], 0
+            left, right = (slice(ends[c][r], ends[c][r + 1]) for c in "ij")
+            at.append(((flat["i"][left] - now[0] * side)[:, None] * side + (flat["j"][right] - now[1] * side)).ravel())
+            terms.append((flat["v"][left][:, None] * flat["w"][right]).ravel())
+            held += len(terms[-1])
+    if block:
+        yield out()
+
+
+def _listed(df: DataFrame, k: str, other: str, block: str, value: str) -> DataFrame:
+    """k, block, other (its numbers in the block, a list) and value (a list)."""
+    one = F.struct(F.col(other).cast("long").alias("o"), F.col("value").cast("double").alias("v"))
+    rows = df.groupBy(F.col(k).alias("k"), F.shiftright(F.col(other).cast("long"), BITS).alias(block)).agg(F.sort_array(F.collect_list(one)).alias("s"))
+    return checkpointed(rows.select("k", block, F.col("s.o").alias(other), F.col("s.v").alias(value)))
+
+
+def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, j, value of A B, as doubles, for whole numbers i and j.
+
+    The entries that a k has in A and in B meet as lists, one for each block of rows and of columns, so lists are shuffled
+    instead of their products, and a task adds up its blocks one after the other. A block of more than SHARE terms is shared
+    by tasks, whose sums are added. Terms of null names or values go the plain way.
+    """
+    odd = lambda df, c: df.filter(f"{c} IS NULL OR value IS NULL")
+    left = _listed(a.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "j", "i", "p", "v")
+    right = _listed(b.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "i", "j", "q", "w")
+    terms = left.select("k", "p", F.size("i").cast("long").alias("m")).join(right.select("k", "q", F.size("j").cast("long").alias("n")), "k")
+    shared = terms.groupBy("p", "q").agg(F.sum(F.col("m") * F.col("n")).alias("m")).filter(F.col("m") > SHARE)
+    shared = checkpointed(shared.select("p", "q", F.ceil(F.col("m") / SHARE).alias("shares")))
+    split = not shared.isEmpty()
+    met = left.join(right, "k")
+    if split:  # as many rows as all terms have SHAREs at most
+        met = met.join(F.broadcast(shared), ["p", "q"], "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("k"), "shares"), F.lit(0)))
+    keys = ["p", "q", "share"] if split else ["p", "q"]
+    met = met.repartition(*keys).sortWithinPartitions("p", "q", "k")
+    out = met.select("p", "q", "i", "v", "j", "w").mapInArrow(_added_up, "i long, j long, value double")
+    rest = [thin_spmm(x, y) for x, y in ((odd(a, "i"), b), (a.filter("i IS NOT NULL AND value IS NOT NULL"), odd(b, "j")))]
+    for r, x in zip(rest, (odd(a, "i"), odd(b, "j")), strict=True):
+        if not x.isEmpty():
+            out, split = out.unionByName(r.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"))), True
+    return out.groupBy("i", "j").agg(F.sum("value").alias("value")) if split else out
+
+
 def transpose(a: DataFrame, factor: float = 1.0) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("value") * factor).alias("value"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
 from tessera.operators import calculus, fluids, restricted, sparse, topology, voronoi
+from tessera.operators.ordering import checkpointed
 from tessera.plans.geometry import _SPHERE, _r
 from tessera.sources import formats, meshes, sites
 
@@ -176,7 +177,7 @@ def transpose_spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = sites.coo(spark, sf_dir)
+    a = checkpointed(sites.coo(spark, sf_dir))
     return sparse.spmm(sparse.transpose(a), a).select("i", "j", R(F.col("value"), 3).alias("value"))
 
 
