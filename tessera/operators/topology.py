@@ -123,14 +123,72 @@ def close_pairs(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x
     return home.join(guests, [f"h{k}" for k in range(len(axes))]).filter((F.col("id") < F.col("b")) & (d2 <= tolerance * tolerance)).select(F.col("id").alias("a"), "b")
 
 
-def merge_map(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """id, to: every point and the least point that a chain of close points reaches; points in one place meet others once."""
+def _merged_by_pairs(points: DataFrame, tolerance: float, axes: tuple[str, ...]) -> DataFrame:
+    """merge_map by all pairs of close places."""
     place = points.groupBy(*axes).agg(F.min("id").alias("id"))
     same = points.join(place.withColumnRenamed("id", "least"), list(axes)).filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     joined = components(close_pairs(place, tolerance, axes).unionByName(same))
     return points.select("id").join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("to"))
 
 
+def cell_links(points: DataFrame, tolerance: float, axes: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(id, head) of points with the least point of their cell, and pairs (a, b) of the least points of cells that close points join.
+
+    All points of a cell are close to each other. Two cells are joined if their outermost points are close; those that are not
+    joined by a chain of such are compared point by point, as far as a point is close to the box of the other cell.
+    """
+    side = tolerance / len(axes) ** 0.5 * (1 - 1e-9)
+    home = checkpointed(points.select("id", *axes, F.struct(*[F.floor(F.col(c) / side).alias(f"h{k}") for k, c in enumerate(axes)]).alias("at")))
+    spot = F.struct("id", *axes)
+    outer = F.array(*[f(spot, F.struct(c, "id")) for c in axes for f in (F.min_by, F.max_by)])
+    box = F.struct(*[f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))])
+    cells = checkpointed(home.groupBy("at").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.array_distinct(outer).alias("outer"), box.alias("box")))
+    added = lambda terms: sum(terms, F.lit(0.0))
+    limit = tolerance * tolerance
+    near = lambda p, q: added((p[c] - q[c]) * (p[c] - q[c]) for c in axes) <= limit
+
+    def beside(low: list, high: list, box: str):
+        """Whether what spans low to high is as near to a box as the tolerance."""
+        gaps = [F.greatest(F.lit(0.0), F.col(f"{box}.min_{c}") - q, p - F.col(f"{box}.max_{c}")) for c, p, q in zip(axes, low, high, strict=True)]
+        return added(g * g for g in gaps) <= limit
+
+    reach = [[d // 5**k % 5 - 2 for k in range(len(axes))] for d in range(5 ** len(axes))]
+    shifts = F.array(*[F.struct(*[F.lit(d).alias(f"d{k}") for k, d in enumerate(s)]) for s in reach if s > [0] * len(axes)])
+    guest = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], F.explode(shifts).alias("s"))
+    guest = guest.withColumn("at", F.struct(*[(F.col(f"b_at.h{k}") + F.col(f"s.d{k}")).alias(f"h{k}") for k in range(len(axes))])).drop("s")
+    pairs = cells.join(guest, "at").filter(beside([F.col(f"box.min_{c}") for c in axes], [F.col(f"box.max_{c}") for c in axes], "b_box"))
+    sure = F.exists("outer", lambda p: F.exists("b_outer", lambda q: near(p, q)))
+    pairs = checkpointed(pairs.select("head", "b_head", "at", "b_at", "box", "b_box", "n", "b_n", sure.alias("sure")))
+    links = pairs.filter("sure").select(F.col("head").alias("a"), F.col("b_head").alias("b"))
+    label = components(links.unionByName(cells.select(F.col("head").alias("a"), F.col("head").alias("b"))))
+    label = checkpointed(label)
+    open_ = pairs.filter("NOT sure AND n * b_n > 1")
+    for c, n in (("head", "label"), ("b_head", "b_label")):
+        open_ = open_.join(label.select(F.col("id").alias(c), F.col("label").alias(n)), c)
+    open_ = checkpointed(open_.filter("label <> b_label").select("head", "b_head", "at", "b_at", "box", "b_box"))
+    here = [F.col(c) for c in axes]
+    one = open_.join(home, "at").filter(beside(here, here, "b_box")).select("head", "b_head", F.struct(*axes).alias("p"))
+    two = open_.select("head", "b_head", F.col("b_at").alias("at"), "box").join(home, "at").filter(beside(here, here, "box")).select("head", "b_head", F.struct(*axes).alias("q"))
+    met = one.join(two, ["head", "b_head"]).filter(near(F.col("p"), F.col("q"))).select(F.col("head").alias("a"), F.col("b_head").alias("b")).distinct()
+    back = home.join(cells.select("at", "head"), "at").select("id", "head")
+    return back, label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(met)
+
+
+def merge_map(points: DataFrame, tolerance: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """id, to: every point and the least point that a chain of close points reaches.
+
+    Points meet by cells (cell_links), so that crowds of close points make no pairs. Where a coordinate is more than a million
+    tolerances from 0, or not finite, cells can't be told from each other exactly, and all pairs of close places are made.
+    """
+    far = points.agg(F.max(F.greatest(*[F.when(F.isnan(c), F.lit(float("inf"))).otherwise(F.abs(c)) for c in axes]))).first()[0]
+    if far is None or not tolerance > 0 or far > 1e6 * tolerance:
+        return _merged_by_pairs(points, tolerance, axes)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in axes)
+    back, links = cell_links(points.filter(known), tolerance, axes)
+    label = components(links).withColumnRenamed("id", "head")
+    return back.join(label, "head").select("id", F.col("label").alias("to")).unionByName(points.filter(f"NOT ({known})").select("id", F.col("id").alias("to")))
+
+
 def remapped(elements: DataFrame, mapping: DataFrame) -> DataFrame:
     """elements with their vertex ids replaced by the mapping (id, to)."""
     if "vertices" in elements.columns:
