@@ -45,7 +45,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, gather: bool = False) -> DataFrame:
     """id, label (least id reachable) of every node of edges (a, b); null ends are left out.
 
     A large star links the greater neighbours of a node to the least node it knows,
@@ -53,13 +53,13 @@ def components(edges: DataFrame) -> DataFrame:
     pair of stars shortens paths at least to about half, so a path of n nodes takes
     about log n rounds. Least ids are summed up before they are shuffled, and a node
     with very many neighbours only meets one row in a join, which can be split.
-    Before the first round tasks gather links of nodes with like ids, which shortens the paths of
+    gather: before the first round tasks gather links of nodes with like ids, which shortens the paths of
     graphs whose ids follow their shape, like meshes.
     """
     rounds = Rounds(edges.sparkSession)
     ends = F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in ((F.greatest("a", "b"), F.least("a", "b")), (F.col("a"), F.col("a")), (F.col("b"), F.col("b")))])
     links = rounds.next(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.explode(ends).alias("e")).select("e.*").distinct())
-    if links.schema["u"].dataType == T.LongType() == links.schema["v"].dataType:
+    if gather and links.schema["u"].dataType == T.LongType() == links.schema["v"].dataType:
         ranged = links.repartitionByRange("u").sortWithinPartitions("u")
         links = rounds.next(ranged.mapInArrow(_gathered, "u long, v long").distinct())
     before = None

@@ -18,7 +18,7 @@ def connected(triangles: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.select(F.col("id").alias("face"), F.col("label").alias("left"))
     other = labels.select(F.col("id").alias("twin_face"), F.col("label").alias("right"))
     same = he.join(own, "face").join(other, "twin_face").filter("left = right").select(F.col("face").alias("a"), F.col("twin_face").alias("b"))
-    return components(same.unionByName(labels.select(F.col("id").alias("a"), F.col("id").alias("b")))).select("id", F.col("label").alias("region"))
+    return components(same.unionByName(labels.select(F.col("id").alias("a"), F.col("id").alias("b"))), gather=True).select("id", F.col("label").alias("region"))
 
 
 @dataclass

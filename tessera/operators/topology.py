@@ -85,7 +85,7 @@ def chained(edges: DataFrame, follows: DataFrame) -> DataFrame:
     doubling, so a chain of n edges takes about log n rounds.
     """
     follows = checkpointed(follows.select("e", "next"))
-    label = components(follows.select(F.col("e").alias("a"), F.col("next").alias("b"))).select(F.col("id").alias("e"), "label")
+    label = components(follows.select(F.col("e").alias("a"), F.col("next").alias("b")), gather=True).select(F.col("id").alias("e"), "label")
     edges = checkpointed(edges.join(label, "e", "left").join(follows, "e", "left").withColumn("label", F.coalesce("label", "e")))
     told = edges.groupBy("label").agg(
         F.least(F.min("p"), F.min("q")).alias("loop"), F.count("*").alias("n"), (F.count("next") == F.count("*")).alias("closed"), F.min_by("e", F.struct("p", "e")).alias("start")

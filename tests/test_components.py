@@ -22,7 +22,7 @@ def test_rounds_are_few_where_ids_follow_the_shape(spark, monkeypatch, held):
     rows = [(k, k + 1) for k in range(3000) if k % 1000] + [(9000, 9000), (None, 7), (-5, 9000)]
     order = rng.permutation(len(rows))
     edges = spark.createDataFrame([rows[k] for k in order], "a long, b long")
-    got = {r["id"]: r["label"] for r in graphs.components(edges).collect()}
+    got = {r["id"]: r["label"] for r in graphs.components(edges, gather=True).collect()}
     want = {k: (k - 1) // 1000 * 1000 + 1 for k in range(1, 3001)} | {9000: -5, -5: -5}
     assert got == want
     if held > 3000:
@@ -31,5 +31,5 @@ def test_rounds_are_few_where_ids_follow_the_shape(spark, monkeypatch, held):
 
 def test_other_kinds_of_names_go_without(spark):
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "y")], "a string, b string")
-    assert {tuple(r) for r in graphs.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
-    assert graphs.components(spark.range(3).select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)).count() == 0
+    assert {tuple(r) for r in graphs.components(edges, gather=True).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert graphs.components(spark.range(3).select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), gather=True).count() == 0
