@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
-from tessera.operators import calculus, voronoi
+from tessera.operators import calculus, multilevel, voronoi
 from tessera.operators.ordering import checkpointed
-from tessera.operators.sparse import bicgstab, conjugate_gradient
+from tessera.operators.sparse import bicgstab
 
 # The Earth and the standard shallow-water cases.
 RADIUS, GRAVITY, OMEGA = 6371220.0, 9.80616, 7.292e-5
@@ -77,14 +77,19 @@ def totals(state: DataFrame) -> DataFrame:
 def transport(sites: DataFrame, targets: DataFrame, domain: voronoi.Domain = voronoi.Domain(), tolerance: float = 1e-8, most: int = 20, solver_rounds: int = 100) -> DataFrame:
     """id, x, y, z, w, volume, mx, my, mz: weights by Newton's method so that the cells' volumes meet the targets (id, target).
 
-    The Hessian is a sparse matrix from the facets; steps are halved until no
-    cell is smaller than half the least of the first and the target volumes.
+    The Hessian is a sparse matrix from the facets, solved for by nested dissection of the sites' places; steps are halved
+    until no cell is smaller than half the least of the first and the target volumes. Rows of one id are one site until the
+    end. Sites without a place of their own have empty cells; the others' targets are scaled to the domain's area.
     """
-    now = sites.select("id", "x", "y", "z", F.lit(0.0).alias("w"))
-    cells = voronoi.diagram(now, domain)
-    least = cells.join(targets, "id").agg(F.least(F.min("volume"), F.min("target"))).first()[0] / 2
-    for _ in range(most):
-        gap = checkpointed(cells.join(targets, "id").select("id", "x", "y", "z", "w", (F.col("target") - F.col("volume")).alias("g")))
+    given = checkpointed(sites.select("id", "x", "y", "z").join(targets.select("id").distinct(), "id", "left_semi"))
+    first = voronoi.diagram(given.dropDuplicates(["id"]).withColumn("w", F.lit(0.0)), domain)
+    cells = checkpointed(first.filter("volume > 0"))
+    wanted = cells.select("id").join(targets.dropDuplicates(["id"]), "id")
+    whole = wanted.agg(F.sum("target")).first()[0]
+    wanted = checkpointed(wanted.select("id", (F.col("target") * (domain.area / (whole or 1.0))).alias("target")))
+    least = cells.join(wanted, "id").agg(F.least(F.min("volume"), F.min("target"))).first()[0]
+    for _ in range(most if whole else 0):
+        gap = checkpointed(cells.join(wanted, "id").select("id", "x", "y", "z", "w", (F.col("target") - F.col("volume")).alias("g")))
         worst = gap.agg(F.max(F.abs("g"))).first()[0]
         if worst < tolerance:
             break
@@ -95,19 +100,23 @@ def transport(sites: DataFrame, targets: DataFrame, domain: voronoi.Domain = vor
         entry = lambda i, j, c: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), c.alias("value"))
         c = F.col("c")
         entries = F.array(entry("bi", "bj", -c), entry("bj", "bi", -c), entry("bi", "bi", c), entry("bj", "bj", c))
-        # The negative Hessian is positive but for constants; conjugate gradients keep to sums of zero.
+        # The negative Hessian is positive but for constants, which move no cell.
         matrix = half.select(F.explode(entries).alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.value").alias("value"))
-        step = checkpointed(conjugate_gradient(matrix, gap.select(F.col("id").alias("i"), F.col("g").alias("value")), 1e-6, solver_rounds))
+        places = gap.select(F.col("id").alias("i"), "x", "y", "z")
+        step, _ = multilevel.solve(matrix, gap.select(F.col("id").alias("i"), F.col("g").alias("value")), 1e-6, solver_rounds, singular=True, places=places)
+        step = checkpointed(step)
         share = 1.0
         while share > 1e-3:
             moved = gap.join(step.select(F.col("i").alias("id"), F.col("value").alias("dw")), "id", "left").select("id", "x", "y", "z", (F.col("w") + share * F.coalesce("dw", F.lit(0.0))).alias("w"))
-            trial = voronoi.diagram(moved, domain)
-            found = trial.agg(F.count("*"), F.min("volume")).first()
-            if found[1] is not None and found[1] >= least:
+            trial = checkpointed(voronoi.diagram(moved, domain))
+            found = trial.agg(F.min("volume")).first()
+            if found[0] is not None and found[0] >= least / 2:
                 break
             share /= 2
         cells = trial
-    return cells.select("id", "x", "y", "z", "w", "volume", "mx", "my", "mz")
+    reached = ["id", "w", "volume", "mx", "my", "mz"]
+    every = cells.select(reached).unionByName(first.join(cells.select("id"), "id", "left_anti").select(reached))
+    return given.join(every, "id").select("id", "x", "y", "z", *reached[1:])
 
 
 def spring_step(particles: DataFrame, dt: float, epsilon: float, force: Callable[[], v.Vec], domain: voronoi.Domain = voronoi.Domain()) -> DataFrame:

@@ -50,8 +50,8 @@ class Domain:
         return 4 * np.pi if self.sphere else (self.high[0] - self.low[0]) * (self.high[1] - self.low[1])
 
 
-def _meet(p: np.ndarray, q: np.ndarray, site: np.ndarray, sphere: bool) -> np.ndarray:
-    """Where two planes (n, 4) meet the domain, nearest to the site."""
+def _meet(p: np.ndarray, q: np.ndarray, sphere: bool) -> np.ndarray:
+    """Where two planes (n, 4) meet the domain; on the sphere where p's circle, followed with the cell to its left, leaves the side of q."""
     if not sphere:
         det = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
         det = np.where(np.abs(det) < 1e-300, 1e-300, det)
@@ -61,19 +61,16 @@ def _meet(p: np.ndarray, q: np.ndarray, site: np.ndarray, sphere: bool) -> np.nd
     d2 = np.maximum((d * d).sum(axis=1, keepdims=True), 1e-300)
     base = (a * np.cross(m, d) + b * np.cross(d, n)) / d2
     room = np.maximum(1 - (base * base).sum(axis=1, keepdims=True), 0.0)
-    step = np.sqrt(room / d2) * d
-    one, two = base + step, base - step
-    nearer = ((one - site) ** 2).sum(axis=1) <= ((two - site) ** 2).sum(axis=1)
-    return np.where(nearer[:, None], one, two)
+    return base + np.sqrt(room / d2) * d
 
 
-def _vertices(planes: np.ndarray, count: np.ndarray, site: np.ndarray, sphere: bool) -> np.ndarray:
+def _vertices(planes: np.ndarray, count: np.ndarray, sphere: bool) -> np.ndarray:
     """Vertex k of each cell: planes k and k + 1."""
     n, most = planes.shape[:2]
     k = np.arange(most)
     after = np.where(k + 1 < count[:, None], k + 1, 0)
     second = np.take_along_axis(planes, after[:, :, None], axis=1)
-    at = _meet(planes.reshape(-1, 4), second.reshape(-1, 4), np.repeat(site, most, axis=0), sphere)
+    at = _meet(planes.reshape(-1, 4), second.reshape(-1, 4), sphere)
     return at.reshape(n, most, 3)
 
 
@@ -106,17 +103,25 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         planes[:, 2] = (0, -1, 0, y1)
         planes[:, 3] = (1, 0, 0, -x0)
     count = np.full(n, 4)
-    points = _vertices(planes, count, site, domain.sphere)
+    points = _vertices(planes, count, domain.sphere)
     done = np.zeros(n, dtype=bool)
     # A site at distance d reaches a point at distance r only where d (d - 2 r) is at most its weight less the cell's.
     more = np.where(there, near_weight, -np.inf).max(axis=1, initial=-np.inf) - weight
-    for rank in range(near.shape[1]):
+    # On the sphere edges bend where weights differ: a cut that no corner survives may keep some of a wide cell, so it waits for the others.
+    waiting = np.zeros(there.shape, dtype=bool)
+    for rank in [*range(near.shape[1]), *range(-near.shape[1], 0)]:
+        late, rank = rank < 0, rank % near.shape[1]
+        if late and not waiting[:, rank].any():
+            continue
         zj = near[:, rank]
         d = np.linalg.norm(zj - site, axis=1)
         slots = np.arange(planes.shape[1]) < count[:, None]
-        reach = np.where(slots, ((points - site[:, None]) ** 2).sum(axis=2), 0).max(axis=1)
-        done |= there[:, rank] & (SLACK * secure(reach, more) ** 2 < d * d) | (count == 0)
-        live = np.flatnonzero(~done & there[:, rank])
+        if late:
+            live = np.flatnonzero(waiting[:, rank] & (count > 0))
+        else:
+            reach = np.where(slots, ((points - site[:, None]) ** 2).sum(axis=2), 0).max(axis=1)
+            done |= there[:, rank] & (SLACK * secure(reach, more) ** 2 < d * d) | (count == 0)
+            live = np.flatnonzero(~done & there[:, rank])
         if not len(live):
             continue
         normal = (site[live] - zj[live]) / d[live, None]
@@ -125,6 +130,10 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         side = (points[live] @ cut[:, :3, None])[:, :, 0] + cut[:, 3:] >= 0
         some = slots[live]
         hit = (~side & some).any(axis=1)
+        if domain.sphere and not late:
+            gone = ~(side & some).any(axis=1)
+            waiting[live[gone], rank] = True
+            hit &= ~gone
         live, cut, side, some = live[hit], cut[hit], side[hit], some[hit]
         if not len(live):
             continue
@@ -137,10 +146,10 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         size = emit.sum(axis=1)
         width = max(int(size.max(initial=0)), 1)
         if width > planes.shape[1]:
-            more = width - planes.shape[1] + 4
-            planes = np.concatenate([planes, np.zeros((n, more, 4))], axis=1)
-            origin = np.concatenate([origin, np.full((n, more), -1)], axis=1)
-            points = np.concatenate([points, np.zeros((n, more, 3))], axis=1)
+            room = width - planes.shape[1] + 4
+            planes = np.concatenate([planes, np.zeros((n, room, 4))], axis=1)
+            origin = np.concatenate([origin, np.full((n, room), -1)], axis=1)
+            points = np.concatenate([points, np.zeros((n, room, 3))], axis=1)
         old = np.stack([planes[live][:, : side.shape[1]], np.repeat(cut[:, None], side.shape[1], axis=1)], axis=2).reshape(len(live), -1, 4)
         old_origin = np.stack([origin[live][:, : side.shape[1]], np.full(side.shape, rank)], axis=2).reshape(len(live), -1)
         order = np.argsort(~emit, axis=1, kind="stable")[:, :width]
@@ -150,7 +159,7 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         fresh_origin[:, :width] = np.take_along_axis(old_origin, order, axis=1)
         size = np.where(size >= 3, size, 0)
         planes[live], origin[live], count[live] = fresh, fresh_origin, size
-        points[live] = _vertices(fresh, np.maximum(size, 1), site[live], domain.sphere)
+        points[live] = _vertices(fresh, np.maximum(size, 1), domain.sphere)
     return {"planes": planes, "origin": origin, "count": count, "points": points, "done": done}
 
 

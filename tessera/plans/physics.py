@@ -50,10 +50,10 @@ def lloyd_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transport_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes after one Newton step towards equal volumes of all sites of the sphere."""
+    """Volumes of all sites' cells on the sphere, moved by Newton's method until they are equal."""
     s = sites.sphere_sites(spark, sf_dir).select("id", "x", "y", "z")
     n = s.count()
-    found = fluids.transport(s, s.select("id", F.lit(4 * math.pi / n).alias("target")), most=1, solver_rounds=8)
+    found = fluids.transport(s, s.select("id", F.lit(4 * math.pi / n).alias("target")))
     return found.select("id", R(F.col("volume")).alias("volume"))
 
 
