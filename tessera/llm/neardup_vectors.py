@@ -1,24 +1,20 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
+"""Embedding near-duplicates by tiles of vectors that tasks read.
 
 Unit vectors have a cosine of at least c exactly where their squared distance is
-at most D = 2 (1 - c). The vectors are rotated (principal axes of a bounded
-sample, dealt so that every block gets its share of the variance) and cut into
-BLOCKS blocks of components. If two vectors are within D, at least one block is
-within its share D / BLOCKS of the squared distance. So each block is
-range-joined under that budget alone, and the union of the candidates is verified
-with the full vectors in double precision.
-
-The range join of a block deals vectors by a grid over its first GRID components,
-as wide as the block's radius: a vector is at home in one cell and a guest in
-those neighbours that its ball reaches, one of each two opposite ones. A pair is
-taken from the first block whose budget it meets, so none counts twice. A cell's
-rows are cut into tiles of about TILE_BYTES and tiles meet in pairs, so a cell with
-a third of all rows is the work of many tasks, each of bounded size. A task counts
-links and joins groups piece by piece and holds no list of links.
+at most D = 2 (1 - c). The vectors are rotated to the principal axes of a bounded
+sample; the squared distance over the first axes alone, one dense product in single
+precision, rules most pairs out. As many axes are taken as leave few pairs of the
+sample. What passes is tested over all axes and verified with the full unit vectors in
+double precision.
+
+Representatives are written once. A task holds a tile of them and reads half of the others
+(a tile meets those that follow it in a ring), so every pair meets in one task, nothing
+is copied or shuffled for it, and tasks are alike whatever the spread. The work is the
+square of the representatives; the disk is in proportion to them.
 
 Pairs don't leave the task that verifies them: a vector gets the number of its
-links there and the least vector that these links reach there. Numbers add up,
-and the links to the least vectors join the components over all tasks.
+links there and a vector that these links join it to. Numbers add up,
+and the joins make the components over all tasks.
 
 Equal unit vectors (bit for bit; told by 128 bits of hashes) are joined as one
 representative with a count, so copies cost nothing.
@@ -32,118 +28,100 @@ repeated rows of an id are separate vectors with the same id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.text import checkpointed, quoted
 from tessera.operators.graphs import components
+from tessera.operators.stored import Files, batches, stored
 
 COSINE = 0.95
-BLOCKS = 4
-#: Components of a block that the grid uses.
-GRID = 2
-#: Bytes of a tile's vectors, about.
-TILE_BYTES = 8_000_000
+#: Bytes of a task's tile of vectors, about.
+TILE_BYTES = 16_000_000
 #: Vectors of the sample that the rotation is fitted on.
 SAMPLE = 4_000
+#: Share of the sample's pairs that the first axes may leave.
+LEFT = 1e-3
 #: Slack of the single-precision filter; what passes is verified in double precision.
 SLACK = 1e-5
-
-
-# Half of the neighbourhood of a cell, and the cell: of two neighbouring cells only one visits the other.
-_SHIFTS = [s for s in map(np.array, product((-1, 0, 1), repeat=GRID)) if tuple(s) >= (0,) * GRID]
+#: Rows of a tile and of what it meets that are compared at once, and links that are joined at once.
+HELD_ROWS, MET_ROWS, JOINED = 256, 2048, 1 << 20
+#: Components that a task turns or verifies at once.
+AT_ONCE = 1 << 20
+
+
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows, and which have one."""
+    with np.errstate(all="ignore"):
+        x = x.astype(np.float64)
+        # Scaled by the largest component first, so that squares neither overflow nor vanish.
+        big = np.abs(x).max(axis=1)
+        ok = np.isfinite(x).all(axis=1) & (big > 0)
+        x /= big[:, None]
+        size = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            size += x[:, k] * x[:, k]
+        x /= np.sqrt(size)[:, None]
+        return x + 0.0, ok
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (the unit vector as array<double>; null where it can't link)."""
-    bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"))
-    rows = rows.withColumn("v", F.when(~bad, F.col("v")))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    rows = rows.withColumn("big", F.array_max(F.transform("v", F.abs)))
-    rows = rows.withColumn("v", F.when(F.col("big") > 0, F.transform("v", lambda c: c / F.col("big"))))
-    rows = rows.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c)))
-    return rows.select("id", F.transform("v", lambda c: c / F.col("n")).alias("v"))
-
-
-def rotation(representatives: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes of a bounded sample, dealt to the blocks in turn."""
-    sample = representatives.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()
-    x = np.array([r["v"] for r in sample])
-    _, axes = np.linalg.eigh(np.cov(x.T) + 1e-9 * np.eye(dim)) if len(x) > 1 else (None, np.eye(dim))
-    axes = axes[:, ::-1]
-    blocks = min(BLOCKS, dim)
-    order = [i for b in range(blocks) for i in range(b, dim, blocks)]
-    return np.ascontiguousarray(axes[:, order])
-
-
-def block_edges(dim: int) -> np.ndarray:
-    blocks = min(BLOCKS, dim)
-    return np.cumsum([0] + [len(range(b, dim, blocks)) for b in range(blocks)])
-
-
-def dealt(representatives: DataFrame, turn: np.ndarray, budget: float) -> DataFrame:
-    """cell, home, key, copies, v of every cell that a vector is at home in or visits."""
-    dim = len(turn)
-    edges = block_edges(dim)
-    # A wider cell would be right too; very narrow ones would not fit the cell's number.
-    radius = max(float(np.sqrt(budget / (len(edges) - 1) + 3 * SLACK)), 1e-5)
+    """id, h1, h2 (hashes of the unit vector), d (components), raw (the vector's bytes); all but id null where it can't link."""
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    rows = vectors.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(vector_col)).cast("array<float>" if single else "array<double>").alias("v"))
     schema = T.StructType(
-        [
-            T.StructField("cell", T.LongType()),
-            T.StructField("home", T.BooleanType()),
-            T.StructField("key", representatives.schema["key"].dataType),
-            T.StructField("copies", T.LongType()),
-            T.StructField("v", T.BinaryType()),
-        ]
+        [T.StructField("id", rows.schema["id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("d", T.IntegerType()), T.StructField("raw", T.BinaryType())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, dim)
-            keys, copies = batch.column(0), batch.column(1)
-            raw = [r.tobytes() for r in x]
-            x = x @ turn
-            for b in range(len(edges) - 1):
-                part = np.zeros((len(x), GRID))
-                used = x[:, edges[b] : min(edges[b] + GRID, edges[b + 1])] / radius
-                part[:, : used.shape[1]] = used
-                at = np.floor(part).astype(np.int64)
-                off = part - at  # place inside the home cell, in radii
-                for shift in _SHIFTS:
-                    gap = np.where(shift > 0, 1 - off, np.where(shift < 0, off, 0.0))
-                    on = np.flatnonzero((gap * gap).sum(axis=1) <= 1.0 + 1e-9)
-                    cell = np.zeros(len(on), dtype=np.int64)
-                    for k in range(GRID):
-                        cell = (cell << 20) + at[on, k] + shift[k] + (1 << 19)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((cell << 2) + b), pa.array(np.full(len(on), not shift.any())), keys.take(pa.array(on)), copies.take(pa.array(on)), pa.array([raw[i] for i in on.tolist()], pa.binary())],
-                        schema=pa.schema([("cell", pa.int64()), ("home", pa.bool_()), ("key", keys.type), ("copies", pa.int64()), ("v", pa.binary())]),
-                    )
-
-    return representatives.select("key", "copies", "v").mapInArrow(run, schema)
-
-
-def _compare(home: np.ndarray, other: np.ndarray, b: int, edges: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (in home, in other) of candidates: rotated vectors within the budget that meet their first share in block b."""
-    share = np.float32(budget / (len(edges) - 1) + SLACK)
-    h, o = home[:, edges[b] : edges[b + 1]], other[:, edges[b] : edges[b + 1]]
-    near = (h * h).sum(axis=1)[:, None] + ((o * o).sum(axis=1)[None, :] - 2 * (h @ o.T)) <= share + np.float32(SLACK)
-    i, j = np.nonzero(near)
-    found = []
-    for k in range(0, len(i), 1 << 16):
-        gap = home[i[k : k + (1 << 16)]] - other[j[k : k + (1 << 16)]]
-        gap *= gap
-        by_block = np.add.reduceat(gap, edges[:-1], axis=1)
-        # The same sums decide in every block, so a pair has one first block.
-        found.append((by_block.sum(axis=1) <= budget + SLACK) & ((by_block <= share).argmax(axis=1) == b))
-    ok = np.concatenate(found) if found else np.zeros(0, dtype=bool)
-    return i[ok], j[ok]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p.slice(k, 2048) for p in parts for k in range(0, p.num_rows, 2048)):
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            hashes, raw = np.zeros((len(sizes), 2), dtype=np.int64), [None] * len(sizes)
+            for d in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == d)
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                u, ok = units(x)
+                for k, row in zip(at[ok].tolist(), np.flatnonzero(ok).tolist(), strict=True):
+                    hashes[k] = np.frombuffer(blake2b(u[row].tobytes(), digest_size=16).digest(), np.int64)
+                    raw[k] = x[row].tobytes()
+            none = np.array([r is None for r in raw], dtype=bool)
+            arrays = [ids, *[pa.array(hashes[:, k], mask=none) for k in (0, 1)], pa.array(sizes.astype(np.int32), mask=none), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "d", "raw"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def rotation(representatives: DataFrame, dim: int, budget: float) -> tuple[np.ndarray, int]:
+    """Principal axes of a bounded sample, the widest first, and how many of them rule out most of its pairs."""
+    sample = [r["raw"] for r in representatives.orderBy("h1", "h2").limit(SAMPLE).select("raw").collect()]
+    x, _ = units(_vectors(sample, dim))
+    if len(x) < 2:
+        return np.eye(dim), dim
+    _, axes = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) + 1e-9 * np.eye(dim))
+    turn = np.ascontiguousarray(axes[:, ::-1])
+    y = (x[: SAMPLE // 2] @ turn).astype(np.float32)
+    gap = np.zeros((len(y), len(y)), dtype=np.float32)
+    near = []
+    for k in range(0, dim, 8):
+        part = y[:, k : k + 8]
+        size = (part * part).sum(axis=1)
+        gap += size[:, None] + size - 2 * part @ part.T
+        near.append(((gap <= budget + SLACK).sum() - len(y)) / gap.size)
+    axes_taken = next(k for k, share in enumerate(near) if share <= near[-1] + LEFT)
+    return turn, min(dim, 8 * axes_taken + 8)
+
+
+def _vectors(raw: list[bytes] | pa.Array, dim: int) -> np.ndarray:
+    """The rows of vectors given by their bytes, of single or double precision."""
+    raw = raw if isinstance(raw, list) else raw.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.float32 if raw and len(raw[0]) == 4 * dim else np.float64).reshape(len(raw), dim)
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -157,72 +135,137 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def tile_links(cells: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
-    """key, others (links, copies counted), root (least key reached) of linked representatives, by tile pair."""
-    dim, budget = len(turn), 2 * (1 - cosine)
-    edges = block_edges(dim)
-    cells = checkpointed(cells)
-    sizes = cells.groupBy("cell").agg(F.max("home").alias("any"), F.count("*").alias("n")).filter("any AND n > 1")
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    rows = cells.join(sizes.select("cell", F.ceil(F.col("n") * (8 * dim) / TILE_BYTES).cast("int").alias("tiles")), "cell").withColumn("own", own)
-    # Homes (side 1) meet the rows (side 2) of every tile; two homes meet where the first tile isn't the higher.
-    place = lambda a, b, side: F.struct(a.alias("ta"), b.alias("tb"), F.lit(side).alias("side"))
-    all_tiles, mine = F.sequence(F.lit(0), F.col("tiles") - 1), F.col("own")
-    at_home = F.concat(
-        F.transform(F.filter(all_tiles, lambda t: t != mine), lambda t: place(mine, t, 1)),
-        F.transform(F.filter(all_tiles, lambda t: t < mine), lambda t: place(t, mine, 2)),
-        F.array(place(mine, mine, 3)),
-    )
-    visiting = F.transform(all_tiles, lambda t: place(t, mine, 2))
-    placed = rows.select("cell", "home", "key", "copies", "v", F.explode(F.when(F.col("home"), at_home).otherwise(visiting)).alias("p"))
-    kind = cells.schema["key"].dataType
+class _Rows:
+    """Vectors of a run of representatives: their bytes, their places on the rotated axes, and both sides of the product that tells distances over the first axes."""
+
+    def __init__(self, parts: list[pa.RecordBatch], turn: np.ndarray, axes: int):
+        table = pa.Table.from_batches(parts)
+        self.keys, self.copies = table["key"].combine_chunks(), np.asarray(table["copies"].combine_chunks(), dtype=float)
+        self.raw = np.concatenate([_vectors(b.column("raw"), len(turn)) for b in parts])
+        step = max(1, AT_ONCE // len(turn))
+        self.at = np.concatenate([(units(self.raw[k : k + step])[0] @ turn).astype(np.float32) for k in range(0, len(self.raw), step)])
+        first, one = self.at[:, :axes], np.ones((len(self.at), 1), dtype=np.float32)
+        size = (first * first).sum(axis=1, keepdims=True)
+        self.left, self.right = np.hstack([-2 * first, size, one]), np.hstack([first, one, size])
+        self.others = np.zeros(len(self.at))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
+def _set(mask: np.ndarray) -> np.ndarray:
+    """Places of the few that hold, looked for eight at a time."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    some = np.flatnonzero(mask.reshape(-1).view(np.uint64))
+    at, k = np.nonzero(mask.reshape(-1, 8)[some])
+    return 8 * some[at] + k
+
+
+def _linked(u: np.ndarray, w: np.ndarray, cosine: float) -> np.ndarray:
+    return np.einsum("nd,nd->n", u, w) >= cosine
+
+
+def _near(held: _Rows, m: int, met: _Rows, k: int, axes: int, cosine: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of held (from m on) and of met (from k on) that can be linked, HELD_ROWS by MET_ROWS of them, and whether they are."""
+    budget = np.float32(2 * (1 - cosine) + SLACK)
+    h, o = slice(m, m + HELD_ROWS), slice(k, k + MET_ROWS)
+    gap = held.left[h] @ met.right[o].T
+    hit = _set(gap <= budget)
+    if 16 * len(hit) > gap.size:  # a crowd: all at once, and one by one what is too close to call
+        u, w = units(held.raw[h])[0], units(met.raw[o])[0]
+        score = u @ w.T
+        ok = score >= cosine
+        i, j = np.nonzero(np.abs(score - cosine) < 1e-9)
+        ok[i, j] = _linked(u[i], w[j], cosine)
+        i, j = np.nonzero(ok)
+        return m + i, k + j, True
+    found = [hit[:0]]
+    step = max(1, AT_ONCE // held.at.shape[1])
+    for c in range(0, len(hit), step):
+        i, j = np.divmod(hit[c : c + step], gap.shape[1])
+        rest = held.at[m + i, axes:] - met.at[k + j, axes:]
+        found.append(hit[c : c + step][gap[i, j] + (rest * rest).sum(axis=1) <= budget])
+    i, j = np.divmod(np.concatenate(found), gap.shape[1])
+    return m + i, k + j, False
+
+
+def _met(held: _Rows, root: np.ndarray, met: _Rows, axes: int, cosine: float) -> np.ndarray:
+    """root of the held rows and those they meet (maybe themselves), by all links between both; these are counted."""
+    own = met is held
+    shift = 0 if own else len(held)
+    root = root if own else np.concatenate([root, shift + np.arange(len(met))])
+    links: dict[bool, list] = {True: [], False: []}
+    kept = 0
+
+    def joined(root: np.ndarray) -> np.ndarray:
+        for sure, found in links.items():
+            i, j = (np.concatenate([f[side] for f in found]) for side in (0, 1)) if found else (np.empty(0, int),) * 2
+            found.clear()
+            if not sure:
+                step = max(1, AT_ONCE // held.at.shape[1])
+                ok = [_linked(units(held.raw[i[c : c + step]])[0], units(met.raw[j[c : c + step]])[0], cosine) for c in range(0, len(i), step)]
+                i, j = (x[np.concatenate(ok)] if ok else x for x in (i, j))
+            held.others += np.bincount(i, weights=met.copies[j], minlength=len(held))
+            met.others += np.bincount(j, weights=held.copies[i], minlength=len(met))
+            root = _joined(root, i, shift + j)
+        return root
+
+    for m in range(0, len(held), HELD_ROWS):
+        for k in range(m // MET_ROWS * MET_ROWS if own else 0, len(met), MET_ROWS):
+            i, j, sure = _near(held, m, met, k, axes, cosine)
+            if own:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                links[sure].append((i, j))
+                kept += len(i)
+            if kept > JOINED:
+                root, kept = joined(root), 0
+    return joined(root)
+
+
+def tile_links(spark, files: Files, turn: np.ndarray, axes: int, cosine: float, kind: T.DataType) -> DataFrame:
+    """key, others (links, copies counted), root (a key that these join it to) of linked representatives, by tile and what it meets."""
+    dim, total = len(turn), sum(n for _, n in files)
+    wanted = max(2 * spark.sparkContext.defaultParallelism, -(-total * 8 * dim // TILE_BYTES))
+    tile = max(1, -(-total // wanted))
+    count = -(-total // tile)
     schema = T.StructType([T.StructField("key", kind), T.StructField("others", T.LongType()), T.StructField("root", kind)])
+    columns = ["key", "copies", "raw"]
+
+    def told(rows: _Rows, root: np.ndarray, held: _Rows) -> pa.RecordBatch:
+        on = np.flatnonzero(rows.others)
+        return pa.RecordBatch.from_arrays([rows.keys.take(pa.array(on)), pa.array(rows.others[on].astype(np.int64)), held.keys.take(pa.array(root[on]))], names=["key", "others", "root"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in (t for p in parts for t in p.column(0).to_pylist()):
+            held = _Rows(list(batches(files, columns, t * tile, (t + 1) * tile)), turn, axes)
+            root = _met(held, np.arange(len(held)), held, axes, cosine)
+            # Half of the ring; of two tiles opposite each other the first meets the second.
+            last = t + (count - 1) // 2 + (count % 2 == 0 and t < count // 2)
+            for low, high in ((t + 1, min(last + 1, count)), (0, last + 1 - count)):
+                for batch in batches(files, columns, low * tile, high * tile, max(MET_ROWS, AT_ONCE // dim)) if low < high else ():
+                    met = _Rows([batch], turn, axes)
+                    both = _met(held, root, met, axes, cosine)
+                    root = both[: len(held)]  # a group with links has held rows, which are numbered first
+                    yield told(met, both[len(held) :], held)
+            yield told(held, root, held)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys = table["key"].combine_chunks()
-        out = pa.schema([("key", keys.type), ("others", pa.int64()), ("root", keys.type)])
-        side, home = (np.asarray(table[c].combine_chunks()) for c in ("side", "home"))
-        b, same = table["cell"][0].as_py() & 3, table["ta"][0].as_py() == table["tb"][0].as_py()
-        x = np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float64).reshape(table.num_rows, dim)
-        turned = (x @ turn).astype(np.float32)
-        first, second = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        copies, n = np.asarray(table["copies"].combine_chunks()), table.num_rows
-        others, root = np.zeros(n), np.arange(n)  # rows are in the order of their keys
-        for m in range(0, len(first), 1024):
-            for k in range(0, len(second), 1024):
-                p, q = first[m : m + 1024], second[k : k + 1024]
-                i, j = _compare(turned[p], turned[q], b, edges, budget)
-                i, j = p[i], q[j]
-                ok = ~home[j] | (i < j) if same else np.ones(len(i), dtype=bool)
-                i, j = i[ok], j[ok]
-                for c in range(0, len(i), 1 << 15):
-                    u, w = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
-                    ok = np.einsum("nd,nd->n", x[u], x[w]) >= cosine
-                    u, w = u[ok], w[ok]
-                    others += np.bincount(u, weights=copies[w], minlength=n) + np.bincount(w, weights=copies[u], minlength=n)
-                    root = _joined(root, u, w)
-        on = np.flatnonzero(others)
-        return pa.Table.from_arrays(
-            [keys.take(pa.array(on)), pa.array(others[on].astype(np.int64)), keys.take(pa.array(root[on]))], schema=out
-        )
-
-    return placed.select("cell", "home", "key", "copies", "v", "p.ta", "p.tb", "p.side").groupBy("cell", "ta", "tb").applyInArrow(run, schema)
+    return spark.range(0, count, 1, count).mapInArrow(run, schema)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
-    rows = unit_rows(vectors, id_col, vector_col)
-    rows = checkpointed(rows.select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.lit(1)).alias("h2")))
+    read = unit_rows(vectors, id_col, vector_col)
+    rows = checkpointed(read.select("id", "h1", "h2"))
     # Equal vectors are one representative, keyed by its least id.
-    reps = rows.filter("v IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("key"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    reps = checkpointed(reps)
-    dims = [r["d"] for r in reps.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    reps = read.filter("raw IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("key"), F.count("*").alias("copies"), F.first("d").alias("d"), F.first("raw").alias("raw"))
+    reps, files = stored(reps)
+    dims = [r["d"] for r in reps.groupBy("d").count().orderBy("d").collect()]
     found = rows.select(F.col("id").alias("key"), F.lit(0).cast("long").alias("others"), F.col("id").alias("root")).limit(0)
     for dim in dims:
-        of = reps.filter(F.size("v") == dim)
-        turn = rotation(of, dim)
-        found = found.unionByName(tile_links(dealt(of, turn, 2 * (1 - cosine)), turn, cosine))
+        of, its = (reps, files) if len(dims) == 1 else stored(reps.filter(F.col("d") == dim))
+        found = found.unionByName(tile_links(vectors.sparkSession, its, *rotation(of, dim, 2 * (1 - cosine)), cosine, rows.schema["id"].dataType))
     found = checkpointed(found)
     degree = found.groupBy("key").agg(F.sum("others").alias("others")).withColumnRenamed("key", "linked")
     labels = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
@@ -231,8 +274,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .join(labels, reps["key"] == labels["id"], "left")
         .select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "key").alias("component_id"))
     )
-    # Null vectors have equal hashes, too, but no representative.
-    out = rows.select("id", "h1", "h2").join(checkpointed(told), ["h1", "h2"], "left")
+    # Vectors that can't link have no hashes and no representative.
+    out = rows.join(checkpointed(told), ["h1", "h2"], "left")
     out = out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
