@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import checkpointed
+from tessera.operators.stored import batches, stored
 
 
 def spmv(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -23,79 +24,116 @@ def thin_spmm(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", F.col("j").alias("k"), "value").join(right, "k").groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
 
-#: Rows and columns of a block of a product (a power of 2), the terms a task holds at once, and the terms after which a block is shared by tasks.
-BITS, HELD, SHARE = 10, 2_000_000, 200_000_000
+#: Rows and columns of a block of a product (a power of 2), the terms a task adds at once, and the entries of a block of rows or columns after which it is shared.
+BITS, HELD, SHARE = 10, 2_000_000, 4_000_000
+_SIDE = 1 << BITS
 
 
-def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """i, j, value: the products of rows (p, q, k, i, v, j, w), sorted by block (p, q), added up block by block."""
-    side = 1 << BITS
-    at, terms, held, block, total = [], [], 0, None, None
+class _Run:
+    """Entries (k, place in the block, value) of a block of rows or columns, or a share of one, in the order of k, and where each k's begin."""
 
-    def added() -> tuple[np.ndarray, np.ndarray]:
-        """Terms by cell of a block with many: how many and their sum."""
-        cell = np.concatenate(at)
-        made = np.bincount(cell, minlength=side * side), np.bincount(cell, np.concatenate(terms), side * side)
-        return made if total is None else (total[0] + made[0], total[1] + made[1])
+    def __init__(self, block: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        k, name, self.value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.block, self.place = block, name - block * _SIDE
+        self.first = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        self.k, self.count = k[self.first], np.diff(np.append(self.first, len(k)))
 
-    def out() -> pa.RecordBatch:
-        if total is None and held * 8 < side * side:
-            found, back = np.unique(np.concatenate(at), return_inverse=True)
-            value = np.bincount(back, np.concatenate(terms), len(found))
-        else:  # an entry whose terms cancel stays
-            count, value = added() if held else total
-            found = np.flatnonzero(count)
-            value = value[found]
-        return pa.RecordBatch.from_arrays([pa.array(block[0] * side + found // side), pa.array(block[1] * side + found % side), pa.array(value)], names=["i", "j", "value"])
+    def __len__(self) -> int:
+        return len(self.place)
 
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    """The runs of rows (block, share, k, name, value) in the order of the first three."""
+    now, parts = None, []
     for batch in batches:
-        p, q = batch.column("p").to_numpy(), batch.column("q").to_numpy()
-        flat = {c: batch.column(c).flatten().to_numpy() for c in "ivjw"}
-        ends = {c: np.append(0, np.cumsum(batch.column(c).value_lengths().to_numpy())) for c in "ij"}
-        for r in range(batch.num_rows):
-            now = (int(p[r]), int(q[r]))
-            if now != block:
-                if block:
-                    yield out()
-                at, terms, held, block, total = [], [], 0, now, None
-            elif held > HELD:
-                total = added()
-                at, terms, held = [], [], 0
-            left, right = (slice(ends[c][r], ends[c][r + 1]) for c in "ij")
-            at.append(((flat["i"][left] - now[0] * side)[:, None] * side + (flat["j"][right] - now[1] * side)).ravel())
-            terms.append((flat["v"][left][:, None] * flat["w"][right]).ravel())
-            held += len(terms[-1])
-    if block:
-        yield out()
-
-
-def _listed(df: DataFrame, k: str, other: str, block: str, value: str) -> DataFrame:
-    """k, block, other (its numbers in the block, a list) and value (a list)."""
-    one = F.struct(F.col(other).cast("long").alias("o"), F.col("value").cast("double").alias("v"))
-    rows = df.groupBy(F.col(k).alias("k"), F.shiftright(F.col(other).cast("long"), BITS).alias(block)).agg(F.sort_array(F.collect_list(one)).alias("s"))
-    return checkpointed(rows.select("k", block, F.col("s.o").alias(other), F.col("s.v").alias(value)))
+        block, share, *rest = (batch.column(c).to_numpy() for c in ("block", "share", "k", "name", "value"))
+        ends = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (share[1:] != share[:-1])) + 1).tolist(), len(block)]
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            if low == high:
+                continue
+            if now != (key := (int(block[low]), int(share[low]))):
+                if parts:
+                    yield _Run(now[0], parts)
+                now, parts = key, []
+            parts.append(tuple(x[low:high] for x in rest))
+    if parts:
+        yield _Run(now[0], parts)
+
+
+def _product(left: _Run, right: _Run) -> pa.RecordBatch | None:
+    """i, j, value of the entries that two runs make."""
+    if left.k[-1] < right.k[0] or right.k[-1] < left.k[0]:
+        return None
+    at = np.minimum(np.searchsorted(right.k, left.k), len(right.k) - 1)
+    l = np.flatnonzero(right.k[at] == left.k)  # noqa: E741
+    if not len(l):
+        return None
+    r = at[l]
+    upto = np.cumsum(left.count[l] * right.count[r])
+    few = upto[-1] * 8 < _SIDE * _SIDE
+    made, total = 0, 0.0
+    low = 0
+    while low < len(l):
+        high = max(low + 1, int(np.searchsorted(upto, HELD + (upto[low - 1] if low else 0), "right")))
+        m = left.count[l[low:high]]
+        entry = np.arange(m.sum()) + np.repeat(left.first[l[low:high]] - (np.cumsum(m) - m), m)
+        n = np.repeat(right.count[r[low:high]], m)
+        other = np.arange(n.sum()) + np.repeat(np.repeat(right.first[r[low:high]], m) - (np.cumsum(n) - n), n)
+        cell = np.repeat(left.place[entry] * _SIDE, n) + right.place[other]
+        term = np.repeat(left.value[entry], n) * right.value[other]
+        if few:  # in one go
+            found, back = np.unique(cell, return_inverse=True)
+            value = np.bincount(back, term, len(found))
+        else:
+            made, total = made + np.bincount(cell, minlength=_SIDE * _SIDE), total + np.bincount(cell, term, _SIDE * _SIDE)
+        low = high
+    if not few:  # an entry whose terms cancel stays
+        found = np.flatnonzero(made)
+        value = total[found]
+    return pa.RecordBatch.from_arrays([pa.array(left.block * _SIDE + found // _SIDE), pa.array(right.block * _SIDE + found % _SIDE), pa.array(value)], names=["i", "j", "value"])
+
+
+def _by_blocks(df: DataFrame, k: str, name: str) -> tuple[DataFrame, bool]:
+    """block, share, k, name, value, dealt by block and share and in the order of these and k; whether a block is shared."""
+    rows = df.select(F.shiftright(F.col(name).cast("long"), BITS).alias("block"), F.col(k).cast("long").alias("k"), F.col(name).cast("long").alias("name"), F.col("value").cast("double").alias("value"))
+    # A power of 2 shares, so that shares of rows and of columns hold each other's k or have none in common.
+    large = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE)
+    large = checkpointed(large.select("block", F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / SHARE))).cast("int").alias("shares")))
+    shared = not large.isEmpty()
+    rows = rows.join(F.broadcast(large), "block", "left") if shared else rows.withColumn("shares", F.lit(1))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("k"), F.coalesce("shares", F.lit(1))).cast("int"))
+    return rows.select("block", "share", "k", "name", "value").repartition("block", "share").sortWithinPartitions("block", "share", "k"), shared
 
 
 def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
     """i, j, value of A B, as doubles, for whole numbers i and j.
 
-    The entries that a k has in A and in B meet as lists, one for each block of rows and of columns, so lists are shuffled
-    instead of their products, and a task adds up its blocks one after the other. A block of more than SHARE terms is shared
-    by tasks, whose sums are added. Terms of null names or values go the plain way.
+    Entries are dealt once: B's are stored by blocks of columns, and a task holds some blocks of A's rows and reads what is
+    stored, so neither terms nor copies of entries are shuffled, whichever blocks meet. A block of more than SHARE entries is
+    shared by their k, and the shares' sums are added. Terms of null names or values go the plain way.
     """
     odd = lambda df, c: df.filter(f"{c} IS NULL OR value IS NULL")
-    left = _listed(a.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "j", "i", "p", "v")
-    right = _listed(b.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "i", "j", "q", "w")
-    terms = left.select("k", "p", F.size("i").cast("long").alias("m")).join(right.select("k", "q", F.size("j").cast("long").alias("n")), "k")
-    shared = terms.groupBy("p", "q").agg(F.sum(F.col("m") * F.col("n")).alias("m")).filter(F.col("m") > SHARE)
-    shared = checkpointed(shared.select("p", "q", F.ceil(F.col("m") / SHARE).alias("shares")))
-    split = not shared.isEmpty()
-    met = left.join(right, "k")
-    if split:  # as many rows as all terms have SHAREs at most
-        met = met.join(F.broadcast(shared), ["p", "q"], "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("k"), "shares"), F.lit(0)))
-    keys = ["p", "q", "share"] if split else ["p", "q"]
-    met = met.repartition(*keys).sortWithinPartitions("p", "q", "k")
-    out = met.select("p", "q", "i", "v", "j", "w").mapInArrow(_added_up, "i long, j long, value double")
+    left, parted = _by_blocks(a.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "j", "i")
+    right, split = _by_blocks(b.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL"), "i", "j")
+    split |= parted
+    _, files = stored(right)
+    most = SHARE
+
+    def met(held: list[_Run]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches(files, ["block", "share", "k", "name", "value"], size=1 << 16)):
+            yield from (x for x in (_product(h, run) for h in held) if x)
+
+    def added_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Run] = []
+        for run in _runs(parts):
+            if held and sum(map(len, held)) + len(run) > most:
+                yield from met(held)
+                held = []
+            held.append(run)
+        if held:
+            yield from met(held)
+
+    out = left.mapInArrow(added_up, "i long, j long, value double")
     rest = [thin_spmm(x, y) for x, y in ((odd(a, "i"), b), (a.filter("i IS NOT NULL AND value IS NOT NULL"), odd(b, "j")))]
     for r, x in zip(rest, (odd(a, "i"), odd(b, "j")), strict=True):
         if not x.isEmpty():
