@@ -108,7 +108,7 @@ def transport(sites: DataFrame, targets: DataFrame, domain: voronoi.Domain = vor
         share = 1.0
         while share > 1e-3:
             moved = gap.join(step.select(F.col("i").alias("id"), F.col("value").alias("dw")), "id", "left").select("id", "x", "y", "z", (F.col("w") + share * F.coalesce("dw", F.lit(0.0))).alias("w"))
-            trial = checkpointed(voronoi.diagram(moved, domain))
+            trial = checkpointed(voronoi.diagram(moved, domain, bent=True))
             found = trial.agg(F.min("volume")).first()
             if found[0] is not None and found[0] >= least / 2:
                 break

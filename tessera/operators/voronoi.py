@@ -50,8 +50,8 @@ class Domain:
         return 4 * np.pi if self.sphere else (self.high[0] - self.low[0]) * (self.high[1] - self.low[1])
 
 
-def _meet(p: np.ndarray, q: np.ndarray, sphere: bool) -> np.ndarray:
-    """Where two planes (n, 4) meet the domain; on the sphere where p's circle, followed with the cell to its left, leaves the side of q."""
+def _meet(p: np.ndarray, q: np.ndarray, site: np.ndarray, sphere: bool, bent: bool = False) -> np.ndarray:
+    """Where two planes (n, 4) meet the domain, nearest to the site; bent: on the sphere where p's circle, followed with the cell to its left, leaves the side of q."""
     if not sphere:
         det = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
         det = np.where(np.abs(det) < 1e-300, 1e-300, det)
@@ -61,16 +61,19 @@ def _meet(p: np.ndarray, q: np.ndarray, sphere: bool) -> np.ndarray:
     d2 = np.maximum((d * d).sum(axis=1, keepdims=True), 1e-300)
     base = (a * np.cross(m, d) + b * np.cross(d, n)) / d2
     room = np.maximum(1 - (base * base).sum(axis=1, keepdims=True), 0.0)
-    return base + np.sqrt(room / d2) * d
+    step = np.sqrt(room / d2) * d
+    one, two = base + step, base - step
+    nearer = ((one - site) ** 2).sum(axis=1) <= ((two - site) ** 2).sum(axis=1)
+    return np.where((nearer | bent)[:, None], one, two)
 
 
-def _vertices(planes: np.ndarray, count: np.ndarray, sphere: bool) -> np.ndarray:
+def _vertices(planes: np.ndarray, count: np.ndarray, site: np.ndarray, sphere: bool, bent: bool = False) -> np.ndarray:
     """Vertex k of each cell: planes k and k + 1."""
     n, most = planes.shape[:2]
     k = np.arange(most)
     after = np.where(k + 1 < count[:, None], k + 1, 0)
     second = np.take_along_axis(planes, after[:, :, None], axis=1)
-    at = _meet(planes.reshape(-1, 4), second.reshape(-1, 4), sphere)
+    at = _meet(planes.reshape(-1, 4), second.reshape(-1, 4), np.repeat(site, most, axis=0), sphere, bent)
     return at.reshape(n, most, 3)
 
 
@@ -79,9 +82,11 @@ def secure(reach: np.ndarray, more: np.ndarray) -> np.ndarray:
     return np.sqrt(reach) + np.sqrt(np.maximum(reach + more, 0.0))
 
 
-def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np.ndarray, there: np.ndarray, domain: Domain) -> dict[str, np.ndarray]:
+def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np.ndarray, there: np.ndarray, domain: Domain, bent: bool = False) -> dict[str, np.ndarray]:
     """Cells of n sites (n, 3) cut by their neighbours (n, k, 3), nearest first; there: which exist.
 
+    bent: for weights so strong that edges bend on the sphere and a site can lie outside its cell. Sites must be apart.
+
     Gives planes (n, m, 4), origin (n, m): the neighbour's rank or -1 for the
     start, count, vertices and done.
     """
@@ -103,11 +108,11 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         planes[:, 2] = (0, -1, 0, y1)
         planes[:, 3] = (1, 0, 0, -x0)
     count = np.full(n, 4)
-    points = _vertices(planes, count, domain.sphere)
+    points = _vertices(planes, count, site, domain.sphere, bent)
     done = np.zeros(n, dtype=bool)
     # A site at distance d reaches a point at distance r only where d (d - 2 r) is at most its weight less the cell's.
     more = np.where(there, near_weight, -np.inf).max(axis=1, initial=-np.inf) - weight
-    # On the sphere edges bend where weights differ: a cut that no corner survives may keep some of a wide cell, so it waits for the others.
+    # A bent cut that no corner survives may keep some of a wide cell, so it waits for the others.
     waiting = np.zeros(there.shape, dtype=bool)
     for rank in [*range(near.shape[1]), *range(-near.shape[1], 0)]:
         late, rank = rank < 0, rank % near.shape[1]
@@ -130,7 +135,7 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         side = (points[live] @ cut[:, :3, None])[:, :, 0] + cut[:, 3:] >= 0
         some = slots[live]
         hit = (~side & some).any(axis=1)
-        if domain.sphere and not late:
+        if bent and domain.sphere and not late:
             gone = ~(side & some).any(axis=1)
             waiting[live[gone], rank] = True
             hit &= ~gone
@@ -159,7 +164,7 @@ def clip(site: np.ndarray, weight: np.ndarray, near: np.ndarray, near_weight: np
         fresh_origin[:, :width] = np.take_along_axis(old_origin, order, axis=1)
         size = np.where(size >= 3, size, 0)
         planes[live], origin[live], count[live] = fresh, fresh_origin, size
-        points[live] = _vertices(fresh, np.maximum(size, 1), domain.sphere)
+        points[live] = _vertices(fresh, np.maximum(size, 1), site[live], domain.sphere, bent)
     return {"planes": planes, "origin": origin, "count": count, "points": points, "done": done}
 
 
@@ -193,13 +198,13 @@ _CELL = "id long, x double, y double, z double, w double, volume double, mx doub
 _CUT = f"{_CELL}, a string, reach double, upto double"
 
 
-def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGHBOURS) -> DataFrame:
+def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGHBOURS, bent: bool = False) -> DataFrame:
     """One row per site: volume, moment, done, and for each edge of the cell its neighbour (null: the domain's
     boundary) and its end point, in order.
 
     Of sites in one place the one of greatest weight, then of least id, has the cell. The others, and sites with a null
     or non-finite number, have empty cells of volume 0. On the sphere a cell is less than half of it, so sites
-    that all lie in one half leave a part of the other half to no cell.
+    that all lie in one half leave a part of the other half to no cell. bent: as in clip; ids are distinct then.
     """
     axes = ("x", "y", "z") if domain.sphere else ("x", "y")
     base = sites.select("id", "x", "y", (F.col("z") if "z" in sites.columns else F.lit(0.0)).alias("z"), (F.col("w") if "w" in sites.columns else F.lit(0.0)).alias("w"))
@@ -229,7 +234,7 @@ def diagram(sites: DataFrame, domain: Domain = Domain(), neighbours: int = NEIGH
             while start < batch.num_rows:
                 widest = np.maximum.accumulate(sizes[start:])
                 upto = max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), TOGETHER)))
-                yield _cut(batch.slice(start, upto), highest, domain)
+                yield _cut(batch.slice(start, upto), highest, domain, bent)
                 start += upto
 
     while True:
@@ -256,7 +261,7 @@ def _sites(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.repeat(np.arange(len(lists)), sizes), np.asarray(each.field("id")), np.column_stack([number(c) for c in "xyz"]), number("w")
 
 
-def _cut(part: pa.RecordBatch, highest: float, domain: Domain) -> pa.RecordBatch:
+def _cut(part: pa.RecordBatch, highest: float, domain: Domain, bent: bool = False) -> pa.RecordBatch:
     """Cells of the asked sites of leaves with their own sites (held) and those of the leaves around them (near)."""
     column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
     leaf, own, site, weight = _sites(column["held"])
@@ -274,7 +279,7 @@ def _cut(part: pa.RecordBatch, highest: float, domain: Domain) -> pa.RecordBatch
     gap = np.where(there, sum((place[each, k] - site[:, None, k]) ** 2 for k in range(3)), np.inf)
     ranked = np.lexsort((ids[each], gap), axis=1)
     each, there = np.take_along_axis(each, ranked, axis=1), np.take_along_axis(there, ranked, axis=1)
-    got = clip(site, weight, place[each], w[each], there, domain)
+    got = clip(site, weight, place[each], w[each], there, domain, bent)
     volume, moment = measures(got["points"], got["count"], domain.sphere)
     some = np.arange(got["origin"].shape[1]) < got["count"][:, None]
     reach = np.where(some, ((got["points"] - site[:, None]) ** 2).sum(axis=2), 0).max(axis=1)

@@ -21,7 +21,7 @@ def test_cells_of_strong_weights_cover_the_sphere():
     gap = ((site[:, None] - site[None]) ** 2).sum(axis=2)
     np.fill_diagonal(gap, np.inf)
     order = np.argsort(gap, axis=1)[:, :-1]
-    got = voronoi.clip(site, weight, site[order], weight[order], np.ones(order.shape, dtype=bool), voronoi.Domain())
+    got = voronoi.clip(site, weight, site[order], weight[order], np.ones(order.shape, dtype=bool), voronoi.Domain(), bent=True)
     volume, _ = voronoi.measures(got["points"], got["count"], True)
     hit = np.bincount((2 - 2 * at @ site.T - weight).argmin(axis=1), minlength=n) / len(at) * 4 * math.pi
     assert volume.sum() == pytest.approx(4 * math.pi, rel=1e-3)
