@@ -50,7 +50,7 @@ def lloyd_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transport_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes of all sites' cells on the sphere, moved by Newton's method until they are equal."""
+    """Volumes of all sites' cells on the sphere, moved by Newton's method towards equal ones, to the operator's own tolerance and number of steps."""
     s = sites.sphere_sites(spark, sf_dir).select("id", "x", "y", "z")
     n = s.count()
     found = fluids.transport(s, s.select("id", F.lit(4 * math.pi / n).alias("target")))
